@@ -23,7 +23,7 @@ from palimpsest.session import materialize, once
 FANOUT_BITS = 4
 
 #: Blanks that Python's ``str.strip`` would also remove.
-_BLANK = r"[\s   -     　\u001c-\u001f\u0085]"
+_BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u001c-\u001f\u0085]"
 
 
 def squeeze(c: Column) -> Column:
