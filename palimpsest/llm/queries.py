@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import leakage, lookalike
+from palimpsest.llm import leakage, lookalike, neighbours
 from palimpsest.session import read_table
 
 
+def p3_found(spark, sf_dir):
+    return neighbours.mutual_pairs(neighbours.nearest(read_table(spark, sf_dir, "memories")))
+
+
+def p3_neighbours(spark, sf_dir):
+    return neighbours.nearest(read_table(spark, sf_dir, "memories"))
+
+
 def p6_found(spark, sf_dir):
     return leakage.leaked_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "heldout_items"))
 
@@ -31,6 +39,8 @@ def p8_classes(spark, sf_dir):
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p8_found": p8_found,
