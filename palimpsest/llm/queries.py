@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import leakage, lookalike, neighbours
+from palimpsest.llm import defects, leakage, lookalike, neighbours
 from palimpsest.session import read_table
 
 
+def p2_found(spark, sf_dir):
+    model = defects.fit_language_model(read_table(spark, sf_dir, "documents"))
+    return defects.flag_defects(read_table(spark, sf_dir, "predictions"), model)
+
+
 def p3_found(spark, sf_dir):
     return neighbours.mutual_pairs(neighbours.nearest(read_table(spark, sf_dir, "memories")))
 
@@ -39,6 +44,7 @@ def p8_classes(spark, sf_dir):
 
 
 QUERIES = {
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
     "p6_found": p6_found,
