@@ -20,26 +20,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.vectors import Codebook, fit_codebook, pack, unpack, usable
-from palimpsest.session import materialize
+from palimpsest.session import materialize, small_enough
 
 REPLICAS, RATIO, LIST_ROWS = 4, 1.12, 800
 #: Rows of a list compared by one task at a time.
 BLOCK = 4096
 
 
-def vector_groups(rows: DataFrame, scope: str, id_col: str, vec_col: str, dim: int, k: int) -> DataFrame:
-    """``scope, vec, rep, n, ids``: one row for each distinct vector of a scope.
+def vector_members(rows: DataFrame, scope: str, id_col: str, vec_col: str, dim: int) -> DataFrame:
+    """``scope, id, vec`` of records that take part; null scopes form one scope."""
+    fine = rows.where(usable(F.col(vec_col), dim) & F.col(id_col).isNotNull())
+    return fine.select(F.coalesce(F.col(scope).cast("string"), F.lit("\u0000")).alias("scope"), F.col(id_col).alias("id"), pack(F.col(vec_col)).alias("vec"))
+
+
+def vector_groups(members: DataFrame) -> DataFrame:
+    """``scope, vec, rep, many``: one row for each distinct vector of a scope.
 
-    Null scopes form one scope. Rows of one id count once. ``ids`` holds the
-    k+1 smallest ids where a vector stands more than once, else null.
+    A record delivered twice falls into one group. ``many``: more than one id.
     """
-    fine = rows.where(usable(F.col(vec_col), dim) & F.col(id_col).isNotNull())
-    packed = fine.select(F.coalesce(F.col(scope).cast("string"), F.lit("\u0000")).alias("scope"), F.col(id_col).alias("id"), pack(F.col(vec_col)).alias("vec"))
-    one = packed.groupBy("id").agg(F.min(F.struct("scope", "vec")).alias("r")).select("id", "r.scope", "r.vec")
-    return one
+    return members.groupBy("scope", "vec").agg(F.min("id").alias("rep"), (F.min("id") < F.max("id")).alias("many"))
 
 
-def _assign(rows: DataFrame, book_b, buckets: int) -> DataFrame:
+def _assign(rows: DataFrame, book_b) -> DataFrame:
     """Rows ``scope, rep, vec, rows`` written into their lists: adds ``list, rank``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,20 +93,18 @@ def nearest(rows: DataFrame, k: int = 5, least: float = 0.9, scope: str = "user_
     the tests against brute force.
     """
     spark = rows.sparkSession
-    members = materialize(vector_groups(rows, scope, id_col, vec_col, dim, k), "members")
-    groups = members.groupBy("scope", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    sizes = groups.groupBy("scope").agg(F.count(F.lit(1)).alias("rows"))
-    groups = materialize(groups, "groups")
+    members = vector_members(rows, scope, id_col, vec_col, dim)
+    groups = materialize(vector_groups(members), "groups")
     sizes = groups.groupBy("scope").agg(F.count(F.lit(1)).alias("rows"))
-    largest = sizes.agg(F.max("rows")).first()[0]
-    book = fit_codebook(groups, dim, largest or 1, LIST_ROWS)
-    book_b = spark.sparkContext.broadcast(book)
-    # Scopes that are one list need no size: only large ones are joined.
+    total, largest = sizes.agg(F.sum("rows"), F.max("rows")).first()
+    book_b = spark.sparkContext.broadcast(fit_codebook(groups, dim, total or 1, largest or 1, LIST_ROWS))
+    # Scopes that are one list need no size: only large ones are joined, by broadcast while they are few.
     large = sizes.where(F.col("rows") > LIST_ROWS)
+    large = F.broadcast(large) if small_enough(large, 100_000) else large
     sized = groups.join(large, "scope", "left").select("scope", "rep", "vec", F.coalesce("rows", F.lit(1)).alias("rows"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    listed = materialize(_assign(sized, book_b, parts), "lists")
-    pairs = _compare(listed, parts, k, least, dim)
+    listed = materialize(_assign(sized, book_b), "lists")
+    pairs = materialize(_compare(listed, parts, k, least, dim), "pairs")
     return _records(pairs, members, groups, k)
 
 
@@ -112,7 +112,11 @@ def _compare(listed: DataFrame, parts: int, k: int, least: float, dim: int) -> D
     """``q, n, c``: best groups of every group within each of its lists."""
     sizes = listed.groupBy("scope", "list").agg(F.count(F.lit(1)).alias("size"))
     over = sizes.where(F.col("size") > 4 * BLOCK).select("scope", "list", F.ceil(F.col("size") / (2 * BLOCK)).cast("int").alias("blocks"))
-    rows = listed.join(over, ["scope", "list"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    if over.limit(1).count():
+        over = F.broadcast(over) if small_enough(over, 100_000) else over
+        rows = listed.join(over, ["scope", "list"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    else:
+        rows = listed.withColumn("blocks", F.lit(1))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     # As data a row stands in its own block; as a query in every block of its list.
     query = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("data", F.col("block") == own)
@@ -141,8 +145,11 @@ def _records(pairs: DataFrame, members: DataFrame, groups: DataFrame, k: int) ->
     """From groups back to records, k nearest of each."""
     best = Window.partitionBy("q").orderBy(F.desc("c"), "n")
     pairs = pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
-    copies = groups.where("n > 1").select("scope", "vec", "rep")
-    held = materialize(members.join(copies, ["scope", "vec"]).select("rep", "id"), "copies")
+    copies = groups.where("many").select("scope", "vec", "rep")
+    # Few vectors stand more than once; digests let the members be probed without moving vectors.
+    digest = lambda d: d.withColumn("key", F.sha2(F.concat(F.encode(F.concat("scope", F.lit("|")), "UTF-8"), "vec"), 256))
+    held = digest(members).select("key", "id").join(digest(copies).select("key", "rep"), "key").select("rep", "id").distinct()
+    held = materialize(held, "copies")
     few = Window.partitionBy("rep").orderBy("id")
     small = held.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).select(F.col("rep").alias("n"), F.col("id").alias("m"))
     to = pairs.join(small, "n", "left").select("q", F.coalesce("m", "n").alias("neighbour"), "c")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 #: Rows that the codebook is fitted on, at most.
-FIT_ROWS = 40_000
+FIT_ROWS = 20_000
 LEVEL_GROWTH = 8
 #: Centroids of the largest level, at most; larger lists than planned are searched in blocks.
 MAX_CENTROIDS = 4096
@@ -163,14 +163,16 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c
 
 
-def fit_codebook(vectors: DataFrame, dim: int, largest_scope: int, list_rows: int = 800, fit_rows: int = FIT_ROWS, seed: int = 7) -> Codebook:
-    """Fit on at most ``fit_rows`` rows of ``vec`` (packed), picked by hash of their content."""
+def fit_codebook(vectors: DataFrame, dim: int, total: int, largest_scope: int, list_rows: int = 800, fit_rows: int = FIT_ROWS, seed: int = 7) -> Codebook:
+    """Fit on about ``fit_rows`` of the ``total`` rows of ``vec`` (packed), picked by hash of their content, and at most 1.2 times as many."""
     want, sizes = -(-max(1, largest_scope) // list_rows), [1]
     while sizes[-1] < want and sizes[-1] < MAX_CENTROIDS:
         sizes.append(sizes[-1] * LEVEL_GROWTH)
     levels = [Level(np.zeros((1, dim)))]
     if len(sizes) > 1:
-        picked = vectors.select("vec").distinct().orderBy(F.xxhash64("vec", F.lit(seed)), "vec").limit(fit_rows).toPandas()["vec"]
+        share = min(1.0, fit_rows / max(1, total))
+        drawn = vectors.select("vec").where(F.pmod(F.xxhash64("vec", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+        picked = drawn.limit(int(1.2 * fit_rows)).toPandas()["vec"]
         x = unpack(picked, dim).astype(np.float32)
         rng = np.random.default_rng(seed)
         levels += [Level(_kmeans(x, min(k, len(x)), rng)) for k in sizes[1:]]
