@@ -15,6 +15,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,22 @@ def smith_waterman(a: list[str], b: list[str], match: int = 2, miss: int = -1, g
     return best
 
 
+def alignment_score(a: np.ndarray, b: np.ndarray, match: int = 2, miss: int = -1, gap: int = -1) -> int:
+    """The score alone, over word numbers, a row at a time.
+
+    A gap along the row costs ``gap`` a word, so the best cell to the left is
+    a running maximum of score minus position.
+    """
+    step = np.arange(len(b) + 1) * -gap
+    prev, best = np.zeros(len(b) + 1, np.int64), 0
+    for x in a:
+        row = np.maximum(prev + gap, 0)
+        np.maximum(row[1:], prev[:-1] + np.where(b == x, match, miss), out=row[1:])
+        prev = np.maximum.accumulate(row + step) - step
+        best = max(best, int(prev.max()))
+    return best
+
+
 class SeedIndex:
     """Seeds of the held-out items; its size is that of the items."""
 
@@ -79,12 +96,17 @@ class SeedIndex:
                 if s in used:
                     self.at[s].append((k, i))
         self.at = dict(self.at)
+        number: dict[str, int] = {}
+        self.coded = [np.array([number.setdefault(x, len(number)) for x in w]) for _, _, w in self.items]
+        self.number = number
         self.first = {s[0] for s in self.at}
 
-    def find(self, text: str | None) -> list[tuple]:
+    def find(self, text: str | None, min_score: int) -> list[tuple]:
+        """Items that share a run of ``min_run`` words with the text or align with ``min_score``."""
         w = words_of(text)
         if len(w) < SEED:
             return []
+        coded = None
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i in range(len(w) - SEED + 1):
             if w[i] in self.first and (at := self.at.get(tuple(w[i : i + SEED]))):
@@ -105,19 +127,21 @@ class SeedIndex:
                 seen[i - j] = i + hi - 1
                 run = max(run, lo + hi)
             # Stretches of the document in which the item may lie, each aligned once.
-            best, stretch = (0, 0, 0, -1), None
-            spans = []
+            spans: list[list[int]] = []
             for i, j in pairs:
                 low, high = max(0, i - j - len(item) // 2), min(len(w), i - j + len(item) + len(item) // 2)
                 if spans and low <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], high)
                 else:
                     spans.append([low, high])
-            for low, high in spans:
-                s, m, a, b = smith_waterman(item, w[low:high])
-                if stretch is None or s > best[0]:
-                    best, stretch = (s, m, low + a, low + b), low
-            out.append((q, f, run, best[0], best[1], len(item), best[2], best[3]))
+            if coded is None:
+                coded = np.array([self.number.get(x, -1) for x in w])
+            scores = [alignment_score(self.coded[k], coded[low:high]) for low, high in spans]
+            if run < self.min_run and max(scores) < min_score:
+                continue
+            low, high = spans[scores.index(max(scores))]
+            score, matched, first, last = smith_waterman(item, w[low:high])
+            out.append((q, f, run, score, matched, len(item), low + first, low + last))
         return out
 
 
@@ -148,7 +172,7 @@ def leak_report(docs: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("p
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
         for batch in batches:
-            rows = [(d, *r) for d, t in zip(batch["doc_id"], batch["text"]) for r in index.value.find(t) if r[2] >= min_run or r[3] >= min_score]
+            rows = [(d, *r) for d, t in zip(batch["doc_id"], batch["text"]) for r in index.value.find(t, min_score)]
             yield pd.DataFrame(rows, columns=names)
 
     return docs.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL").mapInPandas(scan, SCHEMA)
