@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from palimpsest.session import materialize
+
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian")
 
 #: Letters drawn alike, one row a shape, columns as in SCRIPTS; a blank where the script has none.
@@ -204,7 +206,7 @@ def lookalike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no link between different texts is lost. A hot text with no different
     lookalike never reaches the join.
     """
-    rows = look_classes(docs, id_col, text_col)
+    rows = materialize(look_classes(docs, id_col, text_col), "looks")
     classes = rows.groupBy("look", "exact").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
     mixed = classes.groupBy("look").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("look")
     live = classes.join(mixed, "look", "left_semi")
@@ -216,7 +218,7 @@ def lookalike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, class_id, text_class_id``: smallest ids of equal looks and of equal texts."""
-    rows = look_classes(docs, id_col, text_col)
+    rows = materialize(look_classes(docs, id_col, text_col), "looks")
     exact = rows.groupBy("look", "exact").agg(F.min("id").alias("text_class_id"))
     looks = exact.groupBy("look").agg(F.min("text_class_id").alias("class_id"))
     return rows.join(exact, ["look", "exact"]).join(looks, "look").select("id", "class_id", "text_class_id")
