@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import defects, leakage, lookalike, neighbours
+from palimpsest.llm import defects, leakage, lookalike, neighbours, personal
 from palimpsest.session import read_table
 
 
+def _personal(spark, sf_dir):
+    texts = personal.memory_texts(read_table(spark, sf_dir, "sessions"), read_table(spark, sf_dir, "memories"))
+    return texts, personal.learn(texts, read_table(spark, sf_dir, "given_names"))
+
+
+def p1_found(spark, sf_dir):
+    texts, lexicon = _personal(spark, sf_dir)
+    return personal.find(texts, lexicon, ["source_table", "record_key", "field_name", "turn_index"])
+
+
+def p1_redacted(spark, sf_dir):
+    texts, lexicon = _personal(spark, sf_dir)
+    return personal.redact(texts, lexicon)
+
+
 def p2_found(spark, sf_dir):
     model = defects.fit_language_model(read_table(spark, sf_dir, "documents"))
     return defects.flag_defects(read_table(spark, sf_dir, "predictions"), model)
@@ -44,6 +59,8 @@ def p8_classes(spark, sf_dir):
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
