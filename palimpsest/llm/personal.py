@@ -375,7 +375,7 @@ def decide(text: str, c: Candidate, lex: Lexicon) -> str | None:
     if c.key.split(" ")[0] in lex.given:
         first = max(first, 0.6)
     if c.plain and c.seed:
-        return "name" if last >= 0.3 or near >= 0.3 else None
+        return "name"
     if c.plain:
         return "name" if (near >= 0.5 and (first >= 0.3 or last >= 0.3)) or (first >= 0.5 and last >= 0.4) else None
     return "name" if (first >= 0.5 and (last >= 0.4 or near >= 0.6)) or (near >= 0.6 and last >= 0.4) else None

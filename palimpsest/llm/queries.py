@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import defects, leakage, lookalike, neighbours, personal
+from palimpsest.llm import defects, leakage, linkage, lookalike, neighbours, personal
 from palimpsest.session import read_table
 
 
@@ -36,6 +36,14 @@ def p3_neighbours(spark, sf_dir):
     return neighbours.nearest(read_table(spark, sf_dir, "memories"))
 
 
+def p4_decisions(spark, sf_dir):
+    return linkage.link_batches(read_table(spark, sf_dir, "memories"), read_table(spark, sf_dir, "arrivals"))
+
+
+def p4_found(spark, sf_dir):
+    return p4_decisions(spark, sf_dir).where("screen IS NOT NULL").select(F.col("id").alias("arrival_id"), "screen")
+
+
 def p6_found(spark, sf_dir):
     return leakage.leaked_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "heldout_items"))
 
@@ -59,6 +67,8 @@ def p8_classes(spark, sf_dir):
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_decisions": p4_decisions,
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
     "p2_found": p2_found,
