@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import defects, leakage, linkage, lookalike, neighbours, personal
+from palimpsest.llm import defects, leakage, linkage, lookalike, mixing, neighbours, personal
 from palimpsest.session import read_table
 
 
@@ -52,6 +52,14 @@ def p6_report(spark, sf_dir):
     return leakage.leak_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "heldout_items"))
 
 
+def p7_mix(spark, sf_dir):
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark, sf_dir):
+    return mixing.shares(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark, sf_dir):
     pairs = lookalike.lookalike_pairs(read_table(spark, sf_dir, "documents"))
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
@@ -76,6 +84,8 @@ QUERIES = {
     "p3_neighbours": p3_neighbours,
     "p6_found": p6_found,
     "p6_report": p6_report,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_normalized": p8_normalized,
     "p8_classes": p8_classes,
