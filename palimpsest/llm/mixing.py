@@ -198,8 +198,9 @@ def shares(docs: DataFrame, targets: DataFrame, **options) -> DataFrame:
     goals = docs.sparkSession.createDataFrame([(s, float(w)) for s, w, _ in _targets(targets)], "source string, weight double")
     rows = goals.join(got, "source", "left")
     live = F.when(F.col("tokens") > 0, F.col("weight"))
-    sums = rows.agg(F.sum("weight").alias("all_weight"), F.sum(live).alias("live_weight"), F.sum("tokens").alias("all_tokens"))
-    return rows.crossJoin(F.broadcast(sums)).select(
+    sums = rows.agg(F.sum("weight"), F.sum(live), F.sum("tokens")).first()
+    sums = {name: F.lit(float(x or 0) or None).cast("double") for name, x in zip(("all_weight", "live_weight", "all_tokens"), sums)}
+    return rows.withColumns(sums).select(
         "source",
         F.round(F.col("weight") / F.col("all_weight"), 6).alias("target_share"),
         F.round(F.coalesce(live / F.col("live_weight"), F.lit(0.0)), 6).alias("reachable_share"),
