@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import history_queries
+from palimpsest.plans import history_queries, ingest_queries, write_queries
 
-_MODULES = [history_queries]
+_MODULES = [history_queries, ingest_queries, write_queries]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
