@@ -96,9 +96,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def overlap_share(question: Column, passage: Column) -> Column:
-    """Share of the question's words of more than two letters that the passage has; 0 if it has none."""
-    q = F.array_distinct(F.filter(tokens(exact_key(question)), lambda w: F.length(w) > 2))
-    return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, tokens(exact_key(passage)))) / F.size(q))
+    """Share of the question's words of more than two letters that the passage has; 0 if it has none. Words are parted by white space only."""
+    words = lambda c: tokens(collapse(F.lower(c)))
+    q = F.array_distinct(F.filter(words(question), lambda w: F.length(w) > 2))
+    return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, words(passage))) / F.size(q))
 
 
 def numbers_of(c: Column) -> Column:

@@ -109,6 +109,10 @@ def key_sql(expr: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower({expr}), '[^\pL\pN_{_S}]', '', 'g'), '[{_S}]+', ' ', 'g'))"
 
 
+def words_sql(expr: str) -> str:
+    return rf"trim(regexp_replace(lower({expr}), '[{_S}]+', ' ', 'g'))"
+
+
 _ROUNDS = rf"""
     WITH once AS (SELECT session_id, arg_min(user_id, arrived_at) AS user_id, arg_min(coalesce(session_date, ''), arrived_at) AS ts, arg_min(turns, arrived_at) AS turns FROM sessions GROUP BY session_id),
     said AS (SELECT session_id, user_id, ts, t.role AS role, t.content AS content, coalesce(t.has_answer, false) AS has_answer, i

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import history_queries, ingest_queries, write_queries
+from palimpsest.plans import history_queries, ingest_queries, read_queries, write_queries
 
-_MODULES = [history_queries, ingest_queries, write_queries]
+_MODULES = [history_queries, ingest_queries, write_queries, read_queries]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
-FLAGSHIP = "p5_found"
+FLAGSHIP = "recall_score"
