@@ -106,8 +106,9 @@ class Store:
         return self.spark.read.schema(MEMORIES).parquet(f"{self.path}/memories/v{version or seen[-1]}")
 
     def _write(self, records: DataFrame) -> int:
+        """A new version; what a failed write left under its number, which no reader sees, is replaced."""
         n = (self.versions() or [0])[-1] + 1
-        records.write.partitionBy("kind").parquet(f"{self.path}/memories/v{n}")
+        records.write.partitionBy("kind").mode("overwrite").parquet(f"{self.path}/memories/v{n}")
         return n
 
     def insert(self, records: DataFrame) -> int:
