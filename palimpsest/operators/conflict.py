@@ -46,24 +46,25 @@ def resolve_all(facts: DataFrame) -> DataFrame:
     if sizes.where(F.col("n") > MOST_FACTS).limit(1).count():
         raise ValueError(f"a pair key has more than {MOST_FACTS} facts; fold it with champions first")
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id")
-        rows = list(g.itertuples(index=False))
-        keys = [_order(r.ok) for r in rows]
-        out, dead = [], set()
-        for j in range(len(rows)):
-            for i in range(j):
-                if i in dead or j in dead:
-                    continue
-                rule = _rule(rows[i], rows[j])
-                if rule:
-                    lose, win = (i, j) if keys[j] > keys[i] else (j, i)
-                    dead.add(lose)
-                    out.append((rows[lose].id, rows[win].id, rule))
+    def walk(bucket: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in bucket.sort_values(["user_id", "pair_key", "id"]).groupby(["user_id", "pair_key"], dropna=False, sort=False):
+            rows = list(g.itertuples(index=False))
+            keys, dead = [_order(r.ok) for r in rows], set()
+            for j in range(1, len(rows)):
+                for i in range(j):
+                    if j in dead:
+                        break
+                    if i not in dead and (rule := _rule(rows[i], rows[j])):
+                        lose, win = (i, j) if keys[j] > keys[i] else (j, i)
+                        dead.add(lose)
+                        out.append((rows[lose].id, rows[win].id, rule))
         return pd.DataFrame(out, columns=["loser", "winner", "rule"])
 
+    # Keys share a task's call in buckets of a few, as a call for each key would cost more than its walk.
     many = ranked.join(sizes.select("user_id", "pair_key"), ["user_id", "pair_key"], "left_semi")
-    return many.groupBy("user_id", "pair_key").applyInPandas(walk, "loser bigint, winner bigint, rule string")
+    buckets = 16 * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return many.withColumn("b", F.pmod(F.xxhash64("user_id", "pair_key"), F.lit(buckets))).groupBy("b").applyInPandas(walk, "loser bigint, winner bigint, rule string")
 
 
 def _numbers() -> list[Column]:

@@ -31,22 +31,28 @@ def messages(sessions: DataFrame) -> DataFrame:
     return with_defaults(sessions).select("session_id", "user_id", F.posexplode("turns").alias("turn", "t"), F.col("session_date").alias("ts")).select("session_id", "user_id", "turn", "t.role", "t.content", "ts")
 
 
-def rounds_of(turns: Column) -> Column:
-    """Rounds of an array of turns: a user turn with the assistant's turn right after it, else one turn.
+def with_rounds(df: DataFrame) -> DataFrame:
+    """Adds ``rounds`` from ``turns``: a user turn with the assistant's turn right after it, else one turn.
 
-    Blank turns are dropped first.
+    Blank turns are dropped first. The steps are columns of their own, so that
+    each is computed once a row and not once for every use.
     """
-    kept = F.filter(turns, lambda t: text.strip(t.content) != "")
-    n = F.size(kept)
-    opens = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~((F.get(kept, i).role == "assistant") & F.coalesce(F.get(kept, i - 1).role == "user", F.lit(False))))
-    ends = F.concat(F.slice(opens, 2, F.greatest(F.size(opens), F.lit(1))), F.array(n))
-    cut = F.transform(F.arrays_zip(opens.alias("a"), ends.alias("b")), lambda r: F.slice(kept, r["a"] + 1, r["b"] - r["a"]))
-    return F.when(n > 0, cut).otherwise(F.array().cast("array<array<struct<role:string,content:string,has_answer:boolean>>>"))
+    kept = df.withColumn("__kept", F.filter("turns", lambda t: text.strip(t.content) != ""))
+    roles = kept.withColumn("__roles", F.transform("__kept", lambda t: t.role)).withColumn("__n", F.size("__kept"))
+    follows = lambda r, i: (r == "assistant") & (i > 0) & (F.get(F.col("__roles"), i - 1) == "user")
+    marks = F.transform("__roles", lambda r, i: F.when(follows(r, i), F.lit(-1)).otherwise(i))
+    opened = roles.withColumn("__opens", F.filter(marks, lambda i: i >= 0))
+    ends = F.concat(F.slice("__opens", 2, F.greatest(F.size("__opens"), F.lit(1))), F.array("__n"))
+    paired = opened.withColumn("__pairs", F.arrays_zip(F.col("__opens").alias("a"), ends.alias("b")))
+    cut = F.transform("__pairs", lambda r: F.slice(F.col("__kept"), r["a"] + 1, r["b"] - r["a"]))
+    none = F.array().cast("array<array<struct<role:string,content:string,has_answer:boolean>>>")
+    # The second use of the turns keeps the optimizer from computing them anew for every round.
+    return paired.withColumn("rounds", F.when(F.size("__kept") > 0, cut).otherwise(none)).drop("__kept", "__roles", "__n", "__opens", "__pairs")
 
 
 def rounds(sessions: DataFrame) -> DataFrame:
     """``session_id, user_id, ts, round_no, turns, roles, text, has_evidence`` of every round."""
-    cut = with_defaults(sessions).select("session_id", "user_id", F.col("session_date").alias("ts"), F.posexplode(rounds_of(F.col("turns"))).alias("round_no", "turns"))
+    cut = with_rounds(with_defaults(sessions)).select("session_id", "user_id", F.col("session_date").alias("ts"), F.posexplode_outer("rounds").alias("round_no", "turns")).where("turns IS NOT NULL")  # outer: else a filter on the size repeats the whole fold
     return cut.select("*", F.array_join(F.transform("turns", lambda t: t.role), "+").alias("roles"), round_text(F.col("turns")).alias("text"), F.exists("turns", lambda t: t.has_answer).alias("has_evidence"))
 
 
@@ -72,7 +78,7 @@ def round_key(ts: Column, body: Column) -> Column:
 def window_pieces(rounds_df: DataFrame, size: int = 64, overlap: int = 16) -> DataFrame:
     """``session_id, round_no, piece, text``: windows of each round's words; rounds of up to ``size`` words are one piece."""
     words = text.tokens(text.collapse(F.col("text")))
-    cut = rounds_df.select("session_id", "round_no", F.posexplode(text.windows(words, size, overlap)).alias("piece", "w"))
+    cut = rounds_df.select("session_id", "round_no", F.posexplode_outer(text.windows(words, size, overlap)).alias("piece", "w"))
     return cut.select("session_id", "round_no", "piece", F.array_join("w", " ").alias("text"))
 
 
@@ -96,7 +102,7 @@ def fact_pieces(rounds_df: DataFrame) -> DataFrame:
 
     ``session_id, user_id, ts, round_no, n, content, raw, how, time_mention, valid_time``.
     """
-    got = rounds_df.select("session_id", "user_id", "ts", "round_no", "turns", "text", F.posexplode(extraction.rule_facts_column(F.col("turns"))).alias("n", "f"))
+    got = rounds_df.select("session_id", "user_id", "ts", "round_no", "turns", "text", F.posexplode_outer(extraction.rule_facts_column(F.col("turns"))).alias("n", "f")).where("f IS NOT NULL")
     plain = F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.content.alias("content")))
     seen = got.withColumn("v", extraction.verify_raw_column(F.col("f.content"), F.col("f.raw"), plain)).withColumn("mention", dates.mention_in(F.col("f.when"), F.col("text")))
     return seen.select("session_id", "user_id", "ts", "round_no", "n", "f.content", "v.raw", "v.how", F.col("mention").alias("time_mention"), dates.resolve_column(F.col("mention"), F.col("ts"), F.col("f.content")).alias("valid_time"))

@@ -23,7 +23,7 @@ def _queries(records):
 
 
 def _hits(df):
-    return df.select("qid", F.col("rank").cast("bigint").alias("rank"), "id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
+    return df.select("qid", F.col("rank").cast("bigint").alias("rank"), "id", F.round("similarity", 4).alias("similarity"), F.round("score", 4).alias("score"))
 
 
 def similarity_topk(spark, sf_dir):
@@ -151,10 +151,10 @@ def _prompt_sql() -> str:
 _FACT = """'  ' || concat_ws('  ', 'fact: ' || coalesce(fact, content), 'salience ' || CAST(CAST(salience AS DECIMAL(12,4)) AS VARCHAR), CASE WHEN abs(initial_salience - salience) > 1e-9 THEN '(initial ' || CAST(CAST(initial_salience AS DECIMAL(12,4)) AS VARCHAR) || ')' END,
     CASE WHEN salience = 0 THEN 'superseded' END, 'valid_time ' || nullif(valid_time, ''), 'pair ' || nullif(pair_key, ''), 'supersedes ' || supersedes)"""
 ORACLES = {
-    "similarity_topk": _BASE + " SELECT qid, rank, id, round(similarity, 6) AS similarity, round(similarity, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, kind DESC, id) AS rank FROM pairs) WHERE rank <= 10",
+    "similarity_topk": _BASE + " SELECT qid, rank, id, round(similarity, 4) AS similarity, round(similarity, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, kind DESC, id) AS rank FROM pairs) WHERE rank <= 10",
     "round_topk": _BASE + """, best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY qid, round ORDER BY similarity DESC, kind DESC, id) = 1)
-        SELECT qid, rank, id, round(similarity, 6) AS similarity, round(similarity, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, kind DESC, id) AS rank FROM best) WHERE rank <= 10""",
-    "recall_score": _BASE + _TOP + " SELECT qid, rank, id, round(similarity, 6) AS similarity, round(score, 6) AS score FROM top",
+        SELECT qid, rank, id, round(similarity, 4) AS similarity, round(similarity, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, kind DESC, id) AS rank FROM best) WHERE rank <= 10""",
+    "recall_score": _BASE + _TOP + " SELECT qid, rank, id, round(similarity, 4) AS similarity, round(score, 4) AS score FROM top",
     "recall_updates": _BASE + _TOP + " SELECT id, max(now) AS last_accessed FROM top WHERE similarity >= 0.5 GROUP BY id",
     "rerank_overlap": _BASE + _TOP + f""", pool AS (SELECT qid, user_id, round, rank AS seed FROM ranked WHERE rank <= 50),
         qw AS (SELECT id AS qid, list_distinct(list_filter(string_split({words_sql('content')}, ' '), lambda w: length(w) > 2)) AS q FROM r WHERE id % 20 = 0),
