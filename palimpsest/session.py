@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = id(spark.sparkContext)
     if key not in _LOCAL_SCRATCH:
@@ -80,3 +81,8 @@ def once(df: DataFrame, *keys: str) -> DataFrame:
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether a frame has at most ``max_rows`` rows, counted without reading on."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """A frame to be broadcast while a count shows it to be small, else as it is."""
+    return F.broadcast(df) if small_enough(df, max_rows) else df
