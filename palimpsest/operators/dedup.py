@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from palimpsest.functions import text
-from palimpsest.session import materialize
+from palimpsest.session import bounded, materialize
 
 #: Rows of one block of a user's records.
 BLOCK = 2000
@@ -46,7 +46,7 @@ def near_links(memories: DataFrame, threshold: float = 0.95, dim: int = 64) -> D
     rows = fine.select(F.xxhash64(F.coalesce("user_id", F.lit("\u0000")), "kind").alias("scope"), "id", F.coalesce("created_at", F.lit("")).alias("ts"), _packed_column(F.col("embedding")).alias("vec"))
     rows = materialize(rows, "dedup-rows")
     sizes = rows.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    sized = rows.join(sizes, "scope").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sized = rows.join(bounded(sizes), "scope").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("lo"), F.greatest("b", o).alias("hi")))
     cells = sized.select("scope", "id", "ts", "vec", "b", F.explode(pair).alias("cell"))
 
