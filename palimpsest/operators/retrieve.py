@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from palimpsest.functions import dates, text
 from palimpsest.operators.conflict import now_logical
+from palimpsest.session import bounded, materialize
 
 BLOCK = 20_000
 
@@ -79,18 +80,19 @@ def rank_rounds(queries: DataFrame, records: DataFrame, k: int = 10, weights: We
     eff = dates.effective_time(F.col("valid_time"), F.col("created_at"))
     low = F.when(eff.rlike(r"^\d+-\d+-\d+$"), F.try_to_date(eff, "y-M-d")).when(eff.rlike(r"^\d+-\d+$"), F.try_to_date(F.concat(eff, F.lit("-1")), "y-M-d"))
     high = F.when(eff.rlike(r"^\d+-\d+$"), F.last_day(low)).otherwise(low)
-    clock = now_logical(records)
-    rec = rec.join(clock, "user_id", "left").select(
-        "user_id", "id", (F.col("kind") == "round").cast("int").alias("is_round"), "salience",
-        (round_identity(F.col("round_key"), F.col("id")) if per_round else F.concat(F.lit("id:"), "id")).alias("round"),
+    # What is known of a user (clock, number of blocks) is joined once, by broadcast while there are few users.
+    sizes = rec.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    users = bounded(materialize(sizes.join(now_logical(records), "user_id", "left"), "users"))
+    identity = round_identity(F.col("round_key"), F.col("id")) if per_round else F.concat(F.lit("id:"), "id")
+    rec = rec.join(users, "user_id").select(
+        "user_id", "id", (F.col("kind") == "round").cast("int").alias("is_round"), "salience", identity.alias("round"),
         recency(dates.logical_days(F.col("now"), F.col("created_at")), weights.half_life).alias("recency"),
         F.unix_date(low).alias("low"), F.unix_date(high).alias("high"), _vec(F.col("embedding")).alias("vec"),
+        F.pmod(F.xxhash64(identity), F.col("blocks")).cast("int").alias("block"),
     )
-    sizes = rec.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rec = rec.join(sizes, "user_id").withColumn("block", F.pmod(F.xxhash64("round"), F.col("blocks")).cast("int")).drop("blocks")
     start, end = (F.unix_date(F.col(c).cast("date")) if c in queries.columns else F.lit(None).cast("int") for c in ("start_day", "end_day"))
     asked = queries.where(_usable(F.col("embedding"), dim)).select("qid", "user_id", start.alias("start"), end.alias("end"), _vec(F.col("embedding")).alias("vec"))
-    asked = asked.join(sizes, "user_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asked = asked.join(users, "user_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = asked.select("qid", F.col("user_id").alias("asker"), F.col("block").alias("part"), "start", "end", "vec")
 
     def unit(col):

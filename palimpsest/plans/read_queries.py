@@ -8,18 +8,19 @@ from palimpsest.functions import text
 from palimpsest.operators import ingest, render, retrieve
 from palimpsest.plans.ingest_queries import ROUNDS_SQL, words_sql
 from palimpsest.plans.write_queries import day_sql
-from palimpsest.session import once, read_table
+from palimpsest.session import materialize, once, read_table
 
-_COLS = ("user_id", "kind", "content", "created_at", "salience", "source", "turns", "round_key", "fact", "valid_time", "raw", "embedding")
+#: What ranking reads of a record; texts come in only where they are rendered.
+_RANKED = ("user_id", "kind", "created_at", "salience", "round_key", "valid_time", "embedding")
 
 
-def _records(spark, sf_dir):
-    return once(read_table(spark, sf_dir, "memories").select("id", *_COLS), "id")
+def _records(spark, sf_dir, *cols):
+    return materialize(once(read_table(spark, sf_dir, "memories").select("id", *(cols or _RANKED)), "id"), "records")
 
 
 def _queries(records):
     """Every row whose id is divisible by 20, against all rows."""
-    return records.where("id % 20 = 0").select(F.col("id").alias("qid"), "user_id", "embedding", F.col("content").alias("question"), F.lit("2023-01-01").alias("start_day"), F.lit("2024-12-31").alias("end_day"))
+    return records.where("id % 20 = 0").select(F.col("id").alias("qid"), "user_id", "embedding", F.lit("2023-01-01").alias("start_day"), F.lit("2024-12-31").alias("end_day"))
 
 
 def _hits(df):
@@ -56,12 +57,14 @@ def rerank_overlap(spark, sf_dir):
     r = _records(spark, sf_dir)
     q = _queries(r)
     pool = retrieve.rank_rounds(q, r, 50, _W)
-    return retrieve.rerank_rounds(pool, q.select("qid", "user_id", "question"), r, 10).select("qid", F.col("rank").cast("bigint").alias("rank"), "round", F.round("pair_score", 6).alias("pair_score"))
+    t = _records(spark, sf_dir, "user_id", "salience", "round_key", "fact", "turns", "content")
+    asked = t.where("id % 20 = 0").select(F.col("id").alias("qid"), "user_id", F.col("content").alias("question"))
+    return retrieve.rerank_rounds(pool, asked, t, 10).select("qid", F.col("rank").cast("bigint").alias("rank"), "round", F.round("pair_score", 6).alias("pair_score"))
 
 
 def budget_prefix(spark, sf_dir):
     r = _records(spark, sf_dir)
-    hits = retrieve.rank_rounds(_queries(r), r, 10, _W).join(r.select("id", F.col("content").alias("body")), "id")
+    hits = retrieve.rank_rounds(_queries(r), r, 10, _W).join(_records(spark, sf_dir, "content").select("id", F.col("content").alias("body")), "id")
     return retrieve.within_budget(hits, text.cost_in_tokens(F.col("body")), 300).select("qid", F.col("rank").cast("bigint").alias("rank"), "id", "spent")
 
 
@@ -69,15 +72,17 @@ def context_text(spark, sf_dir):
     r = _records(spark, sf_dir)
     hits = retrieve.rank_rounds(_queries(r), r, 10, _W).select("qid", "id")
     turns = F.coalesce(F.when(F.size("turns") > 0, F.col("turns")), F.array(F.struct(F.col("source").alias("role"), F.col("content").alias("content"))))
-    items = hits.join(r.select("id", F.col("created_at").alias("ts"), turns.alias("turns")), "id")
+    t = _records(spark, sf_dir, "created_at", "turns", "source", "content")
+    items = hits.join(t.select("id", F.col("created_at").alias("ts"), turns.alias("turns")), "id")
     return render.render(items, "qid").select("qid", F.md5("context").alias("context_md5"), F.length("context").alias("chars"))
 
 
 def context_with_facts(spark, sf_dir):
     r = _records(spark, sf_dir)
     hits = retrieve.rank_rounds(_queries(r), r, 10, _W).select("qid", "id")
-    facts = r.where("kind = 'fact'").groupBy("user_id", "round_key").agg(F.array_sort(F.collect_list(F.struct("id", "fact", "valid_time", "raw"))).alias("facts"))
-    base = r.select("id", "user_id", "round_key", F.col("created_at").alias("ts"), F.coalesce("turns", F.array(F.struct(F.col("source").alias("role"), F.col("content").alias("content")))).alias("turns"))
+    t = _records(spark, sf_dir, "user_id", "kind", "round_key", "created_at", "turns", "source", "content", "fact", "valid_time", "raw")
+    facts = t.where("kind = 'fact'").groupBy("user_id", "round_key").agg(F.array_sort(F.collect_list(F.struct("id", "fact", "valid_time", "raw"))).alias("facts"))
+    base = t.select("id", "user_id", "round_key", F.col("created_at").alias("ts"), F.coalesce("turns", F.array(F.struct(F.col("source").alias("role"), F.col("content").alias("content")))).alias("turns"))
     items = hits.join(base, "id").join(facts, ["user_id", "round_key"], "left").withColumn("facts", F.coalesce("facts", F.array().cast("array<struct<id:bigint,fact:string,valid_time:string,raw:string>>")))
     return render.render(items, "qid", "round+facts")
 
