@@ -240,3 +240,72 @@ def replan(items: DataFrame, chunks: DataFrame, group: str, order: str, cost: st
     left = items.join(ran.select(group, order), [group, order], "left_anti")
     fresh = plan_chunks(left, group, order, cost, limit).join(kept, group, "left")
     return fresh.withColumn("chunk", F.col("chunk") + F.coalesce("kept", F.lit(0)).cast("int")).drop("kept")
+
+
+# --- records of pairs, differences, gaps ---------------------------------------
+
+
+def win_lists(grades: DataFrame) -> DataFrame:
+    """``first, second, first_wins, second_wins``: the questions that only one run of a pair got right, in order."""
+    g = grades.select("run_id", "question_id", "correct")
+    a, b = g.select(F.col("run_id").alias("first"), "question_id", F.col("correct").alias("x")), g.select(F.col("run_id").alias("second"), "question_id", F.col("correct").alias("y"))
+    j = a.join(b, "question_id").where("first < second AND x <> y")
+    ids = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(F.col(c), F.col("question_id")))), ",")
+    return j.groupBy("first", "second").agg(ids("x").alias("first_wins"), ids("y").alias("second_wins"))
+
+
+def same_questions(grades: DataFrame, first: str, second: str) -> DataFrame:
+    """``question_id, only_in`` of questions that one of two runs did not answer; paired tests need none."""
+    a = grades.where(F.col("run_id") == first).select("question_id", F.lit(True).alias("a"))
+    b = grades.where(F.col("run_id") == second).select("question_id", F.lit(True).alias("b"))
+    return a.join(b, "question_id", "full_outer").where("a IS NULL OR b IS NULL").select("question_id", F.when(F.col("b").isNull(), first).otherwise(second).alias("only_in"))
+
+
+def pin_differences(first: DataFrame, second: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """``key, first, second``: shared keys of two ``key, value`` frames that differ; absent is spelled null, empty or ``none``."""
+    value = lambda c: F.when(~F.coalesce(F.lower("value"), F.lit("")).isin("", "none", "null"), F.col("value")).alias(c)
+    j = first.select("key", value("first")).join(second.select("key", value("second")), "key").where(~F.col("first").eqNullSafe(F.col("second")))
+    return j.where(~F.col("key").isin(*ignored)) if ignored else j
+
+
+def missing_paths(required: DataFrame, present: DataFrame) -> DataFrame:
+    """``path, state``: required paths that are missing, or present but ``UNKNOWN``."""
+    j = required.select("path").join(present.select("path", "value"), "path", "left")
+    return j.where("value IS NULL OR value = 'UNKNOWN'").select("path", F.when(F.col("value").isNull(), "missing").otherwise("unknown").alias("state"))
+
+
+def slices(rounds: DataFrame, sampled: DataFrame) -> DataFrame:
+    """``part, rounds, chars``: rounds of sampled sessions and of the others."""
+    mark = rounds.join(sampled.select("session_id").distinct().withColumn("__in", F.lit(True)), "session_id", "left")
+    return mark.groupBy(F.when(F.col("__in"), "inside").otherwise("outside").alias("part")).agg(F.count(F.lit(1)).alias("rounds"), F.sum(F.length("text")).alias("chars"))
+
+
+def emitted_differences(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
+    """``state, rows``: outputs that are the same, differ, or stand on one side only."""
+    j = first.select(key, F.struct(F.col(value)).alias("x")).join(second.select(key, F.struct(F.col(value)).alias("y")), key, "full_outer")
+    state = F.when(F.col("x").isNull(), "only-second").when(F.col("y").isNull(), "only-first").when(F.col("x").eqNullSafe(F.col("y")), "same").otherwise("different")
+    return j.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def filled(wanted: DataFrame, outputs: DataFrame, keys: list[str], value: str, default: Column) -> DataFrame:
+    """Outputs, and a default for each wanted key that has none; of several outputs of a key the smallest."""
+    one = outputs.groupBy(*keys).agg(F.min(value).alias(value), F.lit(True).alias("__got"))
+    return wanted.select(*keys).distinct().join(one, keys, "left").select(*keys, F.when(F.col("__got"), F.col(value)).otherwise(default).alias(value), F.coalesce("__got", F.lit(False)).alias("answered"))
+
+
+def score_labels(labels: DataFrame) -> DataFrame:
+    """``kind, judge, n, agree, rate, low, high`` of two judges against labels: ``kind, human, first, second``."""
+    rows = labels.where("human IS NOT NULL").select("kind", F.explode(F.array(*[F.struct(F.lit(j).alias("judge"), (F.col(j) == F.col("human")).alias("ok")) for j in ("first", "second")])).alias("v")).select("kind", "v.*")
+    s = rows.groupBy("kind", "judge").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("agree"))
+    low, high = stats.wilson(F.col("agree"), F.col("n"))
+    return s.select("kind", "judge", "n", "agree", F.round(F.col("agree") / F.col("n"), 6).alias("rate"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+def sign_agreement(grades: DataFrame) -> DataFrame:
+    """``first, second, sign, second_sign, agree``: whether two gradings favour the same run of a pair."""
+    g = grades.where("size(verdicts) > 1").select("run_id", "question_id", F.col("correct").alias("c1"), F.col("verdicts")[1]["correct"].alias("c2"))
+    a = g.select(F.col("run_id").alias("first"), "question_id", F.col("c1").alias("x1"), F.col("c2").alias("x2"))
+    b = g.select(F.col("run_id").alias("second"), "question_id", F.col("c1").alias("y1"), F.col("c2").alias("y2"))
+    gap = lambda x, y: F.signum(F.sum(F.col(y).cast("int") - F.col(x).cast("int"))).cast("int")
+    s = a.join(b, "question_id").where("first < second").groupBy("first", "second").agg(gap("x1", "y1").alias("sign"), gap("x2", "y2").alias("second_sign"))
+    return s.withColumn("agree", F.col("sign") == F.col("second_sign"))

@@ -134,9 +134,57 @@ def power_table(spark, sf_dir):
     return stats.power_grid(grid).withColumn("power", F.round("power", 6))
 
 
-QUERIES = {f.__name__: f for f in (accuracy_wilson, mcnemar_holm, judge_agreement, retest_unstable, outcome_buckets, recall_at_k, miss_kinds, drop_summary, drift_diff, audit_flips, truncation_caveat, token_percentiles, ledger_spend, cost_projection, parity_check, accuracy_pivot, distinct_answers, question_digests, answer_overlap, sample_stratified, sample_deciles, label_sheet, plan_chunks, power_table)}
+def pair_wins(spark, sf_dir):
+    return ev.win_lists(_grades(spark, sf_dir))
 
-from palimpsest.plans.ingest_queries import key_sql  # noqa: E402
+
+def unpaired_questions(spark, sf_dir):
+    return ev.same_questions(_grades(spark, sf_dir), SYSTEM, ORACLE)
+
+
+def pin_differences(spark, sf_dir):
+    """What two runs were fed: questions by category, as pins."""
+    p = once(read_table(spark, sf_dir, "predictions").select("run_id", "question_id", "category"), "run_id", "question_id").groupBy("run_id", F.coalesce("category", F.lit("none")).alias("key")).agg(F.count(F.lit(1)).cast("string").alias("value"))
+    side = lambda r: p.where(F.col("run_id") == r).select("key", "value")
+    return ev.pin_differences(side(SYSTEM), side(ORACLE), ("none",))
+
+
+def missing_paths(spark, sf_dir):
+    p = read_table(spark, sf_dir, "predictions")
+    required = p.select("run_id").distinct().select(F.explode(F.array(F.concat("run_id", F.lit("/predictions")), F.concat("run_id", F.lit("/summary")))).alias("path"))
+    present = p.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).select(F.concat("run_id", F.lit("/predictions")).alias("path"), F.when(F.col("n") > 100, F.col("n").cast("string")).otherwise("UNKNOWN").alias("value"))
+    return ev.missing_paths(required, present)
+
+
+def round_slices(spark, sf_dir):
+    r = ingest.rounds(ingest.sessions_once(read_table(spark, sf_dir, "sessions")))
+    return ev.slices(r, read_table(spark, sf_dir, "predictions").select(F.explode("retrieved_ids").alias("session_id")))
+
+
+def emitted_differences(spark, sf_dir):
+    p = once(read_table(spark, sf_dir, "predictions").select("run_id", "question_id", "predicted"), "run_id", "question_id")
+    side = lambda r: p.where(F.col("run_id") == r)
+    return ev.emitted_differences(side("store_p3_b"), side("store_p4_c"), "question_id", "predicted")
+
+
+def filled_outputs(spark, sf_dir):
+    p = once(read_table(spark, sf_dir, "predictions").select("run_id", "question_id", "reader_prompt_tokens"), "run_id", "question_id")
+    wanted = p.select("question_id").distinct().withColumn("run_id", F.explode(F.array(F.lit(SYSTEM), F.lit(ORACLE))))
+    return ev.filled(wanted, p, ["run_id", "question_id"], "reader_prompt_tokens", F.lit(0).cast("bigint"))
+
+
+def label_scores(spark, sf_dir):
+    g = _grades(spark, sf_dir).where("size(verdicts) > 1").select(F.col("group").alias("kind"), F.col("correct").alias("first"), F.col("verdicts")[1]["correct"].alias("second"), (F.length("question_id") % 2 == 0).alias("human"))
+    return ev.score_labels(g)
+
+
+def sign_agreement(spark, sf_dir):
+    return ev.sign_agreement(_grades(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (pair_wins, unpaired_questions, pin_differences, missing_paths, round_slices, emitted_differences, filled_outputs, label_scores, sign_agreement, accuracy_wilson, mcnemar_holm, judge_agreement, retest_unstable, outcome_buckets, recall_at_k, miss_kinds, drop_summary, drift_diff, audit_flips, truncation_caveat, token_percentiles, ledger_spend, cost_projection, parity_check, accuracy_pivot, distinct_answers, question_digests, answer_overlap, sample_stratified, sample_deciles, label_sheet, plan_chunks, power_table)}
+
+from palimpsest.plans.ingest_queries import ROUNDS_SQL, key_sql  # noqa: E402
 
 _P = "(SELECT run_id, question_id, any_value(category) AS category, any_value(is_abstention) AS is_abstention, any_value(question) AS question, any_value(answer) AS answer, any_value(predicted) AS predicted, any_value(reader_prompt_tokens) AS reader_prompt_tokens, any_value(truncated) AS truncated, any_value(tokens_dropped) AS tokens_dropped, any_value(retrieved_ids) AS retrieved_ids, any_value(verdicts) AS verdicts FROM predictions GROUP BY run_id, question_id)"
 _G = f"WITH p AS {_P}, g AS (SELECT run_id, question_id, CASE WHEN coalesce(is_abstention, false) THEN 'abstention' ELSE coalesce(category, 'unknown') END AS grp, verdicts[1].correct AS correct, verdicts, list_transform(verdicts, lambda v: v.correct) AS vs FROM p WHERE len(verdicts) > 0)"
@@ -144,6 +192,22 @@ _Z = 1.959963984540054
 _RANKS = ", ev AS (SELECT DISTINCT session_id FROM (SELECT session_id, arg_min(turns, arrived_at) AS turns FROM sessions GROUP BY session_id) WHERE len(list_filter(turns, lambda t: coalesce(t.has_answer, false))) > 0), evl AS (SELECT list(session_id) AS es FROM ev), rk AS (SELECT p.*, list_filter(list_transform(retrieved_ids, lambda s, i: CASE WHEN list_contains(es, s) THEN i ELSE 0 END), lambda x: x > 0) AS ranks FROM p, evl)"
 _KS = (1, 2, 3, 5, 10)
 ORACLES = {
+    "pair_wins": _G + """ SELECT a.run_id AS first, b.run_id AS second, coalesce(string_agg(question_id, ',' ORDER BY question_id) FILTER (a.correct), '') AS first_wins, coalesce(string_agg(question_id, ',' ORDER BY question_id) FILTER (b.correct), '') AS second_wins
+        FROM g a JOIN g b USING (question_id) WHERE a.run_id < b.run_id AND a.correct <> b.correct GROUP BY ALL""",
+    "unpaired_questions": _G + f" SELECT coalesce(a.question_id, b.question_id) AS question_id, CASE WHEN b.question_id IS NULL THEN '{SYSTEM}' ELSE '{ORACLE}' END AS only_in FROM (SELECT question_id FROM g WHERE run_id = '{SYSTEM}') a FULL JOIN (SELECT question_id FROM g WHERE run_id = '{ORACLE}') b ON a.question_id = b.question_id WHERE a.question_id IS NULL OR b.question_id IS NULL",
+    "pin_differences": f"WITH p AS (SELECT run_id, coalesce(category, 'none') AS key, CAST(count(*) AS VARCHAR) AS value FROM {_P} GROUP BY ALL) SELECT key, a.value AS first, b.value AS second FROM p a JOIN p b USING (key) WHERE a.run_id = '{SYSTEM}' AND b.run_id = '{ORACLE}' AND a.value <> b.value AND key <> 'none'",
+    "missing_paths": "WITH c AS (SELECT run_id, count(*) AS n FROM predictions GROUP BY run_id) SELECT run_id || '/summary' AS path, 'missing' AS state FROM c UNION ALL SELECT run_id || '/predictions', 'unknown' FROM c WHERE n <= 100",
+    "round_slices": ROUNDS_SQL + ", q AS (SELECT DISTINCT unnest(retrieved_ids) AS session_id FROM predictions) SELECT CASE WHEN session_id IN (SELECT session_id FROM q) THEN 'inside' ELSE 'outside' END AS part, count(*) AS rounds, CAST(sum(length(text)) AS BIGINT) AS chars FROM rnd GROUP BY part",
+    "emitted_differences": f"""WITH p AS {_P}, a AS (SELECT question_id, predicted, true AS h FROM p WHERE run_id = 'store_p3_b'), b AS (SELECT question_id, predicted, true AS h FROM p WHERE run_id = 'store_p4_c')
+        SELECT CASE WHEN a.h IS NULL THEN 'only-second' WHEN b.h IS NULL THEN 'only-first' WHEN a.predicted IS NOT DISTINCT FROM b.predicted THEN 'same' ELSE 'different' END AS state, count(*) AS rows FROM a FULL JOIN b USING (question_id) GROUP BY state""",
+    "filled_outputs": f"""WITH p AS {_P}, w AS (SELECT DISTINCT question_id, r.run_id FROM p, (VALUES ('{SYSTEM}'), ('{ORACLE}')) r(run_id))
+        SELECT w.run_id, w.question_id, CASE WHEN p.run_id IS NULL THEN 0 ELSE reader_prompt_tokens END AS reader_prompt_tokens, p.run_id IS NOT NULL AS answered FROM w LEFT JOIN p ON p.run_id = w.run_id AND p.question_id = w.question_id""",
+    "label_scores": _G + f""", l AS (SELECT grp AS kind, length(question_id) % 2 = 0 AS human, vs FROM g WHERE len(vs) > 1), v AS (SELECT kind, 'first' AS judge, vs[1] = human AS ok FROM l UNION ALL SELECT kind, 'second', vs[2] = human FROM l),
+        s AS (SELECT kind, judge, count(*) AS n, count(*) FILTER (ok) AS agree, {_Z} AS z FROM v GROUP BY kind, judge), w AS (SELECT *, agree / n AS p FROM s)
+        SELECT kind, judge, n, agree, round(p, 6) AS rate, round(CASE WHEN agree = 0 THEN 0.0 ELSE greatest(0.0, (p + z*z/(2*n) - z * sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)) END, 6) AS low,
+          round(CASE WHEN agree = n THEN 1.0 ELSE least(1.0, (p + z*z/(2*n) + z * sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)) END, 6) AS high FROM w""",
+    "sign_agreement": _G + """, s AS (SELECT a.run_id AS first, b.run_id AS second, CAST(sign(sum(CAST(b.vs[1] AS INTEGER) - CAST(a.vs[1] AS INTEGER))) AS INTEGER) AS sign, CAST(sign(sum(CAST(b.vs[2] AS INTEGER) - CAST(a.vs[2] AS INTEGER))) AS INTEGER) AS second_sign
+        FROM g a JOIN g b USING (question_id) WHERE a.run_id < b.run_id AND len(a.vs) > 1 AND len(b.vs) > 1 GROUP BY ALL) SELECT *, sign = second_sign AS agree FROM s""",
     "accuracy_wilson": _G + f""", s AS (SELECT run_id, CASE WHEN grouping(grp) = 1 THEN 'overall' ELSE grp END AS "group", count(*) FILTER (correct) AS correct, count(*) AS total FROM g GROUP BY GROUPING SETS ((run_id, grp), (run_id))),
         w AS (SELECT *, correct / total AS p, {_Z} AS z FROM s)
         SELECT run_id, "group", correct, total, round(p, 6) AS accuracy, round(CASE WHEN correct = 0 THEN 0.0 ELSE greatest(0.0, (p + z*z/(2*total) - z * sqrt(p*(1-p)/total + z*z/(4*total*total))) / (1 + z*z/total)) END, 6) AS low,
