@@ -84,7 +84,7 @@ def context_with_facts(spark, sf_dir):
     facts = t.where("kind = 'fact'").groupBy("user_id", "round_key").agg(F.array_sort(F.collect_list(F.struct("id", "fact", "valid_time", "raw"))).alias("facts"))
     base = t.select("id", "user_id", "round_key", F.col("created_at").alias("ts"), F.coalesce("turns", F.array(F.struct(F.col("source").alias("role"), F.col("content").alias("content")))).alias("turns"))
     items = hits.join(base, "id").join(facts, ["user_id", "round_key"], "left").withColumn("facts", F.coalesce("facts", F.array().cast("array<struct<id:bigint,fact:string,valid_time:string,raw:string>>")))
-    return render.render(items, "qid", "round+facts")
+    return render.render(items, "qid", "round+facts").select("qid", F.md5("context").alias("context_md5"), F.length("context").alias("chars"))
 
 
 def session_texts(spark, sf_dir):
@@ -171,6 +171,11 @@ ORACLES = {
         h AS (SELECT *, nullif(created_at, '') AS ts, last_value(nullif(created_at, '') IGNORE NULLS) OVER (PARTITION BY qid ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o),
         c AS (SELECT qid, string_agg(CASE WHEN ts IS NOT NULL AND ts IS DISTINCT FROM before THEN '[Session date: ' || ts || ']' || chr(10) || body ELSE body END, chr(10) ORDER BY n) AS context FROM h GROUP BY qid)
         SELECT qid, md5(context) AS context_md5, CAST(length(context) AS INTEGER) AS chars FROM c""",
+    "context_with_facts": _BASE + _TOP + f""", f AS (SELECT user_id, round_key, string_agg('- ' || coalesce(fact, '') || CASE WHEN coalesce(valid_time, '') = '' THEN '' ELSE ' (' || valid_time || ')' END, chr(10) ORDER BY id) AS facts FROM r WHERE kind = 'fact' GROUP BY user_id, round_key),
+        o AS (SELECT qid, created_at, id, CASE WHEN facts IS NULL THEN '' ELSE 'facts:' || chr(10) || facts || chr(10) END || {_TURNS} AS body, row_number() OVER (PARTITION BY qid ORDER BY coalesce(created_at, ''), id) AS n FROM top LEFT JOIN f ON f.user_id = top.user_id AND f.round_key = top.round_key),
+        h AS (SELECT *, nullif(created_at, '') AS ts, last_value(nullif(created_at, '') IGNORE NULLS) OVER (PARTITION BY qid ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o),
+        c AS (SELECT qid, string_agg(CASE WHEN ts IS NOT NULL AND ts IS DISTINCT FROM before THEN '[Session date: ' || ts || ']' || chr(10) || body ELSE body END, chr(10) ORDER BY n) AS context FROM h GROUP BY qid)
+        SELECT qid, md5(context) AS context_md5, CAST(length(context) AS INTEGER) AS chars FROM c""",
     "session_texts": ROUNDS_SQL + ", t AS (SELECT session_id, any_value(ts) AS ts, string_agg(coalesce(role, '') || ': ' || coalesce(content, ''), chr(10) ORDER BY i) AS body FROM said GROUP BY session_id) SELECT session_id, CASE WHEN ts = '' THEN body ELSE '[Session date: ' || ts || ']' || chr(10) || body END AS context FROM t",
     "export_text": f"""WITH r AS {_R}, rounds AS (SELECT user_id, coalesce(created_at, '') AS ts, id AS round_id, round_key, CASE WHEN coalesce(created_at, '') = '' THEN {_TURNS} ELSE '[Session date: ' || created_at || ']' || chr(10) || {_TURNS} END AS line FROM r WHERE kind = 'round'),
         home AS (SELECT user_id, round_key, min(struct_pack(ts := ts, id := round_id)) AS h FROM rounds WHERE round_key IS NOT NULL GROUP BY user_id, round_key)

@@ -113,7 +113,7 @@ def time_matches(spark, sf_dir):
 
 def resolved_mentions(spark, sf_dir):
     m = _memories(spark, sf_dir, "time_mention", "created_at", "fact").where("time_mention IS NOT NULL")
-    return m.select("id", "time_mention", dates.resolve_column(F.col("time_mention"), F.col("created_at"), F.col("fact")).alias("valid_time"))
+    return m.select("id", "time_mention", F.coalesce(dates.resolve_column(F.col("time_mention"), F.col("created_at"), F.col("fact")), F.lit("")).alias("valid_time"))
 
 
 QUERIES = {f.__name__: f for f in (exact_dedup, cosine_flags, greedy_dedup, duplicate_counts, normalized_triples, screened_pairs, conflict_losers, supersede_latest, order_keys, now_logical, decay, consolidate, logical_days, anchor_dates, effective_times, question_windows, time_matches, resolved_mentions)}
@@ -135,7 +135,19 @@ def _time_key(v: str, c: str) -> str:
 _NOW = f"(SELECT user_id, max(struct_pack(d := {day_sql('created_at')}, ts := created_at)).ts AS now FROM {_M} WHERE {day_sql('created_at')} IS NOT NULL GROUP BY user_id)"
 _DAYS = f"greatest(0, coalesce(date_diff('day', {day_sql('last_accessed')}, {day_sql('now')}), 0))"
 
+_MON = "january|february|march|april|may|june|july|august|september|october|november|december"
+_MON_NO = "list_position(['january','february','march','april','may','june','july','august','september','october','november','december'], {0})"
+# The forms that the table's mentions have: yesterday, month and day either way round, month, year; none looks forward.
+_MENTIONS = f"""WITH m AS (SELECT id, time_mention, lower(time_mention) AS t, {_DAY.format('created_at')} AS seen FROM (SELECT id, any_value(time_mention) AS time_mention, any_value(created_at) AS created_at FROM memories WHERE time_mention IS NOT NULL GROUP BY id)),
+    p AS (SELECT *, regexp_extract(t, '\\b({_MON}) (\\d{{1,2}})\\b', ['mon', 'd']) AS md, regexp_extract(t, '\\b(\\d{{1,2}}) ({_MON})\\b', ['d', 'mon']) AS dm, regexp_extract(t, '\\b({_MON})\\b', 1) AS mo, regexp_extract(t, '\\b((?:19|20)\\d{{2}})\\b', 1) AS y FROM m),
+    q AS (SELECT *, CASE WHEN md.mon <> '' THEN md.mon ELSE dm.mon END AS mn, CASE WHEN md.mon <> '' THEN md.d ELSE dm.d END AS dd FROM p),
+    r AS (SELECT *, {_MON_NO.format('mn')} AS mi, {_MON_NO.format('mo')} AS oi, try_cast(dd AS INTEGER) AS di FROM q),
+    s AS (SELECT *, try_cast(year(seen) || '-' || lpad(CAST(mi AS VARCHAR), 2, '0') || '-' || lpad(CAST(di AS VARCHAR), 2, '0') AS DATE) AS d_this, try_cast((year(seen) - 1) || '-' || lpad(CAST(mi AS VARCHAR), 2, '0') || '-' || lpad(CAST(di AS VARCHAR), 2, '0') AS DATE) AS d_last FROM r)
+    SELECT id, time_mention, coalesce(CASE WHEN seen IS NULL THEN NULL WHEN t LIKE '%yesterday%' THEN strftime(seen - 1, '%Y-%m-%d') WHEN mn <> '' THEN CASE WHEN d_this IS NULL THEN NULL WHEN d_this > seen THEN strftime(d_last, '%Y-%m-%d') ELSE strftime(d_this, '%Y-%m-%d') END
+      WHEN mo <> '' THEN (CASE WHEN oi <= month(seen) THEN year(seen) ELSE year(seen) - 1 END) || '-' || lpad(CAST(oi AS VARCHAR), 2, '0') WHEN y <> '' THEN y END, '') AS valid_time FROM s"""
+
 ORACLES = {
+    "resolved_mentions": _MENTIONS,
     "exact_dedup": f"""WITH k AS (SELECT id, user_id, kind, CASE WHEN kind = 'fact' THEN coalesce(created_at, '') ELSE '' END AS s, md5({key_sql("coalesce(content, '')")}) AS key FROM {_M})
         SELECT id, min(id) OVER (PARTITION BY user_id, kind, s, key) AS first_id FROM k""",
     "duplicate_counts": f"""WITH k AS (SELECT id, user_id, kind, CASE WHEN kind = 'fact' THEN coalesce(created_at, '') ELSE '' END AS s, md5({key_sql("coalesce(content, '')")}) AS key FROM {_M})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[int, str] = {}
+_RUN = uuid.uuid4().hex
+_OWNED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, in this process's own part of it.
+
+    Results read these files lazily, so they are deleted when the process ends.
+    """
+    own = f"{shared_dir(spark)}/palimpsest/{_RUN}"
+    if own not in _OWNED:
+        _OWNED.add(own)
+        atexit.register(_clear, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _clear(spark: SparkSession, path: str) -> None:
+    try:
+        drop_scratch(path, spark)
+    except Exception:  # the session ended before the process; its files stay
+        pass
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
