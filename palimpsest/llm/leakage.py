@@ -33,45 +33,30 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(consistent(text).casefold()) if text else []
 
 
-def smith_waterman(a: list[str], b: list[str], match: int = 2, miss: int = -1, gap: int = -1) -> tuple[int, int, int, int]:
-    """``score, matched words, first and last index in b`` of the best local alignment."""
-    best = (0, 0, 0, -1)
-    prev = [(0, 0, 0)] * (len(b) + 1)
-    for x in a:
-        row = [(0, 0, 0)]
-        for j, y in enumerate(b, 1):
-            s, m, st = prev[j - 1]
-            if s == 0:
-                st = j - 1
-            cell = (s + match, m + 1, st) if x == y else (s + miss, m, st)
-            up, left = prev[j], row[j - 1]
-            if up[0] + gap > cell[0]:
-                cell = (up[0] + gap, up[1], up[2])
-            if left[0] + gap > cell[0]:
-                cell = (left[0] + gap, left[1], left[2])
-            if cell[0] <= 0:
-                cell = (0, 0, j)
-            elif cell[0] > best[0]:
-                best = (cell[0], cell[1], cell[2], j - 1)
-            row.append(cell)
-        prev = row
-    return best
-
-
-def alignment_score(a: np.ndarray, b: np.ndarray, match: int = 2, miss: int = -1, gap: int = -1) -> int:
-    """The score alone, over word numbers, a row at a time.
-
-    A gap along the row costs ``gap`` a word, so the best cell to the left is
-    a running maximum of score minus position.
+def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, miss: int = -1, gap: int = -1) -> tuple[int, int, int, int]:
+    """``score, matched words, first and last index in b`` of the best local alignment of word numbers.
+
+    A gap along a row costs ``gap`` a word, so the best cell to the left is a
+    running maximum of score minus position; a row is a few array operations.
+    The path is then walked back from the best cell.
     """
     step = np.arange(len(b) + 1) * -gap
-    prev, best = np.zeros(len(b) + 1, np.int64), 0
-    for x in a:
-        row = np.maximum(prev + gap, 0)
-        np.maximum(row[1:], prev[:-1] + np.where(b == x, match, miss), out=row[1:])
-        prev = np.maximum.accumulate(row + step) - step
-        best = max(best, int(prev.max()))
-    return best
+    h = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i, x in enumerate(a, 1):
+        row = np.maximum(h[i - 1] + gap, 0)
+        np.maximum(row[1:], h[i - 1][:-1] + np.where(b == x, match, miss), out=row[1:])
+        h[i] = np.maximum.accumulate(row + step) - step
+    i, j = divmod(int(h.argmax()), len(b) + 1)
+    score, last, matched = int(h[i, j]), j - 1, 0
+    while h[i, j] > 0:
+        same = a[i - 1] == b[j - 1]
+        if h[i, j] == h[i - 1, j - 1] + (match if same else miss):
+            i, j, matched = i - 1, j - 1, matched + int(same)
+        elif h[i, j] == h[i - 1, j] + gap:
+            i -= 1
+        else:
+            j -= 1
+    return score, matched, j, last
 
 
 class SeedIndex:
@@ -136,12 +121,15 @@ class SeedIndex:
                     spans.append([low, high])
             if coded is None:
                 coded = np.array([self.number.get(x, -1) for x in w])
-            scores = [alignment_score(self.coded[k], coded[low:high]) for low, high in spans]
-            if run < self.min_run and max(scores) < min_score:
+            own = self.coded[k]
+            # Twice the words in common bounds a score from above.
+            able = [x for x in spans if run >= self.min_run or 2 * int(np.isin(coded[x[0] : x[1]], own).sum()) >= min_score]
+            aligned = [(*smith_waterman(own, coded[low:high]), low) for low, high in able]
+            if not aligned:
                 continue
-            low, high = spans[scores.index(max(scores))]
-            score, matched, first, last = smith_waterman(item, w[low:high])
-            out.append((q, f, run, score, matched, len(item), low + first, low + last))
+            score, matched, first, last, low = max(aligned, key=lambda x: x[0])
+            if run >= self.min_run or score >= min_score:
+                out.append((q, f, run, score, matched, len(item), low + first, low + last))
         return out
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from palimpsest.llm.leakage import SeedIndex, alignment_score, blocks_of_items, leak_report, leaked_documents, smith_waterman, words_of
+from palimpsest.llm.leakage import SeedIndex, blocks_of_items, leak_report, leaked_documents, smith_waterman, words_of
 
 PASSAGE = "The quick brown fox jumps over the lazy dog, while seven wizards brew strong tea near the old harbour"
 
@@ -21,11 +21,22 @@ def test_words():
     assert words_of("Don't stop—NOW, ｆｕｌｌ ѕсоре!") == ["don", "t", "stop", "now", "full", "scope"] and words_of(None) == [] and words_of("") == []
 
 
-@settings(max_examples=100, deadline=None)
+def _score(a, b):
+    """The recurrence, a cell at a time."""
+    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            h[i][j] = max(0, h[i - 1][j - 1] + (2 if x == y else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+    return max(map(max, h))
+
+
+@settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=14))
-def test_scores_agree(a, b):
+def test_alignment(a, b):
     code = lambda w: np.array([ord(x) for x in w], dtype=np.int64)
-    assert smith_waterman(a, b)[0] == alignment_score(code(a), code(b))
+    score, matched, first, last = smith_waterman(code(a), code(b))
+    assert score == _score(a, b) and 2 * matched >= score and (not score or a and b[first : last + 1])
+    assert _score(a, b[first : last + 1]) == score
 
 
 def test_whole_partial_and_edited(spark):
