@@ -90,7 +90,7 @@ class IncrementalLinkage:
         sizes = vectors.groupBy("scope").agg(F.count(F.lit(1)).alias("rows"))
         total, largest = sizes.agg(F.sum("rows"), F.max("rows")).first()
         self.book = self.spark.sparkContext.broadcast(fit_codebook(vectors, self.dim, total or 1, largest or 1, LIST_ROWS))
-        self.large = materialize(sizes.where(F.col("rows") > LIST_ROWS), "large")
+        self.large = _bounded(materialize(sizes.where(F.col("rows") > LIST_ROWS), "large"))
         shuffled = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
         self.buckets = max(shuffled, -(-(total or 0) // 200_000))
         listed = self._lists(vectors, *STORE)
@@ -98,7 +98,7 @@ class IncrementalLinkage:
         if (largest or 0) > LIST_ROWS:
             over = listed.groupBy("scope", "list").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 4 * BLOCK)
             over = materialize(over.select("scope", "list", F.ceil(F.col("size") / (2 * BLOCK)).cast("int").alias("blocks")), "over")
-            self.over = over if over.limit(1).count() else None
+            self.over = _bounded(over) if over.limit(1).count() else None
         self._append_vectors(listed)
         drop_scratch(rows)
 
@@ -116,7 +116,7 @@ class IncrementalLinkage:
     def _lists(self, rows: DataFrame, replicas: int, ratio: float) -> DataFrame:
         """Adds ``list``: the lists of each row, in the level of its scope."""
         book, names = self.book, [f.name for f in rows.schema]
-        sized = rows.join(_bounded(self.large), "scope", "left").select(*names, F.coalesce("rows", F.lit(1)).alias("rows"))
+        sized = rows.join(self.large, "scope", "left").select(*names, F.coalesce("rows", F.lit(1)).alias("rows"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             b: Codebook = book.value
@@ -133,7 +133,7 @@ class IncrementalLinkage:
         if self.over is None:
             rows = listed.withColumn("block", F.lit(0))
         else:
-            rows = listed.join(_bounded(self.over), ["scope", "list"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+            rows = listed.join(self.over, ["scope", "list"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
             own = F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")
             rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if as_query else own)
         rows = rows.withColumn("lk", F.xxhash64("scope", "list", "block"))
@@ -151,7 +151,8 @@ class IncrementalLinkage:
         values of their own, an empty batch gives no rows.
         """
         rows = materialize(_records(batch, "arrival_id", "a:", self.dim), "batch")
-        probe = _bounded(rows.where("kh IS NOT NULL").select("kh").distinct())
+        probe = rows.where("kh IS NOT NULL").select("kh").distinct()
+        probe = F.broadcast(probe) if rows.count() <= BROADCAST_ROWS else probe
         stored = self.spark.read.parquet(f"{self.at}/keys")
         same = stored.join(probe, "kh").groupBy("kh").agg(F.min("rec").alias("same"))
         links = self._links(rows)
@@ -230,10 +231,10 @@ class IncrementalLinkage:
         )
         related = marked.where("related").drop("related")
         count = related.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
-        huge = materialize(count.where(F.col("n") > WALK_ROWS).select("scope"), "huge")
-        if not huge.limit(1).count():
+        most = count.agg(F.max("n")).first()[0] or 0
+        if most <= WALK_ROWS:
             return alone.unionByName(walk_scopes(related, inner))
-        huge = _bounded(huge)
+        huge = _bounded(materialize(count.where(F.col("n") > WALK_ROWS).select("scope"), "huge"))
         small = walk_scopes(related.join(huge, "scope", "left_anti"), inner.join(huge, "scope", "left_anti"))
         return alone.unionByName(small).unionByName(walk_rounds(related.join(huge, "scope", "left_semi"), inner.join(huge, "scope", "left_semi")))
 
