@@ -26,9 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import materialize
+from palimpsest.session import materialize, small_enough
 
 ROUNDS = 3
+#: Given names that are sent to every executor, at most.
+MOST_NAMES = 1_000_000
 #: Distinct instances that a pattern needs.
 SUPPORT = 3
 #: Share of all instances that a pattern needs, which bounds the number of patterns whatever the size of the data.
@@ -332,7 +334,10 @@ def learn(texts: DataFrame, given: DataFrame, rounds: int = ROUNDS) -> Lexicon:
     The patterns sent to the driver have a support of at least ``SUPPORT`` and
     of the share ``SHARE`` of all edges, so their number is bounded.
     """
-    names = sorted({n.strip().lower() for n in (r[0] for r in given.where("given_name IS NOT NULL").select("given_name").distinct().limit(1_000_000).collect()) if n.strip()})
+    listed = given.where("trim(given_name) <> ''").select(F.lower(F.trim("given_name")).alias("n")).distinct()
+    if not small_enough(listed, MOST_NAMES):
+        raise ValueError(f"more than {MOST_NAMES} given names")
+    names = sorted(r["n"] for r in listed.collect())
     edges = materialize(occurrences(texts, names), "edges")
     scores = score_graph(edges, rounds)
     total = edges.count()
