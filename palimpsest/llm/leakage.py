@@ -59,6 +59,30 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, miss: int = -1,
     return score, matched, j, last
 
 
+def alignment_scores(pairs: list[tuple[np.ndarray, np.ndarray]], match: int = 2, miss: int = -1, gap: int = -1, block: int = 128) -> np.ndarray:
+    """Scores of many alignments at once: a block of pairs of like length goes through the rows together.
+
+    Missing words are padded with numbers that equal nothing.
+    """
+    out = np.zeros(len(pairs), np.int32)
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    for at in range(0, len(order), block):
+        some = order[at : at + block]
+        rows, width = max(len(pairs[k][0]) for k in some), max(len(pairs[k][1]) for k in some)
+        a, b = np.full((len(some), rows), -2), np.full((len(some), width), -3)
+        for n, k in enumerate(some):
+            a[n, : len(pairs[k][0])], b[n, : len(pairs[k][1])] = pairs[k]
+        step = (np.arange(width + 1) * -gap).astype(np.int32)
+        prev, best = np.zeros((len(some), width + 1), np.int32), np.zeros(len(some), np.int32)
+        for i in range(rows):
+            row = np.maximum(prev + gap, 0)
+            np.maximum(row[:, 1:], prev[:, :-1] + np.where(b == a[:, i, None], match, miss).astype(np.int32), out=row[:, 1:])
+            prev = np.maximum.accumulate(row + step, axis=1) - step
+            np.maximum(best, prev.max(axis=1), out=best)
+        out[some] = best
+    return out
+
+
 class SeedIndex:
     """Seeds of the held-out items; its size is that of the items."""
 
@@ -86,12 +110,8 @@ class SeedIndex:
         self.number = number
         self.first = {s[0] for s in self.at}
 
-    def find(self, text: str | None, min_score: int) -> list[tuple]:
-        """Items that share a run of ``min_run`` words with the text or align with ``min_score``."""
-        w = words_of(text)
-        if len(w) < SEED:
-            return []
-        coded = None
+    def candidates(self, w: list[str]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+        """``item, longest exact run, stretches`` of the items that share a seed with these words."""
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i in range(len(w) - SEED + 1):
             if w[i] in self.first and (at := self.at.get(tuple(w[i : i + SEED]))):
@@ -99,9 +119,15 @@ class SeedIndex:
                     hits[k].append((i, j))
         out = []
         for k, pairs in hits.items():
-            q, f, item = self.items[k]
+            item = self.items[k][2]
             run, seen = 0, {}
+            spans: list[list[int]] = []
             for i, j in pairs:  # in order of i: one exact stretch is walked once
+                low, high = max(0, i - j - len(item) // 2), min(len(w), i - j + len(item) + len(item) // 2)
+                if spans and low <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], high)
+                else:
+                    spans.append([low, high])
                 if seen.get(i - j, -1) >= i:
                     continue
                 lo, hi = 0, SEED
@@ -111,25 +137,32 @@ class SeedIndex:
                     hi += 1
                 seen[i - j] = i + hi - 1
                 run = max(run, lo + hi)
-            # Stretches of the document in which the item may lie, each aligned once.
-            spans: list[list[int]] = []
-            for i, j in pairs:
-                low, high = max(0, i - j - len(item) // 2), min(len(w), i - j + len(item) + len(item) // 2)
-                if spans and low <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], high)
-                else:
-                    spans.append([low, high])
-            if coded is None:
-                coded = np.array([self.number.get(x, -1) for x in w])
-            own = self.coded[k]
-            # Twice the words in common bounds a score from above.
-            able = [x for x in spans if run >= self.min_run or 2 * int(np.isin(coded[x[0] : x[1]], own).sum()) >= min_score]
-            aligned = [(*smith_waterman(own, coded[low:high]), low) for low, high in able]
-            if not aligned:
+            out.append((k, run, [(a, b) for a, b in spans]))
+        return out
+
+    def find(self, texts: list[str | None], min_score: int) -> list[list[tuple]]:
+        """For each text the items that share a run of ``min_run`` words with it or align with ``min_score``."""
+        out: list[list[tuple]] = [[] for _ in texts]
+        todo: list[tuple[int, int, int, int, np.ndarray]] = []
+        for n, text in enumerate(texts):
+            w = words_of(text)
+            found = self.candidates(w) if len(w) >= SEED else []
+            if not found:
                 continue
-            score, matched, first, last, low = max(aligned, key=lambda x: x[0])
-            if run >= self.min_run or score >= min_score:
-                out.append((q, f, run, score, matched, len(item), low + first, low + last))
+            coded = np.array([self.number.get(x, -1) for x in w])
+            for k, run, spans in found:
+                # Twice the words in common bounds a score from above.
+                todo += [(n, k, run, a, coded[a:b]) for a, b in spans if run >= self.min_run or 2 * int(np.isin(coded[a:b], self.coded[k]).sum()) >= min_score]
+        scores = alignment_scores([(self.coded[k], part) for _, k, _, _, part in todo])
+        best: dict[tuple[int, int], int] = {}
+        for x, (n, k, run, _, _) in enumerate(todo):
+            if (run >= self.min_run or scores[x] >= min_score) and ((n, k) not in best or scores[x] > scores[best[(n, k)]]):
+                best[(n, k)] = x
+        for (n, k), x in best.items():
+            _, _, run, low, part = todo[x]
+            score, matched, first, last = smith_waterman(self.coded[k], part)
+            q, f, item = self.items[k]
+            out[n].append((q, f, run, score, matched, len(item), low + first, low + last))
         return out
 
 
@@ -160,7 +193,7 @@ def leak_report(docs: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("p
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
         for batch in batches:
-            rows = [(d, *r) for d, t in zip(batch["doc_id"], batch["text"]) for r in index.value.find(t, min_score)]
+            rows = [(d, *r) for d, found in zip(batch["doc_id"], index.value.find(list(batch["text"]), min_score)) for r in found]
             yield pd.DataFrame(rows, columns=names)
 
     return docs.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL").mapInPandas(scan, SCHEMA)

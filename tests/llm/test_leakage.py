@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from palimpsest.llm.leakage import SeedIndex, blocks_of_items, leak_report, leaked_documents, smith_waterman, words_of
+from palimpsest.llm.leakage import SeedIndex, alignment_scores, blocks_of_items, leak_report, leaked_documents, smith_waterman, words_of
 
 PASSAGE = "The quick brown fox jumps over the lazy dog, while seven wizards brew strong tea near the old harbour"
 
@@ -37,6 +37,7 @@ def test_alignment(a, b):
     score, matched, first, last = smith_waterman(code(a), code(b))
     assert score == _score(a, b) and 2 * matched >= score and (not score or a and b[first : last + 1])
     assert _score(a, b[first : last + 1]) == score
+    assert list(alignment_scores([(code(a), code(b)), (code(b), code(a)), (code("abc"), code("xabcx"))], block=2)) == [score, score, 6]
 
 
 def test_whole_partial_and_edited(spark):
@@ -71,7 +72,7 @@ def test_against_brute_force():
             x = text.split()
             if any(doc[i : i + 10] == x[j : j + 10] for i in range(len(doc) - 9) for j in range(len(x) - 9)):
                 want.add(name)
-        assert {r[0] for r in index.find(" ".join(doc), 10**6)} == want
+        assert {r[0] for r in index.find([None, " ".join(doc)], 10**6)[1]} == want
 
 
 def test_empty(spark):
