@@ -309,3 +309,112 @@ def sign_agreement(grades: DataFrame) -> DataFrame:
     gap = lambda x, y: F.signum(F.sum(F.col(y).cast("int") - F.col(x).cast("int"))).cast("int")
     s = a.join(b, "question_id").where("first < second").groupBy("first", "second").agg(gap("x1", "y1").alias("sign"), gap("x2", "y2").alias("second_sign"))
     return s.withColumn("agree", F.col("sign") == F.col("second_sign"))
+
+
+# --- probes of retrieval, and stages with models passed in ---------------------
+
+
+def probe_ranks(hits: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``qid, rank``: place of each question's evidence round among its hits, -1 where it is missed.
+
+    evidence: ``qid, round``. Several evidence rounds give several rows.
+    """
+    found = hits.select("qid", "round", "rank")
+    return evidence.join(found, ["qid", "round"], "left").select("qid", "round", F.coalesce("rank", F.lit(-1)).alias("rank"))
+
+
+def carriers(hits: DataFrame, records: DataFrame) -> DataFrame:
+    """``superseded, downweighted, hits``: how many shown records have salience 0, or less than 1."""
+    j = hits.select("id").join(records.select("id", "salience"), "id")
+    return j.agg(F.count_if(F.col("salience") == 0).alias("superseded"), F.count_if((F.col("salience") > 0) & (F.col("salience") < 1)).alias("downweighted"), F.count(F.lit(1)).alias("hits"))
+
+
+def evidence_moves(ranked: DataFrame, first: str, second: str, k: int = 2) -> DataFrame:
+    """``question_id, same, entered, left``: whether the ranks of evidence changed between runs and crossed place k."""
+    side = lambda r, c: ranked.where(F.col("run_id") == r).select("question_id", F.col("ranks").alias(c))
+    j = side(first, "a").join(side(second, "b"), "question_id")
+    inside = lambda c: F.exists(c, lambda r: (r > 0) & (r <= k))
+    return j.select("question_id", F.col("a").eqNullSafe(F.col("b")).alias("same"), (inside("b") & ~inside("a")).alias("entered"), (inside("a") & ~inside("b")).alias("left"))
+
+
+def histogram(df: DataFrame, value: str, width: int) -> DataFrame:
+    """``low, rows, total``: rows and sums in bins of a width."""
+    return df.where(F.col(value).isNotNull()).groupBy((F.floor(F.col(value) / width) * width).alias("low")).agg(F.count(F.lit(1)).alias("rows"), F.sum(value).alias("total"))
+
+
+def answer(questions: DataFrame, reader, batch: int = 64) -> DataFrame:
+    """Adds ``predicted``: a reader is called with lists of (question, context) and gives their answers."""
+
+    def run(batches):
+        for b in batches:
+            said: list = []
+            for at in range(0, len(b), batch):
+                part = b.iloc[at : at + batch]
+                said += list(reader(list(zip(part["question"], part["context"]))))
+            yield b.assign(predicted=said)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in questions.schema) + ", predicted string"
+    return questions.mapInPandas(run, schema)
+
+
+def judge(predictions: DataFrame, grader, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``question_id, digest, correct`` of every distinct answer, and what is new to the cache.
+
+    A grader is called with a prompt and says yes or no. Only answers that the
+    cache lacks reach it; a cached no is held.
+    """
+    from palimpsest.operators.render import judge_prompt
+
+    p = predictions.select("question_id", F.sha2(F.coalesce("predicted", F.lit("")), 256).alias("digest"), judge_prompt(*[F.col(c) for c in ("category", "question", "answer", "predicted", "is_abstention")]).alias("prompt"))
+    wanted = p.groupBy("question_id", "digest").agg(F.min("prompt").alias("prompt"))
+    known = cache.select("question_id", "digest", "correct") if cache is not None else predictions.sparkSession.createDataFrame([], "question_id string, digest string, correct boolean")
+    todo = wanted.join(known, ["question_id", "digest"], "left_anti")
+
+    def run(batches):
+        for b in batches:
+            yield b[["question_id", "digest"]].assign(correct=["yes" in grader(x).strip().lower() for x in b["prompt"]])
+
+    fresh = todo.mapInPandas(run, "question_id string, digest string, correct boolean")
+    return wanted.select("question_id", "digest").join(known.unionByName(fresh), ["question_id", "digest"]), fresh
+
+
+#: Families of the contradiction demo: pairs, whether they conflict, and the least share to get right.
+DEMO = {"value-change": (30, True, 0.8), "negation": (30, True, 0.9), "dated-update": (20, True, 0.9), "paraphrase": (10, False, 1.0), "unrelated": (10, False, 1.0)}
+
+
+def demo_pairs(seed: int = 0) -> list[dict]:
+    """A hundred made-up pairs of facts by family, from a seed."""
+    import random
+
+    r = random.Random(seed)
+    towns, foods, firms = ["Boston", "Seattle", "Lisbon", "Oslo", "Quito", "Perth"], ["jazz", "chess", "tennis", "coffee", "sushi", "hiking"], ["Acme", "Globex", "Initech", "Umbrella", "Hooli"]
+    out = []
+    for family, (n, conflicts, _) in DEMO.items():
+        for k in range(n):
+            a, b = r.sample(towns, 2)
+            f, (g, h) = r.choice(foods), r.sample(firms, 2)
+            one, two, times = {
+                "value-change": (("user", "lives in", a), ("user", "moved to", b), (None, None)),
+                "negation": (("user", "likes", f), ("user", "no longer likes", f), (None, None)),
+                "dated-update": (("user", "works at", g), ("user", "works for", h), (f"20{r.randint(10, 14)}", f"20{r.randint(15, 19)}")),
+                "paraphrase": (("user", "lives in", a), ("The user", "living in", a.upper()), (None, None)),
+                "unrelated": (("user", "likes", f), ("user", "owns", "a bike"), (None, None)),
+            }[family]
+            out.append({"pair": f"{family}-{k}", "family": family, "conflicts": conflicts, "facts": [(one, times[0], "2023-01-01"), (two, times[1], "2023-06-01")]})
+    return out
+
+
+def demo_result(spark, seed: int = 0) -> DataFrame:
+    """``family, pairs, right, gate, passes`` of the contradiction rules over the demo pairs: the later fact must stand."""
+    from palimpsest.functions import triples
+    from palimpsest.operators import conflict
+
+    rows = [(2 * n + k, p["pair"], *t, vt, at, "user: x") for n, p in enumerate(demo_pairs(seed)) for k, (t, vt, at) in enumerate(p["facts"])]
+    f = spark.createDataFrame(rows, "id bigint, user_id string, subject string, predicate string, object string, valid_time string, created_at string, raw string")
+    f = f.withColumn("t", triples.triple_column(F.col("subject"), F.col("predicate"), F.col("object"))).withColumn("pair_key", F.concat_ws("|", "t.subject", "t.predicate")).withColumn("kind", F.lit("fact")).drop("t")
+    lost = conflict.resolve_all(conflict.keyed_facts(f)).select((F.col("loser") - F.col("loser") % 2).alias("base"), (F.col("winner") % 2 == 1).alias("later_wins"))
+    pairs = spark.createDataFrame([(2 * n, p["family"], p["conflicts"]) for n, p in enumerate(demo_pairs(seed))], "base bigint, family string, conflicts boolean")
+    right = F.when(F.col("conflicts"), F.coalesce("later_wins", F.lit(False))).otherwise(F.col("later_wins").isNull())
+    gate = F.create_map(*[x for k, v in DEMO.items() for x in (F.lit(k), F.lit(v[2]))])
+    s = pairs.join(lost, "base", "left").groupBy("family").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(right).alias("right"))
+    return s.withColumn("gate", gate[F.col("family")]).withColumn("passes", F.col("right") >= F.col("gate") * F.col("pairs"))

@@ -121,3 +121,32 @@ def markdown_bullets(memories: DataFrame) -> DataFrame:
     struck = F.concat(F.lit("- ~~"), said, F.lit("~~ (superseded"), F.coalesce(F.concat(F.lit(" by #"), F.col("winner").cast("string")), F.lit("")), F.lit(")"))
     plain = F.concat(F.lit("- "), said, F.coalesce(F.concat(F.lit(" → supersedes #"), F.col("supersedes").cast("string")), F.lit("")))
     return facts.join(won, "id", "left").select("id", F.when(F.col("salience") == 0, struck).otherwise(plain).alias("bullet"))
+
+
+def render_json(items: DataFrame, group: str, unit: str = "turns") -> DataFrame:
+    """``group, context``: the same blocks as :func:`render` as a JSON array.
+
+    A block holds its date and its turns, or its items (facts, and turns unless
+    the unit is ``facts`` and there are some). An item without a date stays in
+    the block before; a leading one opens a block with a null date.
+    """
+    if unit not in ("turns", "round+facts", "facts"):
+        raise ValueError(f"unknown unit {unit!r}")
+    w = Window.partitionBy(group).orderBy(F.coalesce("ts", F.lit("")), F.coalesce("id", F.lit(0)))
+    dated = F.nullif(F.col("ts"), F.lit(""))
+    before = F.last(dated, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    n = F.row_number().over(w)
+    opens = (dated.isNotNull() & ~before.eqNullSafe(dated)) | (n == 1)
+    turns = F.transform("turns", lambda t: F.struct(F.coalesce(t.role, F.lit("")).alias("role"), F.coalesce(t.content, F.lit("")).alias("content")))
+    if unit == "turns":
+        body = turns
+    else:
+        facts = F.transform("facts", lambda f: F.struct(f.fact.alias("fact"), f.valid_time.alias("valid_time"), f.raw.alias("source")))
+        shown = turns if unit == "round+facts" else F.when(F.size("facts") == 0, turns)
+        body = F.array(F.struct(facts.alias("facts"), shown.alias("turns")))
+    placed = items.select(group, n.alias("n"), dated.alias("date"), opens.cast("int").alias("opens"), body.alias("body"))
+    blocked = placed.withColumn("block", F.sum("opens").over(Window.partitionBy(group).orderBy("n")))
+    blocks = blocked.groupBy(group, "block").agg(F.max(F.when(F.col("opens") == 1, F.col("date"))).alias("session_date"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "body"))), lambda x: x["body"])).alias("body"))
+    one = F.struct("block", F.struct("session_date", F.col("body").alias("turns" if unit == "turns" else "items")).alias("b"))
+    keep = {"ignoreNullFields": "false"} if unit == "turns" else {}
+    return blocks.groupBy(group).agg(F.to_json(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["b"]), keep).alias("context"))

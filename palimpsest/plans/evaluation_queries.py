@@ -182,7 +182,15 @@ def sign_agreement(spark, sf_dir):
     return ev.sign_agreement(_grades(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (pair_wins, unpaired_questions, pin_differences, missing_paths, round_slices, emitted_differences, filled_outputs, label_scores, sign_agreement, accuracy_wilson, mcnemar_holm, judge_agreement, retest_unstable, outcome_buckets, recall_at_k, miss_kinds, drop_summary, drift_diff, audit_flips, truncation_caveat, token_percentiles, ledger_spend, cost_projection, parity_check, accuracy_pivot, distinct_answers, question_digests, answer_overlap, sample_stratified, sample_deciles, label_sheet, plan_chunks, power_table)}
+def evidence_moves(spark, sf_dir):
+    return ev.evidence_moves(_ranks(spark, sf_dir), "store_p3_b", "store_p4_c")
+
+
+def token_histogram(spark, sf_dir):
+    return ev.histogram(once(read_table(spark, sf_dir, "predictions").select("run_id", "question_id", "reader_prompt_tokens"), "run_id", "question_id"), "reader_prompt_tokens", 5000)
+
+
+QUERIES = {f.__name__: f for f in (evidence_moves, token_histogram, pair_wins, unpaired_questions, pin_differences, missing_paths, round_slices, emitted_differences, filled_outputs, label_scores, sign_agreement, accuracy_wilson, mcnemar_holm, judge_agreement, retest_unstable, outcome_buckets, recall_at_k, miss_kinds, drop_summary, drift_diff, audit_flips, truncation_caveat, token_percentiles, ledger_spend, cost_projection, parity_check, accuracy_pivot, distinct_answers, question_digests, answer_overlap, sample_stratified, sample_deciles, label_sheet, plan_chunks, power_table)}
 
 from palimpsest.plans.ingest_queries import ROUNDS_SQL, key_sql  # noqa: E402
 
@@ -192,6 +200,9 @@ _Z = 1.959963984540054
 _RANKS = ", ev AS (SELECT DISTINCT session_id FROM (SELECT session_id, arg_min(turns, arrived_at) AS turns FROM sessions GROUP BY session_id) WHERE len(list_filter(turns, lambda t: coalesce(t.has_answer, false))) > 0), evl AS (SELECT list(session_id) AS es FROM ev), rk AS (SELECT p.*, list_filter(list_transform(retrieved_ids, lambda s, i: CASE WHEN list_contains(es, s) THEN i ELSE 0 END), lambda x: x > 0) AS ranks FROM p, evl)"
 _KS = (1, 2, 3, 5, 10)
 ORACLES = {
+    "evidence_moves": _G + _RANKS + """ SELECT a.question_id, a.ranks = b.ranks AS same, len(list_filter(b.ranks, lambda r: r <= 2)) > 0 AND len(list_filter(a.ranks, lambda r: r <= 2)) = 0 AS entered, len(list_filter(a.ranks, lambda r: r <= 2)) > 0 AND len(list_filter(b.ranks, lambda r: r <= 2)) = 0 AS "left"
+        FROM rk a JOIN rk b USING (question_id) WHERE a.run_id = 'store_p3_b' AND b.run_id = 'store_p4_c'""",
+    "token_histogram": f"SELECT CAST(reader_prompt_tokens // 5000 * 5000 AS BIGINT) AS low, count(*) AS rows, CAST(sum(reader_prompt_tokens) AS BIGINT) AS total FROM {_P} WHERE reader_prompt_tokens IS NOT NULL GROUP BY low",
     "pair_wins": _G + """ SELECT a.run_id AS first, b.run_id AS second, coalesce(string_agg(question_id, ',' ORDER BY question_id) FILTER (a.correct), '') AS first_wins, coalesce(string_agg(question_id, ',' ORDER BY question_id) FILTER (b.correct), '') AS second_wins
         FROM g a JOIN g b USING (question_id) WHERE a.run_id < b.run_id AND a.correct <> b.correct GROUP BY ALL""",
     "unpaired_questions": _G + f" SELECT coalesce(a.question_id, b.question_id) AS question_id, CASE WHEN b.question_id IS NULL THEN '{SYSTEM}' ELSE '{ORACLE}' END AS only_in FROM (SELECT question_id FROM g WHERE run_id = '{SYSTEM}') a FULL JOIN (SELECT question_id FROM g WHERE run_id = '{ORACLE}') b ON a.question_id = b.question_id WHERE a.question_id IS NULL OR b.question_id IS NULL",

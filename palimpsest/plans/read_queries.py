@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
-from palimpsest.operators import ingest, render, retrieve
+from palimpsest.operators import evaluation, ingest, render, retrieve
 from palimpsest.plans.ingest_queries import ROUNDS_SQL, words_sql
 from palimpsest.plans.write_queries import day_sql
 from palimpsest.session import materialize, once, read_table
@@ -122,7 +122,32 @@ def hashed_embeddings(spark, sf_dir):
     return d.select("question_id", retrieve.hash_embedding_column(F.col("question")).alias("embedding"))
 
 
-QUERIES = {f.__name__: f for f in (similarity_topk, round_topk, recall_score, recall_updates, rerank_overlap, budget_prefix, context_text, context_with_facts, session_texts, export_text, export_markdown, judge_prompts, trimmed_contexts, hashed_embeddings)}
+def probe_ranks(spark, sf_dir):
+    """Where a fact's own round stands among the 50 best rounds for the fact's vector."""
+    r = _records(spark, sf_dir)
+    f = r.where("kind = 'fact' AND round_key IS NOT NULL")
+    hits = retrieve.rank_rounds(_queries(f).drop("start_day", "end_day"), r.where("kind = 'round'"), 50)
+    asked = _queries(f.where((F.size("embedding") == 64) & F.exists("embedding", lambda x: x != 0))).select("qid").join(f.select(F.col("id").alias("qid"), F.col("round_key").alias("round")), "qid")
+    return evaluation.probe_ranks(hits, asked).select("qid", F.col("rank").cast("bigint").alias("rank"))
+
+
+def hit_carriers(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    hits = retrieve.rank_rounds(_queries(r).drop("start_day", "end_day"), r.withColumn("salience", F.lit(1.0)), 10, active_only=False)
+    return evaluation.carriers(hits, r)
+
+
+def json_contexts(spark, sf_dir):
+    s = ingest.with_defaults(ingest.sessions_once(read_table(spark, sf_dir, "sessions")))
+    items = s.select("session_id", F.col("session_date").alias("ts"), F.lit(0).alias("id"), "turns")
+    return render.render_json(items, "session_id")
+
+
+def conflict_demo(spark, sf_dir):
+    return evaluation.demo_result(spark)
+
+
+QUERIES = {f.__name__: f for f in (probe_ranks, hit_carriers, json_contexts, conflict_demo, similarity_topk, round_topk, recall_score, recall_updates, rerank_overlap, budget_prefix, context_text, context_with_facts, session_texts, export_text, export_markdown, judge_prompts, trimmed_contexts, hashed_embeddings)}
 
 _R = """(SELECT id, any_value(user_id) AS user_id, any_value(kind) AS kind, any_value(content) AS content, any_value(created_at) AS created_at, any_value(salience) AS salience, any_value(source) AS source,
     any_value(turns) AS turns, any_value(round_key) AS round_key, any_value(fact) AS fact, any_value(valid_time) AS valid_time, any_value(raw) AS raw, any_value(embedding) AS embedding,
@@ -156,6 +181,13 @@ def _prompt_sql() -> str:
 _FACT = """'  ' || concat_ws('  ', 'fact: ' || coalesce(fact, content), 'salience ' || CAST(CAST(salience AS DECIMAL(12,4)) AS VARCHAR), CASE WHEN abs(initial_salience - salience) > 1e-9 THEN '(initial ' || CAST(CAST(initial_salience AS DECIMAL(12,4)) AS VARCHAR) || ')' END,
     CASE WHEN salience = 0 THEN 'superseded' END, 'valid_time ' || nullif(valid_time, ''), 'pair ' || nullif(pair_key, ''), 'supersedes ' || supersedes)"""
 ORACLES = {
+    "probe_ranks": f"""WITH r AS {_R}, v AS (SELECT id, user_id, kind, round_key, salience, CAST(embedding AS DOUBLE[]) AS e FROM r WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+        q AS (SELECT * FROM v WHERE kind = 'fact' AND round_key IS NOT NULL AND id % 20 = 0), p AS (SELECT q.id AS qid, m.id, coalesce(m.round_key, 'id:' || m.id) AS round, round(list_cosine_similarity(q.e, m.e), 9) AS c, m.salience AS s FROM q JOIN v m ON q.user_id = m.user_id WHERE m.kind = 'round' AND m.salience > 0),
+        b AS (SELECT *, round(c * s, 9) AS score FROM p QUALIFY row_number() OVER (PARTITION BY qid, round ORDER BY round(c * s, 9) DESC, c DESC, id) = 1),
+        k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, c DESC, id) AS rank FROM b)
+        SELECT q.id AS qid, CASE WHEN rank <= 50 THEN rank ELSE -1 END AS rank FROM q LEFT JOIN k ON k.qid = q.id AND k.round = q.round_key""",
+    "hit_carriers": _BASE + """, best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY qid, round ORDER BY similarity DESC, kind DESC, id) = 1), top AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, kind DESC, id) <= 10)
+        SELECT count(*) FILTER (salience = 0) AS superseded, count(*) FILTER (salience > 0 AND salience < 1) AS downweighted, count(*) AS hits FROM top""",
     "similarity_topk": _BASE + " SELECT qid, rank, id, round(similarity, 4) AS similarity, round(similarity, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, kind DESC, id) AS rank FROM pairs) WHERE rank <= 10",
     "round_topk": _BASE + """, best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY qid, round ORDER BY similarity DESC, kind DESC, id) = 1)
         SELECT qid, rank, id, round(similarity, 4) AS similarity, round(similarity, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, kind DESC, id) AS rank FROM best) WHERE rank <= 10""",

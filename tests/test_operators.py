@@ -165,3 +165,31 @@ def test_empty_inputs(spark):
     assert dedup.near_links(m).count() == 0 and dedup.exact_duplicates(m).count() == 0 and conflict.consolidate(m).count() == 0 and conflict.now_logical(m).count() == 0
     assert render.export_lines(m).count() == 0 and retrieve.rank_rounds(m.select(F.col("id").alias("qid"), "user_id", "embedding"), m).count() == 0
     assert ingest.fact_pieces(ingest.rounds(spark.createDataFrame([], TURNS))).count() == 0
+
+
+def test_conflict_demo(spark):
+    rows = {r["family"]: r for r in evaluation.demo_result(spark).collect()}
+    assert set(rows) == set(evaluation.DEMO) and all(r["passes"] and r["pairs"] == evaluation.DEMO[f][0] for f, r in rows.items())
+    assert evaluation.demo_pairs(1) == evaluation.demo_pairs(1) != evaluation.demo_pairs(2)
+
+
+def test_render_json(spark):
+    import json
+
+    turns = "array<struct<role:string,content:string>>"
+    items = spark.createDataFrame([(1, None, 0, [("user", "z")]), (1, "2023-01", 1, [("user", "a"), ("assistant", None)]), (1, "2023-01", 2, [("user", "b")])], f"g int, ts string, id int, turns {turns}")
+    got = json.loads(render.render_json(items, "g").first()["context"])
+    assert got == [{"session_date": None, "turns": [{"role": "user", "content": "z"}]}, {"session_date": "2023-01", "turns": [{"role": "user", "content": "a"}, {"role": "assistant", "content": ""}, {"role": "user", "content": "b"}]}]
+    facts = items.where("id = 2").withColumn("facts", F.array(F.struct(F.lit("f").alias("fact"), F.lit("2020").alias("valid_time"), F.lit("user: r").alias("raw"))))
+    assert json.loads(render.render_json(facts, "g", "facts").first()["context"]) == [{"session_date": "2023-01", "items": [{"facts": [{"fact": "f", "valid_time": "2020", "source": "user: r"}]}]}]
+
+
+def test_stages(spark):
+    q = spark.createDataFrame([("q1", "multi-session", "who?", "me", False, "ctx"), ("q2", "multi-session", "what?", "tea", False, "ctx")], "question_id string, category string, question string, answer string, is_abstention boolean, context string")
+    p = evaluation.answer(q, lambda pairs: [a.upper() for a, _ in pairs], 1)
+    assert {r["predicted"] for r in p.collect()} == {"WHO?", "WHAT?"}
+    all_, fresh = evaluation.judge(p, lambda prompt: " Yes." if "WHO" in prompt else "no")
+    verdicts = spark.createDataFrame(all_.collect(), all_.schema)
+    assert {r["question_id"]: r["correct"] for r in verdicts.collect()} == {"q1": True, "q2": False}
+    again, more = evaluation.judge(p, lambda prompt: 1 / 0, verdicts)
+    assert more.count() == 0 and again.count() == 2
