@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -164,9 +165,15 @@ class IncrementalLinkage:
         inner = materialize(inner.join(groups.select("g", "scope"), "g"), "inner")
         decided = materialize(self._walk(nodes, inner), "decided")
         accepted = rows.join(decided.where("screen IS NULL").select("id"), "id", "left_semi")
-        self._append_keys(accepted)
-        self._append_vectors(self._lists(accepted.where(F.octet_length("vec") > 0), *STORE))
-        self._learn(links, nodes)
+        # Three small jobs that do not depend on each other.
+        jobs = (
+            lambda: self._append_keys(accepted),
+            lambda: self._append_vectors(self._lists(accepted.where(F.octet_length("vec") > 0), *STORE)),
+            lambda: self._learn(links, nodes),
+        )
+        with ThreadPoolExecutor(len(jobs)) as pool:
+            for done in [pool.submit(j) for j in jobs]:
+                done.result()
         return self._scored(decided, nodes)
 
     def _links(self, rows: DataFrame) -> DataFrame:
