@@ -117,6 +117,12 @@ class Lexicon:
         return s[1] if s else 0.0
 
 
+#: Words shortly before a number that say what it is, and those of numbers that are no person's.
+_ID_WORDS = re.compile(r"\b(?:passport|ssn|social security|tax (?:number|id|no)|identity|national id|licen[cs]e|id card|document number|with id)\b[^.!?\n]{0,25}$", re.I)
+_PHONE_WORDS = re.compile(r"\b(?:call(?: me)?(?: on)?|phone(?: number)?(?: is)?|mobile|text|ring|dial|fax|tel)\b[^.!?\n]{0,20}$", re.I)
+_OTHER_WORDS = re.compile(r"\b(?:order|ticket|invoice|version|isbn|tracking|serial|article|build|request|part)\b[^.!?\n]{0,25}$", re.I)
+
+
 def _shape(s: str) -> str:
     return re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", s))
 
@@ -156,6 +162,10 @@ def _numbers(text: str, out: list[Candidate]) -> None:
             seed = "id_number"
         elif re.fullmatch(r"\d{4}[-/]\d{1,2}[-/]\d{1,2}", s) or digits > 19:
             continue
+        else:
+            head = text[max(0, start - 40) : start]
+            if not _OTHER_WORDS.search(head):
+                seed = "id_number" if _ID_WORDS.search(head) else "phone" if not letters and _PHONE_WORDS.search(head) else None
         out.append(Candidate("number", start, end, re.sub(r"[^0-9A-Za-z]", "", s).upper(), seed, (f"S {_shape(s)}",)))
     for m in _SPELLED.finditer(text):
         out.append(Candidate("number", *m.span(), re.sub(r"\W+", " ", m.group().lower()), None, ("S spelled",)))
@@ -267,12 +277,21 @@ def candidates(text: str, given: set[str], loose: set[str] | None = None) -> lis
 
 
 #: Sides of a span without a word, which speak for nothing.
-_BARE = {"L ", "L ^", "R ", "R $"}
+_BARE = {"L ", "L ^", "R ", "R $", "M ", "M ^"}
 
 
 def patterns_of(text: str, c: Candidate) -> list[str]:
     """Left and right words, where there are any, and the candidate's own patterns."""
-    return [p for p in (f"L {left_of(text, c.start)}", f"R {right_of(text, c.end)}") if p not in _BARE] + [*c.extra]
+    left = left_of(text, c.start)
+    near = [f"L {left}", f"R {right_of(text, c.end)}"]
+    if c.family in ("name", "street"):
+        near.append(_two(left))
+    return [p for p in near if p not in _BARE] + [*c.extra]
+
+
+def _two(left: str) -> str:
+    """The last two words to the left, which names and addresses share over more sentences."""
+    return f"M {' '.join(left.split(' ')[-2:])}"
 
 
 _OCCURRENCES = "family string, inst string, seed string, pattern string"
@@ -296,7 +315,7 @@ def occurrences(texts: DataFrame, given: list[str]) -> DataFrame:
 #: What an instance nobody labelled yet weighs against the labelled ones of its pattern.
 UNKNOWN = 0.25
 #: Weight of a kind of pattern when it speaks for an instance.
-_WEIGHT = {"L": 1.0, "R": 0.9, "S": 0.7, "G": 0.8, "F": 0.8}
+_WEIGHT = {"L": 1.0, "M": 0.8, "R": 0.9, "S": 0.7, "G": 0.8, "F": 0.8}
 
 
 def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -369,13 +388,13 @@ def decide(text: str, c: Candidate, lex: Lexicon) -> str | None:
         for kind, f in form.items():
             near = max(lex.of(left, kind), 0.9 * lex.of(right, kind))
             total = 0.6 * f + 0.4 * near if any(form.values()) else near
-            best = max(best, (total + 0.2 * (c.seed == kind), kind), key=lambda x: x[0])
-        return best[1] if best[0] >= 0.42 else (c.seed if c.seed == "phone" else None)
+            best = max(best, (total + 0.3 * (c.seed == kind), kind), key=lambda x: x[0])
+        return best[1] if best[0] >= 0.42 else c.seed
     if c.family == "street":
-        near = max(lex.of(left, "address"), lex.of(right, "address"))
+        near = max(lex.of(left, "address"), lex.of(right, "address"), 0.8 * lex.of(_two(left[2:]), "address"))
         known = lex.of(c.extra[0], "address")
         return "address" if c.plain or known >= 0.4 or near >= 0.4 else None
-    near = max(lex.of(left, "name"), 0.9 * lex.of(right, "name"))
+    near = max(lex.of(left, "name"), 0.9 * lex.of(right, "name"), 0.8 * lex.of(_two(left[2:]), "name"))
     first, last = lex.of(c.extra[0], "name"), lex.of(c.extra[1], "name")
     if c.key.split(" ")[0] in lex.given:
         first = max(first, 0.6)
@@ -383,7 +402,7 @@ def decide(text: str, c: Candidate, lex: Lexicon) -> str | None:
         return "name"
     if c.plain:
         return "name" if (near >= 0.5 and (first >= 0.3 or last >= 0.3)) or (first >= 0.5 and last >= 0.4) else None
-    return "name" if (first >= 0.5 and (last >= 0.4 or near >= 0.6)) or (near >= 0.6 and last >= 0.4) else None
+    return "name" if (first >= 0.5 and (last >= 0.4 or near >= 0.5)) or (near >= 0.6 and last >= 0.4) else None
 
 
 def spans(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
