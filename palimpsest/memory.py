@@ -64,7 +64,12 @@ class Memory:
         w = Window.partitionBy("user_id").orderBy("session_id", "round_no", F.desc("kind"), "piece")
         placed = pieces.withColumn("n", F.row_number().over(w))
         counts = pieces.groupBy("user_id").agg(F.count(F.lit(1)).alias("c"))
-        before = counts.withColumn("b", F.coalesce(F.sum("c").over(Window.orderBy("user_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("user_id").alias("u"), "b")
+        counts = counts.withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(1024)))
+        earlier = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # Only the sums of 1,024 parts are added up in one place.
+        parts = counts.groupBy("part").agg(F.sum("c").alias("c")).select("part", earlier(Window.orderBy("part")).alias("base"))
+        inner = counts.select("user_id", "part", earlier(Window.partitionBy("part").orderBy("user_id")).alias("o"))
+        before = inner.join(F.broadcast(parts), "part").select(F.col("user_id").alias("u"), (F.col("base") + F.col("o")).alias("b"))
         new = placed.join(before, placed.user_id.eqNullSafe(before.u)).withColumn("id", F.lit(last) + F.col("b") + F.col("n"))
         new = new.select(
             "id", "user_id", "content", F.col("ts").alias("created_at"), "salience", F.col("roles").alias("source"), F.lit(None).cast("bigint").alias("supersedes"), "turns", "round_key", "kind", "fact", "raw", "subject", "predicate", "object", "valid_time", "time_mention", "pair_key",

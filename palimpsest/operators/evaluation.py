@@ -189,11 +189,14 @@ def sample_stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int)
 def sample_deciles(df: DataFrame, size: str, key: str, n: int, seed: int) -> DataFrame:
     """``n / 10`` rows of each tenth in order of size; tenths as slices ``d n / 10`` of the ordered rows.
 
-    Places in the order come from counts of each size, not from sorting all
-    rows in one task.
+    Places in the order come from counts of each size, added up within ranges
+    of sizes and then over the ranges, not from sorting all rows in one task.
     """
-    counts = df.groupBy(size).agg(F.count(F.lit(1)).alias("c"))
-    before = counts.withColumn("start", F.sum("c").over(Window.orderBy(size).rowsBetween(Window.unboundedPreceding, -1))).withColumn("start", F.coalesce("start", F.lit(0)))
+    earlier = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = df.groupBy(size).agg(F.count(F.lit(1)).alias("c")).withColumn("range", F.floor(F.col(size) / 256))
+    ranges = counts.groupBy("range").agg(F.sum("c").alias("c")).select("range", earlier(Window.orderBy("range")).alias("base"))
+    inner = counts.withColumn("start", earlier(Window.partitionBy("range").orderBy(size)))
+    before = inner.join(ranges, "range").select(size, "c", (F.col("base") + F.col("start")).alias("start"))
     total = df.agg(F.count(F.lit(1))).first()[0]
     within = Window.partitionBy(size).orderBy(key)
     placed = df.join(before, size).withColumn("i", F.col("start") + F.row_number().over(within) - 1)

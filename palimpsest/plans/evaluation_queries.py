@@ -130,7 +130,7 @@ def plan_chunks(spark, sf_dir):
 
 
 def power_table(spark, sf_dir):
-    grid = spark.sql("SELECT n, d / 100.0D AS discordance, g / 100.0D AS gap FROM (SELECT explode(array(100, 200, 500)) AS n), (SELECT explode(array(10, 20)) AS d), (SELECT explode(array(2, 5, 10)) AS g)")
+    grid = spark.createDataFrame([(n, d / 100, g / 100) for n in (100, 200, 500) for d in (10, 20) for g in (2, 5, 10)], "n int, discordance double, gap double")
     return stats.power_grid(grid).withColumn("power", F.round("power", 6))
 
 
