@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,8 +33,8 @@ ROUNDS = 3
 MOST_NAMES = 1_000_000
 #: Distinct instances that a pattern needs.
 SUPPORT = 3
-#: Share of all instances that a pattern needs, which bounds the number of patterns whatever the size of the data.
-SHARE = 2e-6
+#: Patterns that are sent to every executor, at most; more are joined to the texts that have them.
+MOST_PATTERNS = 200_000
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 
@@ -111,6 +111,8 @@ class Lexicon:
     given: set[str] = field(default_factory=set)
     score: dict[str, tuple[str, float]] = field(default_factory=dict)
     ends: set[str] = field(default_factory=set)
+    #: ``pattern, type, score`` where the scores are too many to be sent; ``score`` is empty then.
+    table: DataFrame | None = None
 
     def of(self, pattern: str, kind: str) -> float:
         s = self.score.get(f"{kind}|{pattern}")
@@ -350,30 +352,59 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def learn(texts: DataFrame, given: DataFrame, rounds: int = ROUNDS) -> Lexicon:
     """Patterns learned from all texts, starting from seeds and the given names.
 
-    The patterns sent to the driver have a support of at least ``SUPPORT`` and
-    of the share ``SHARE`` of all edges, so their number is bounded.
+    Every pattern of at least ``SUPPORT`` distinct instances is kept, whatever
+    the size of the data. Up to ``MOST_PATTERNS`` scores are sent to the
+    executors, more stay a table. Learned given names and ends of family names
+    always are sent, as the texts cannot be read without them.
     """
     listed = given.where("trim(given_name) <> ''").select(F.lower(F.trim("given_name")).alias("n")).distinct()
     if not small_enough(listed, MOST_NAMES):
         raise ValueError(f"more than {MOST_NAMES} given names")
     names = sorted(r["n"] for r in listed.collect())
     edges = materialize(occurrences(texts, names), "edges")
-    scores = score_graph(edges, rounds)
-    total = edges.count()
-    least = max(SUPPORT, int(SHARE * total))
+    known = score_graph(edges, rounds).where((F.col("support") >= SUPPORT) & (F.col("score") >= 0.15)).select("pattern", "type", "score")
     lex = Lexicon(set(names))
-    for r in scores.where((F.col("support") >= least) & (F.col("score") >= 0.15)).collect():
-        lex.score[f"{r['type']}|{r['pattern']}"] = (r["type"], r["score"])
     # Given names and ends of family names that only the graph knows.
-    for key, (kind, s) in lex.score.items():
-        if kind == "name" and s >= 0.5:
-            if key.startswith("name|G "):
-                lex.given.add(key[7:])
-            elif key.startswith("name|F "):
-                lex.ends.add(key[7:])
+    for r in known.where("type = 'name' AND score >= 0.5 AND substring(pattern, 1, 2) IN ('G ', 'F ')").select("pattern").distinct().collect():
+        (lex.given if r["pattern"][0] == "G" else lex.ends).add(r["pattern"][2:])
+    if small_enough(known, MOST_PATTERNS):
+        lex.score = _scores(known.collect())
+    else:
+        lex.table = known
     return lex
 
 
+def _scores(rows) -> dict[str, tuple[str, float]]:
+    return {f"{r['type']}|{r['pattern']}": (r["type"], r["score"]) for r in rows}
+
+
+def _with_scores(texts: DataFrame, lex: Lexicon) -> DataFrame:
+    """Adds ``known``: of the lexicon's table what the candidates of each text ask for, null where that is nothing.
+
+    Each distinct text asks once, under a digest.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(replace(lex, table=None))
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(d, p) for d, t in zip(b["digest"], b["text"]) for p in {p for c in candidates(t, shared.value.given, shared.value.ends) for p in patterns_of(t, c)}]
+            yield pd.DataFrame(rows, columns=["digest", "pattern"])
+
+    keyed = texts.withColumn("digest", F.sha2("text", 256))
+    asks = keyed.select("digest", "text").mapInPandas(asked, "digest string, pattern string").distinct()
+    found = asks.join(lex.table, "pattern").groupBy("digest").agg(F.collect_list(F.struct("pattern", "type", "score")).alias("known"))
+    return keyed.join(found, "digest", "left").drop("digest")
+
+
+def _span_reader(texts: DataFrame, lex: Lexicon):
+    """The texts, and a function of a batch of them that gives the spans of each text."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(replace(lex, table=None))
+    if lex.table is None:
+        return texts, lambda b: [spans(t, shared.value) for t in b["text"]]
+    return _with_scores(texts, lex), lambda b: [spans(t, replace(shared.value, score={} if k is None else _scores(k))) for t, k in zip(b["text"], b["known"])]
+
+
 def decide(text: str, c: Candidate, lex: Lexicon) -> str | None:
     """The type of a candidate, or None."""
     left, right = f"L {left_of(text, c.start)}", f"R {right_of(text, c.end)}"  # bare sides have no score
@@ -422,37 +453,36 @@ def spans(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
 
 def find(texts: DataFrame, lex: Lexicon, keys: list[str]) -> DataFrame:
     """Each distinct item of a text: the key columns, ``pii_type, found_text``."""
-    shared = texts.sparkSession.sparkContext.broadcast(lex)
+    ordered, read = _span_reader(texts.select(*keys, "text"), lex)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             at, kinds, said = [], [], []
-            for k, t in enumerate(b["text"]):
-                for kind, s in dict.fromkeys((kind, t[x:y]) for x, y, kind in spans(t, shared.value)):
+            for k, (t, got) in enumerate(zip(b["text"], read(b))):
+                for kind, s in dict.fromkeys((kind, t[x:y]) for x, y, kind in got):
                     at.append(k), kinds.append(kind), said.append(s)
             yield b.iloc[at][keys].reset_index(drop=True).assign(pii_type=kinds, found_text=said)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name in keys)
-    ordered = texts.select(*keys, "text")
     return ordered.mapInPandas(run, f"{schema}, pii_type string, found_text string").distinct()
 
 
 def redact(texts: DataFrame, lex: Lexicon) -> DataFrame:
     """The texts with typed placeholders such as ``[EMAIL]``; all else is unchanged."""
-    shared = texts.sparkSession.sparkContext.broadcast(lex)
+    columns, (rows, read) = texts.columns, _span_reader(texts, lex)
 
-    def replaced(t: str) -> str:
+    def replaced(t: str, got: list[tuple[int, int, str]]) -> str:
         out, at = [], 0
-        for a, b, kind in spans(t, shared.value):
+        for a, b, kind in got:
             out += [t[at:a], f"[{kind.upper()}]"]
             at = b
         return "".join(out) + t[at:]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(text=[replaced(t) for t in b["text"]])
+            yield b.assign(text=[replaced(t, got) for t, got in zip(b["text"], read(b))])[columns]
 
-    return texts.mapInPandas(run, texts.schema)
+    return rows.mapInPandas(run, texts.schema)
 
 
 def memory_texts(sessions: DataFrame, memories: DataFrame) -> DataFrame:

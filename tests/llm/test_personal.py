@@ -67,6 +67,23 @@ def test_redaction_keeps_the_rest(learned, spark):
     assert got[1] == "Call me on [PHONE] after six." and got[2] == "nothing here" and got[3] == "word " * 30000
 
 
+def test_no_pattern_is_lost_as_the_texts_grow(learned, spark, monkeypatch):
+    _, texts, lex = learned
+    monkeypatch.setattr(personal, "SHARE", 0.01, raising=False)  # a floor by share, as texts of 10 and more times the number would have it
+    assert personal.learn(texts, spark.createDataFrame([(g,) for g in GIVEN], "given_name string")).score.keys() == lex.score.keys()
+
+
+def test_patterns_too_many_to_send(learned, spark, monkeypatch):
+    _, texts, lex = learned
+    monkeypatch.setattr(personal, "MOST_PATTERNS", 5)
+    joined = personal.learn(texts, spark.createDataFrame([(g,) for g in GIVEN], "given_name string"))
+    assert joined.table is not None and not joined.score and (joined.given, joined.ends) == (lex.given, lex.ends)
+    found = lambda x: sorted(map(tuple, personal.find(texts, x, ["record_key"]).collect()))
+    assert found(joined) == found(lex)
+    redacted = lambda x: sorted(map(tuple, personal.redact(texts, x).collect()))
+    assert redacted(joined) == redacted(lex)
+
+
 def test_fields_nulls_and_repeats(spark):
     s = spark.createDataFrame([("s1", [("user", "a@b.example"), ("user", None), ("user", " ")], "x"), ("s1", [("user", "a@b.example"), ("user", None), ("user", " ")], "x"), (None, [("user", "c@d.example")], "x"), ("s2", None, "x")], "session_id string, turns array<struct<role:string,content:string>>, text string")
     m = spark.createDataFrame([(1, "user: mail e@f.example", None, "x"), (1, "user: mail e@f.example", None, "x"), (None, "g@h.example", "i@j.example", "x")], "id bigint, raw string, fact string, text string")
