@@ -23,6 +23,8 @@ from palimpsest.llm.vectors import Codebook, fit_codebook, pack, unpack, usable
 from palimpsest.session import materialize, small_enough
 
 REPLICAS, RATIO, LIST_ROWS = 4, 1.12, 800
+#: Lists that a vector asks where there is no floor, each vector standing in its nearest list only.
+PROBE = 12
 #: Rows of a list compared by one task at a time.
 BLOCK = 4096
 
@@ -41,8 +43,13 @@ def vector_groups(members: DataFrame) -> DataFrame:
     return members.groupBy("scope", "vec").agg(F.min("id").alias("rep"), (F.min("id") < F.max("id")).alias("many"))
 
 
-def _assign(rows: DataFrame, book_b) -> DataFrame:
-    """Rows ``scope, rep, vec, rows`` written into their lists: adds ``list, rank``."""
+def _assign(rows: DataFrame, book_b, probe: int) -> DataFrame:
+    """Rows ``scope, rep, vec, rows`` written into their lists: adds ``list, held``.
+
+    With ``probe`` a row is held by its nearest list and asks that many; else it
+    is held by all lists that it asks.
+    """
+    width, ratio = (probe, float("inf")) if probe else (REPLICAS, RATIO)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         book: Codebook = book_b.value
@@ -50,12 +57,12 @@ def _assign(rows: DataFrame, book_b) -> DataFrame:
             if not len(b):
                 continue
             level = book.level_of(b["rows"].to_numpy())
-            r, lists, ranks = book.lists(unpack(b["vec"], book.dim), level, REPLICAS, RATIO)
+            r, lists, ranks = book.lists(unpack(b["vec"], book.dim), level, width, ratio)
             out = b.iloc[r][["scope", "rep", "vec"]].reset_index(drop=True)
-            out["list"], out["rank"] = lists, ranks
+            out["list"], out["held"] = lists, ranks == 0 if probe else True
             yield out
 
-    return rows.mapInPandas(run, "scope string, rep bigint, vec binary, list int, rank int")
+    return rows.mapInPandas(run, "scope string, rep bigint, vec binary, list int, held boolean")
 
 
 def top_of_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +72,10 @@ def top_of_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     ids, x = ids[order], x[order]
     for at in range(0, len(qids), 1024):
         s = q[at : at + 1024] @ x.T
-        r, j = np.nonzero(s >= least - 1e-6)
+        floor = least - 1e-6
+        if k + 1 < len(ids):  # beyond the k best besides itself, only what may be equal to them after rounding
+            floor = np.maximum(floor, np.partition(s, len(ids) - k - 1, axis=1)[:, [len(ids) - k - 1]] - 2e-6)
+        r, j = np.nonzero(s >= floor)
         c = np.round(s[r, j], 6)
         keep = (c >= least) & (ids[j] != qids[at + r])
         r, j, c = r[keep], j[keep], c[keep]
@@ -83,11 +93,12 @@ def top_of_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     return np.concatenate(out_q), np.concatenate(out_n), np.concatenate(out_c)
 
 
-def nearest(rows: DataFrame, k: int = 5, least: float = 0.9, scope: str = "user_id", id_col: str = "id", vec_col: str = "embedding", dim: int = 64) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 5, least: float = 0.9, scope: str = "user_id", id_col: str = "id", vec_col: str = "embedding", dim: int = 64, probe: int = 0) -> DataFrame:
     """``id, neighbour, cosine, rank``: up to k most similar records of each record's scope.
 
     Only neighbours of cosine ``least`` or more (rounded to 6 decimals) are
-    given. Vectors that are null, all zero, of another length or not finite
+    given; a low floor wants ``probe`` lists asked (``PROBE``), and then those
+    that still lack neighbours ask every list of their scope. Vectors that are null, all zero, of another length or not finite
     take no part; an empty table gives no rows. Recall is that of the lists:
     exact for scopes of up to ``LIST_ROWS`` distinct vectors, else measured in
     the tests against brute force.
@@ -103,8 +114,18 @@ def nearest(rows: DataFrame, k: int = 5, least: float = 0.9, scope: str = "user_
     large = F.broadcast(large) if small_enough(large, 100_000) else large
     sized = groups.join(large, "scope", "left").select("scope", "rep", "vec", F.coalesce("rows", F.lit(1)).alias("rows"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    listed = materialize(_assign(sized, book_b), "lists")
+    listed = materialize(_assign(sized, book_b, probe), "lists")
     pairs = materialize(_compare(listed, parts, k, least, dim), "pairs")
+    if probe:
+        lists = listed.where("held").select("scope", "list").distinct()
+        found = pairs.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("q").alias("rep"))
+        short = sized.where(F.col("rows") > 1).select("scope", "rep", "vec").join(found, "rep", "left_anti")
+        short = materialize(short, "short")
+        if short.limit(1).count():
+            asks = short.join(lists, "scope").select("scope", "rep", "vec", "list", F.lit(False).alias("held"))
+            held = listed.where("held").join(asks.select("scope", "list").distinct(), ["scope", "list"], "left_semi")
+            more = _compare(held.select(*asks.columns).unionByName(asks), parts, k, least, dim)
+            pairs = materialize(pairs.unionByName(more).distinct(), "pairs")
     return _records(pairs, members, groups, k)
 
 
@@ -119,7 +140,7 @@ def _compare(listed: DataFrame, parts: int, k: int, least: float, dim: int) -> D
         rows = listed.withColumn("blocks", F.lit(1))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     # As data a row stands in its own block; as a query in every block of its list.
-    query = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("data", F.col("block") == own)
+    query = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("data", F.col("held") & (F.col("block") == own))
     keyed = query.select(F.xxhash64("scope", "list", "block").alias("lk"), "rep", "vec", "data")
     keyed = keyed.withColumn("bucket", F.pmod("lk", F.lit(parts * 8)).cast("int"))
 

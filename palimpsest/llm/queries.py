@@ -33,7 +33,7 @@ def p3_found(spark, sf_dir):
 
 
 def p3_neighbours(spark, sf_dir):
-    return neighbours.nearest(read_table(spark, sf_dir, "memories"))
+    return neighbours.nearest(read_table(spark, sf_dir, "memories"), least=-1.0, probe=neighbours.PROBE)
 
 
 def p4_decisions(spark, sf_dir):

@@ -57,6 +57,32 @@ def test_recall_with_lists(spark, monkeypatch, block):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_query_has_no_floor(spark, tmp_path):
+    from palimpsest.llm import queries
+
+    rows = _data(300, 64, 3, 5)
+    _frame(spark, rows).write.parquet(str(tmp_path / "memories.parquet"))
+    got = {(r["id"], r["neighbour"]) for r in queries.p3_neighbours(spark, str(tmp_path)).collect()}
+    assert got == _brute(rows, 5, -1, 64) and len(got) == 5 * len(rows)
+
+
+def test_recall_without_floor(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 40)
+    rows = _data(600, 16, 1, 6, copies=0.05)
+    rows += [(9000 + i, "v", [1.0] * 15 + [float(i)]) for i in range(3)]
+    got = {(r["id"], r["neighbour"]) for r in neighbours.nearest(_frame(spark, rows), least=-1.0, dim=16, probe=12).collect()}
+    want = _brute(rows, 5, -1, 16)
+    assert len(got) == len(want)
+    assert len(got & want) / len(want) >= 0.95
+
+
+def test_few_in_a_list_ask_all(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 2)
+    rows = _data(60, 8, 1, 9, copies=0)
+    got = {(r["id"], r["neighbour"]) for r in neighbours.nearest(_frame(spark, rows), least=-1.0, dim=8, probe=1).collect()}
+    assert len(got) == 5 * len(rows)
+
+
 def test_graph_walk_finds_the_nearest_centroids():
     rng = np.random.default_rng(4)
     c = rng.normal(size=(512, 16)).astype("f4")
