@@ -318,46 +318,58 @@ def walk_scopes(nodes: DataFrame, inner: DataFrame) -> DataFrame:
     return nodes.groupBy("scope").cogroup(inner.groupBy("scope")).applyInPandas(run, _DECIDED)
 
 
-def walk_rounds(nodes: DataFrame, inner: DataFrame, most: int = 1000) -> DataFrame:
+def walk_rounds(nodes: DataFrame, inner: DataFrame) -> DataFrame:
     """The same walk in rounds over frames, for scopes too large for one task.
 
-    In each round a row is decided whose earlier related rows all are: equal
-    content accepted before it drops it as exact; an accepted near row, stored
-    or of the batch, as cosine; without undecided rows before it, it is
-    accepted. The first undecided row of every component always is decided.
+    A row is dropped as soon as an earlier accepted row of equal content or
+    near it is known, or a stored one; it is accepted when no earlier related
+    row is undecided. The first undecided row of every component always is
+    decided, so every round makes progress. What is undecided in scopes of at
+    most ``WALK_ROWS`` such rows is walked by tasks: these rows are related to
+    no accepted earlier row, so only to each other. Screens and neighbours are
+    looked up when all is decided.
     """
     both = inner.select("g", "h", "c").unionByName(inner.select(F.col("h").alias("g"), F.col("g").alias("h"), "c"))
     both = materialize(both.distinct(), "edges")
-    state = nodes.withColumn("status", F.when(F.col("same").isNotNull(), "exact").otherwise("open")).withColumn("neighbour", F.col("same")).withColumn("cosine", F.lit(None).cast("double"))
-    state = materialize(state, "state")
-    for _ in range(most):
-        if not state.where("status = 'open'").limit(1).count():
+    status = F.when(F.col("same").isNotNull() | F.col("near").isNotNull(), "dropped").otherwise("open")
+    state = materialize(nodes.withColumn("status", status), "state")
+    before = lambda c: F.coalesce(F.col(c) < F.col("id"), F.lit(False))
+    left = None
+    while True:
+        was, open_rows = left, state.where("status = 'open'")
+        left, most = open_rows.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        if not left:
             break
-        taken = F.when(F.col("status") == "taken", F.col("id"))
-        opened = F.when(F.col("status") == "open", F.col("id"))
-        by_k = state.where("kh IS NOT NULL").groupBy("kh").agg(F.min(taken).alias("k_taken"), F.min(opened).alias("k_open"))
-        by_g = state.where("g IS NOT NULL").groupBy("g").agg(F.min(taken).alias("g_taken"), F.min(opened).alias("g_open"))
-        side = both.join(by_g.select(F.col("g").alias("h"), "g_taken", "g_open"), "h")
-        by_l = side.groupBy("g").agg(F.collect_list(F.when(F.col("g_taken").isNotNull(), F.struct("c", F.col("g_taken").alias("t")))).alias("l_taken"), F.min("g_open").alias("l_open"))
-        j = state.join(by_k, "kh", "left").join(by_g, "g", "left").join(by_l, "g", "left")
-        before = lambda c: F.coalesce(F.col(c) < F.col("id"), F.lit(False))
-        options = F.concat(
-            F.when(F.col("near").isNotNull(), F.array(F.struct(F.col("near_c").alias("c"), F.col("near").alias("r")))).otherwise(F.array().cast("array<struct<c:double,r:string>>")),
-            F.when(before("g_taken"), F.array(F.struct(F.lit(1.0).alias("c"), F.concat(F.lit("a:"), "g_taken").alias("r")))).otherwise(F.array().cast("array<struct<c:double,r:string>>")),
-            F.transform(F.filter(F.coalesce("l_taken", F.array().cast("array<struct<c:double,t:bigint>>")), lambda x: x.t < F.col("id")), lambda x: F.struct(x.c.alias("c"), F.concat(F.lit("a:"), x.t).alias("r"))),
-        )
-        best = F.array_max(options)
-        is_open = F.col("status") == "open"
-        status = (
-            F.when(~is_open, F.col("status")).when(before("k_taken"), "exact").when(before("k_open"), "open")
-            .when(best.isNotNull() & ~(before("g_open") | before("l_open")), "cosine").when(before("g_open") | before("l_open"), "open").otherwise("taken")
-        )
-        j = j.withColumn("best", best).withColumn("new", status)
-        j = j.withColumn("neighbour", F.when(is_open & (F.col("new") == "exact"), F.concat(F.lit("a:"), "k_taken")).when(is_open & (F.col("new") == "cosine"), F.col("best.r")).otherwise(F.col("neighbour")))
-        j = j.withColumn("cosine", F.when(is_open & (F.col("new") == "cosine"), F.col("best.c")).otherwise(F.col("cosine"))).withColumn("status", F.col("new"))
-        old, state = state, materialize(j.select(*state.columns), "state")
+        if was is not None and left >= was:
+            raise RuntimeError(f"a round decided none of {left} rows")
+        if most <= WALK_ROWS:
+            ids = open_rows.select("g").where("g IS NOT NULL").distinct()
+            near = inner.join(ids, "g", "left_semi").join(ids.select(F.col("g").alias("h")), "h", "left_semi").select(*inner.columns)
+            walked = walk_scopes(open_rows.drop("status"), near).select("id", F.when(F.col("screen").isNull(), "taken").otherwise("dropped").alias("done"))
+            new = state.join(walked, "id", "left").withColumn("status", F.coalesce("done", "status"))
+        else:
+            taken, opened = (F.min(F.when(F.col("status") == x, F.col("id"))) for x in ("taken", "open"))
+            by_k = state.where("kh IS NOT NULL").groupBy("kh").agg(taken.alias("k_taken"), opened.alias("k_open"))
+            by_g = state.where("g IS NOT NULL").groupBy("g").agg(taken.alias("g_taken"), opened.alias("g_open"))
+            side = both.join(by_g.select(F.col("g").alias("h"), "g_taken", "g_open"), "h")
+            by_l = side.groupBy("g").agg(F.min("g_taken").alias("l_taken"), F.min("g_open").alias("l_open"))
+            new = state.join(by_k, "kh", "left").join(by_g, "g", "left").join(by_l, "g", "left")
+            drop, wait = (before(f"k_{x}") | before(f"g_{x}") | before(f"l_{x}") for x in ("taken", "open"))
+            new = new.withColumn("status", F.when(F.col("status") != "open", F.col("status")).when(drop, "dropped").when(wait, "open").otherwise("taken"))
+        old, state = state, materialize(new.select(*state.columns), "state")
         drop_scratch(old)
-    return state.select("id", F.when(F.col("status") != "taken", F.col("status")).alias("screen"), "neighbour", "cosine")
+    accepted = state.where("status = 'taken'")
+    by_k = accepted.where("kh IS NOT NULL").groupBy("kh").agg(F.min("id").alias("k_taken"))
+    by_g = accepted.where("g IS NOT NULL").groupBy(F.col("g").alias("h")).agg(F.min("id").alias("t"))
+    lost = state.where("status = 'dropped'").join(by_k, "kh", "left")
+    lost = lost.withColumn("equal", F.coalesce("same", F.when(before("k_taken"), F.concat(F.lit("a:"), "k_taken"))))
+    links = both.unionByName(state.where("g IS NOT NULL").select("g", F.col("g").alias("h"), F.lit(1.0).alias("c")).distinct()).join(by_g, "h")
+    of_batch = lost.where("equal IS NULL").join(links, "g").where("t < id").select("id", "c", F.concat(F.lit("a:"), "t").alias("r"))
+    stored = lost.where("equal IS NULL AND near IS NOT NULL").select("id", F.col("near_c").alias("c"), F.col("near").alias("r"))
+    best = of_batch.unionByName(stored).groupBy("id").agg(F.max(F.struct("c", "r")).alias("best"))
+    exact = F.col("equal").isNotNull()
+    dropped = lost.join(best, "id", "left").select("id", F.when(exact, "exact").otherwise("cosine").alias("screen"), F.coalesce("equal", "best.r").alias("neighbour"), F.when(~exact, F.col("best.c")).alias("cosine"))
+    return accepted.select("id", F.lit(None).cast("string").alias("screen"), F.lit(None).cast("string").alias("neighbour"), F.lit(None).cast("double").alias("cosine")).unionByName(dropped)
 
 
 def link_batches(memories: DataFrame, arrivals: DataFrame, threshold: float = 0.95, dim: int = 64) -> DataFrame:

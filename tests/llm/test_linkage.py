@@ -72,6 +72,19 @@ def test_equals_the_walk(spark, monkeypatch, rounds):
         assert r["cluster"] == (r["neighbour"] or f"a:{r['id']}")
 
 
+def test_rounds_of_a_hot_cluster(spark, monkeypatch):
+    nodes = spark.createDataFrame([(i, f"a:{i}", "s", None, i, None, None, None, "d") for i in range(18)], "id bigint, rec string, scope string, kh binary, g bigint, same string, near string, near_c double, day string")
+    near = spark.createDataFrame([(i, j, 0.96, "s") for i in range(18) for j in range(i) if i < 15 or i - j == 1], "g bigint, h bigint, c double, scope string")
+    want = sorted(map(tuple, linkage.walk_scopes(nodes, near).collect()))
+    made, plain = [], linkage.materialize
+    monkeypatch.setattr(linkage, "materialize", lambda df, name: made.append(name) or plain(df, name))
+    for most, states in ((0, 7), (4, 4)):  # rounds to the end of the chain; rounds, then a task
+        monkeypatch.setattr(linkage, "WALK_ROWS", most)
+        made.clear()
+        assert sorted(map(tuple, linkage.walk_rounds(nodes, near).collect())) == want
+        assert made.count("state") <= states
+
+
 def test_lists_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(linkage, "LIST_ROWS", 20)
     monkeypatch.setattr(linkage, "BLOCK", 4)
