@@ -7,6 +7,8 @@ expands contractions), and ``prefilter_text`` feeds the prefilter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,21 @@ CONTRACTIONS = {
 APPROXIMATORS = "about around roughly approximately nearly almost over under close to at least most up more than less only exactly just some currently now".split()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it uses several times and that is computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def table(pairs: dict[str, str]) -> Column:
+    """A map literal; one expression, which is folded once, however many pairs. Neither side may hold a bar or a colon."""
+    return F.str_to_map(F.lit("|".join(f"{k}:{v}" for k, v in pairs.items())), F.lit("[|]"), F.lit(":"))
+
+
+def longest_first(phrases: list[str]) -> str:
+    """Alternatives of a pattern, longer ones first, so that a scan takes the longest phrase at each place."""
+    return "|".join(sorted(phrases, key=len, reverse=True))
+
+
 def strip(c: Column) -> Column:
     """White space off both ends."""
     return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
@@ -62,8 +79,7 @@ def exact_key(c: Column) -> Column:
 def normalize_text(c: Column) -> Column:
     """``exact_key`` without apostrophes' letters joined apart, contractions expanded word by word."""
     words = F.split(exact_key(F.regexp_replace(c, "['’]", "")), " ")
-    table = F.create_map(*[x for k, v in CONTRACTIONS.items() for x in (F.lit(k), F.lit(v))])
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(table, w), w)), " ")
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(table(CONTRACTIONS), w), w)), " ")
 
 
 def prefilter_text(c: Column) -> Column:

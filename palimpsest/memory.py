@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, triples
-from palimpsest.functions.extractors import Extractor, extract_column, rules
+from palimpsest.functions.extractors import Extractor, distinct_rounds, rules, turns_key
 from palimpsest.functions.extraction import verify_raw_column
 from palimpsest.operators import conflict, dedup, ingest, render, retrieve
 from palimpsest.session import materialize
@@ -42,7 +42,8 @@ class Memory:
         if self.extractor is None:
             return r
         kept = ingest.prefiltered(rounds).where("keep").select("session_id", "round_no")
-        got = base.join(kept, ["session_id", "round_no"]).withColumn("out", extract_column(self.extractor, F.col("turns"))).select("*", F.posexplode_outer("out.facts").alias("piece", "f")).where("f IS NOT NULL")
+        asked = materialize(base.join(kept, ["session_id", "round_no"]).withColumn("key", turns_key(F.col("turns"))), "asked")
+        got = asked.join(self.extractor(distinct_rounds(asked)), "key").select("*", F.posexplode_outer("facts").alias("piece", "f")).where("f IS NOT NULL")
         got = got.withColumn("v", verify_raw_column(F.col("f.content"), F.col("f.raw"), F.col("turns"))).withColumn("mention", dates.mention_in(F.col("f.when"), F.col("text"))).withColumn("t", triples.triple_column(F.col("f.subject"), F.col("f.predicate"), F.col("f.object")))
         f = got.select(
             "user_id", "ts", "session_id", "round_no", "piece", "turns", "roles", "round_key", F.lit("fact").alias("kind"), ingest.fact_embed_text(F.col("v.raw"), F.col("f.content")).alias("content"), F.col("f.salience").alias("salience"),

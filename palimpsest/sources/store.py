@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.extractors import rule_digests
 from palimpsest.operators.conflict import apply_updates
 from palimpsest.sources.schema import KINDS, LEDGER, MEMORIES, META, REGISTRY, Config
 
@@ -78,7 +79,7 @@ class Store:
         """Open a store, or create it. Other guard rows than those stored are refused."""
         self.spark, self.path, self.config = spark, path.rstrip("/"), config
         self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        expected = spark.createDataFrame(config.guard_rows(), META)
+        expected = spark.createDataFrame([*config.guard_rows(), *rule_digests().items()], META)
         if self._exists("meta"):
             wrong = guard_differences(expected, spark.read.schema(META).parquet(f"{self.path}/meta")).limit(20).collect()
             if wrong:
