@@ -1,22 +1,25 @@
 """New batches checked against everything accepted so far, without redoing it.
 
-The state is two persisted tables: digests of normalized content, and vectors
-in posting lists (``vectors``), stored in buckets so that a batch meets them
-without the history being shuffled again. A batch probes both tables by its
-blocking keys, links its own rows in the same way, and is then walked in
-order: the walk touches only rows that share content, vector or a link with an
-earlier row of the batch. Accepted rows are appended to the tables; every row
-gets the representative of its cluster, which for a dropped row is that of the
-record it was dropped for.
-
-Candidate links carry a match weight: log-odds of agreement of the fields,
-learned from the links themselves (links of equal content against the others).
-The decision is the exact rule; the weight is for those who want to review.
+The state is persisted: digests of normalized content in parts by scope (a user
+and kind), vectors in posting lists (``vectors``) in buckets, and a forest of
+representatives. Equal stored vectors of a scope are one row. A batch names the
+parts, buckets and lists that it probes; the other parts and buckets are not
+read, and of those read only rows of probed lists leave the scan. The batch
+links its own rows in the same way and is then walked in order: the walk
+touches only rows that share content, vector or a link with an earlier row of
+the batch. Accepted rows are appended to the tables, decisions are written
+batch by batch, so that no plan grows with their number.
+
+The decision of a screen is the exact rule. All compared pairs of some
+likeness are counted by the agreement of their fields (band of the cosine, same
+day, like length); from these counts the weights of a Fellegi-Sunter model are
+learned by expectation maximization. Links of positive weight, and equal
+contents, join clusters: a union-find over the roots of the touched clusters
+only, whose result is appended to the forest.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -28,15 +31,21 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.vectors import Codebook, fit_codebook, pack, unpack, usable
 from palimpsest.operators.history import _BLANK
-from palimpsest.session import drop_scratch, materialize, once, scratch_path, small_enough
+from palimpsest.session import bounded, drop_scratch, materialize, once, scratch_path
 
 LIST_ROWS, BLOCK = 800, 4096
 #: Lists in which a row of the history stands, and that a new row probes: up to so many, each at most so much farther than the nearest.
 STORE, PROBE = (1, 1.0), (6, 1.25)
 #: Rows of one scope that one task walks; scopes with more are resolved in rounds over frames.
 WALK_ROWS = 200_000
-#: Rows up to which the smaller side of a join is broadcast.
-BROADCAST_ROWS = 500_000
+#: Links of one batch whose components one task finds; more are found in rounds over frames.
+UNION_ROWS = 200_000
+#: Rows of a bucket of the stored vectors, and groups within it; parts of the digests.
+BUCKET_ROWS, GROUPS, PARTS = 100_000, 4, 64
+#: Arrivals and memories have one numbering: arrivals begin here. Ids lie within half of it on both sides of 0.
+ARRIVALS = 1 << 62
+#: Stands for no record where frames go to Python, which would read whole numbers beside nulls as floats.
+NONE = -(1 << 62)
 
 
 def content_key(c: Column) -> Column:
@@ -45,181 +54,330 @@ def content_key(c: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(kept, f"{_BLANK}+", " ")), F.lit(""))
 
 
-def _records(rows: DataFrame, id_col: str, prefix: str, dim: int) -> DataFrame:
-    """``id, rec, scope, kh, day, vec``: what the linkage needs of a record. vec is null if not usable."""
+def record_name(rec: Column) -> Column:
+    """``m:`` or ``a:`` and the id."""
+    return F.when(rec >= ARRIVALS // 2, F.concat(F.lit("a:"), rec - F.lit(ARRIVALS))).otherwise(F.concat(F.lit("m:"), rec))
+
+
+def _records(rows: DataFrame, id_col: str, first: int, dim: int) -> DataFrame:
+    """``id, rec, scope, part, kh, day, chars, vec``: what the linkage needs of a record. vec is empty if not usable."""
     scope = F.concat_ws("\u0001", F.coalesce("user_id", F.lit("\u0000")), F.coalesce("kind", F.lit("\u0000")))
     key = content_key(F.col("content"))
     fine = F.when(usable(F.col("embedding"), dim), F.col("embedding"))
-    extra = ["batch_no"] if "batch_no" in rows.columns else []
     return rows.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"),
-        F.concat(F.lit(prefix), F.col(id_col)).alias("rec"),
+        (F.col(id_col) + F.lit(first)).alias("rec"),
         scope.alias("scope"),
         F.when(key.isNotNull(), F.unhex(F.md5(F.concat(scope, F.lit("\u0002"), key)))).alias("kh"),
         F.substring(F.regexp_replace("created_at", "/", "-"), 1, 10).alias("day"),
-        _pack_or_null(fine).alias("vec"),
-        *extra,
+        F.coalesce(F.length("content"), F.lit(0)).alias("chars"),
+        pack(F.coalesce(fine, F.array().cast("array<float>"))).alias("vec"),
     )
 
 
-def _pack_or_null(c: Column) -> Column:
-    """Packed bytes; empty bytes stand for a vector that takes no part."""
-    return pack(F.coalesce(c, F.array().cast("array<float>")))
+# --- weights of agreement ----------------------------------------------------
+
+#: Lower ends of the bands of cosine; pairs below the first are not counted.
+BANDS = (0.8, 0.9, 0.95, 0.97, 0.99, 0.999)
+PATTERNS = len(BANDS) * 4
+#: Agreement of all fields.
+FULL = PATTERNS - 1
+
 
+def pattern(cosine: np.ndarray, same_day: np.ndarray, like_length: np.ndarray) -> np.ndarray:
+    """Number of the agreement of fields: band of the cosine, same day, like length."""
+    return (np.searchsorted(BANDS, cosine, "right") - 1) * 4 + same_day.astype(int) * 2 + like_length.astype(int)
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A frame to broadcast while it is small, else as it is."""
-    return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
+
+def learn_weights(counts: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Log-odds of each pattern: of its fields' agreement among matches against that among the rest.
+
+    Counts of patterns are split between matches and others by expectation
+    maximization from a mild start, with one pair added to each value, so that
+    no pairs at all give the start's weights.
+    """
+    code = np.arange(PATTERNS)
+    fields = [code // 4, code // 2 % 2, code % 2]
+    m = [np.array([1, 2, 8, 16, 24, 48]) / 99, np.array([0.4, 0.6]), np.array([0.3, 0.7])]
+    u = [m[0][::-1], np.array([0.8, 0.2]), np.array([0.6, 0.4])]
+    share = 0.2
+    for _ in range(rounds if counts.sum() else 0):
+        a = share * np.prod([t[f] for t, f in zip(m, fields)], axis=0)
+        b = (1 - share) * np.prod([t[f] for t, f in zip(u, fields)], axis=0)
+        match = counts * a / (a + b)
+        rest = counts - match
+        share = min(0.99, max(0.01, match.sum() / counts.sum()))
+        m, u = ([(np.bincount(f, weights=w, minlength=len(t)) + 1) / (w.sum() + len(t)) for f, t in zip(fields, m)] for w in (match, rest))
+    return np.sum([np.log(x[f] / y[f]) for x, y, f in zip(m, u, fields)], axis=0)
+
+
+class _Forest:
+    """Union-find of one task, for edges that join something."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def find(self, x):
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x, y) -> bool:
+        a, b = self.find(x), self.find(y)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, root``: the smallest node of each component of ``x, y``, which are whole numbers.
+
+    Up to ``UNION_ROWS`` edges are one task's union-find. More are contracted
+    in rounds: every edge is hung on the smallest neighbour of its end, larger
+    ends first, then smaller ones, until nothing changes. No round gathers a
+    node's neighbours.
+    """
+    some = edges.where("x <> y").distinct()
+    few = some.limit(UNION_ROWS + 1).count() <= UNION_ROWS
+    if few:
+
+        def run(e: pd.DataFrame) -> pd.DataFrame:
+            forest = _Forest()
+            for x, y in zip(e["x"].tolist(), e["y"].tolist()):
+                forest.join(x, y)
+            nodes = list(forest.up)
+            return pd.DataFrame({"node": nodes, "root": [forest.find(n) for n in nodes]})
+
+        return some.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "node bigint, root bigint")
+    digest = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(20,0)"))).first())
+    star = materialize(some.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "star")
+    was = digest(star)
+    while True:
+        both = star.unionByName(star.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        least = both.groupBy("x").agg(F.least("x", F.min("y")).alias("m"))
+        large = both.where("y > x").join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        large = large.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+        low = large.groupBy("x").agg(F.min("y").alias("m"))
+        small = large.join(low, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(low.select("x", F.col("m").alias("y")))
+        old, star = star, materialize(small.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct(), "star")
+        now = digest(star)
+        drop_scratch(old)
+        if now == was:
+            return star.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(star.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())
+        was = now
 
 
 class IncrementalLinkage:
+    """The state of one linkage; a context that drops it at its end."""
+
     def __init__(self, spark: SparkSession, threshold: float = 0.95, dim: int = 64):
+        if threshold < BANDS[0]:
+            raise ValueError(f"a threshold below {BANDS[0]} is not counted")
         self.spark, self.threshold, self.dim = spark, threshold, dim
         self.at = scratch_path(spark, "linkage")
         self.table = f"linkage_{uuid.uuid4().hex}"
-        self.parts = 0
-        self.weights: dict[tuple[str, bool], float] = {}
+        self.counts = np.zeros(PATTERNS)
+        self.batch = 0
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.close()
 
     # --- state ---------------------------------------------------------------
 
     def bootstrap(self, memories: DataFrame) -> None:
-        """Store the history: digests and lists. Rows of one id and content count once."""
-        rows = _records(memories.select("id", "user_id", "kind", "content", "created_at", "embedding"), "id", "m:", self.dim)
+        """Store the history: digests, lists, and clusters of equal contents and equal vectors. Rows of one id and content count once."""
+        rows = _records(memories.select("id", "user_id", "kind", "content", "created_at", "embedding"), "id", 0, self.dim)
         rows = materialize(rows, "history")
         self._append_keys(rows)
-        vectors = rows.where(F.octet_length("vec") > 0)
-        sizes = vectors.groupBy("scope").agg(F.count(F.lit(1)).alias("rows"))
+        first, many = F.min(F.struct("rec", "day", "chars")).alias("f"), (F.min("rec") < F.max("rec")).alias("many")
+        distinct = rows.where(F.octet_length("vec") > 0).groupBy("scope", "vec").agg(first, many).select("scope", "vec", "f.*", "many")
+        distinct = materialize(distinct, "distinct")
+        sizes = distinct.groupBy("scope").agg(F.count(F.lit(1)).alias("rows"))
         total, largest = sizes.agg(F.sum("rows"), F.max("rows")).first()
-        self.book = self.spark.sparkContext.broadcast(fit_codebook(vectors, self.dim, total or 1, largest or 1, LIST_ROWS))
-        self.large = _bounded(materialize(sizes.where(F.col("rows") > LIST_ROWS), "large"))
-        shuffled = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
-        self.buckets = max(shuffled, -(-(total or 0) // 200_000))
-        listed = self._lists(vectors, *STORE)
+        self.book = self.spark.sparkContext.broadcast(fit_codebook(distinct, self.dim, total or 1, largest or 1, LIST_ROWS))
+        self.large = bounded(materialize(sizes.where(F.col("rows") > LIST_ROWS), "large"))
+        self.buckets = max(self.spark.sparkContext.defaultParallelism, -(-(total or 0) // BUCKET_ROWS))
+        listed = self._lists(distinct.drop("many"), *STORE)
         self.over = None
         if (largest or 0) > LIST_ROWS:
-            over = listed.groupBy("scope", "list").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 4 * BLOCK)
+            listed = materialize(listed, "listed")
+            over = listed.groupBy("scope", F.col("lists")[0].alias("list")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 4 * BLOCK)
             over = materialize(over.select("scope", "list", F.ceil(F.col("size") / (2 * BLOCK)).cast("int").alias("blocks")), "over")
-            self.over = _bounded(over) if over.limit(1).count() else None
+            self.over = bounded(over) if over.limit(1).count() else None
         self._append_vectors(listed)
+        # Copies hang on the first of their content and of their vector.
+        texts = rows.where("kh IS NOT NULL").groupBy("kh").agg(F.min("rec").alias("y"), many).where("many").select("kh", "y")
+        equal = rows.join(bounded(texts), "kh").select(F.col("rec").alias("x"), "y")
+        twins = distinct.where("many").select("scope", F.md5("vec").alias("vd"), F.col("rec").alias("y"))
+        near = rows.where(F.octet_length("vec") > 0).withColumn("vd", F.md5("vec")).join(bounded(twins), ["scope", "vd"]).select(F.col("rec").alias("x"), "y")
+        self._unite(equal.unionByName(near).where("x <> y"))
         drop_scratch(rows)
 
     def _append_keys(self, rows: DataFrame) -> None:
-        keys = rows.where("kh IS NOT NULL").groupBy("kh").agg(F.min("rec").alias("rec"), F.min("day").alias("day"))
-        keys.write.parquet(f"{self.at}/keys/part={self.parts}")
-        self.parts += 1
+        """Digests of contents, one row a content, in parts by scope."""
+        part = F.pmod(F.xxhash64("scope"), F.lit(PARTS)).cast("int").alias("part")
+        keys = rows.where("kh IS NOT NULL").groupBy(part, "kh").agg(F.min("rec").alias("rec"))
+        keys.repartition("part").sortWithinPartitions("part", "kh").write.partitionBy("part").mode("append").parquet(f"{self.at}/keys")
 
     def _append_vectors(self, listed: DataFrame) -> None:
-        """Rows of the lists into their buckets; each row stands in one block of its list."""
-        rows = self._blocked(listed, as_query=False).select("bucket", "lk", "rec", "day", "vec").repartition(self.buckets, "bucket")
+        """Rows of the lists into their buckets; each row stands in one block of its own list."""
+        rows = self._blocked(listed.withColumn("lists", F.slice("lists", 1, 1)), as_query=False).select("bucket", "lk", "rec", "day", "chars", "vec").repartition(self.buckets, "bucket")
         how = rows.write.format("parquet").option("path", f"{self.at}/vectors").bucketBy(self.buckets, "bucket").sortBy("bucket")
         how.mode("append").saveAsTable(self.table)
 
-    def _lists(self, rows: DataFrame, replicas: int, ratio: float) -> DataFrame:
-        """Adds ``list``: the lists of each row, in the level of its scope."""
+    def _lists(self, rows: DataFrame, most: int, ratio: float) -> DataFrame:
+        """Adds ``lists``: the lists of each row, nearest first, in the level of its scope; none for an empty vector."""
         book, names = self.book, [f.name for f in rows.schema]
         sized = rows.join(self.large, "scope", "left").select(*names, F.coalesce("rows", F.lit(1)).alias("rows"))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             b: Codebook = book.value
             for batch in batches:
-                if len(batch):
-                    r, lists, _ = b.lists(unpack(batch["vec"], b.dim), b.level_of(batch["rows"].to_numpy()), replicas, ratio)
-                    yield batch.iloc[r][names].reset_index(drop=True).assign(list=lists)
+                lists: list[list[int]] = [[] for _ in range(len(batch))]
+                full = np.flatnonzero(batch["vec"].map(len).to_numpy() > 0)
+                if len(full):
+                    r, own, rank = b.lists(unpack(batch["vec"].iloc[full], b.dim), b.level_of(batch["rows"].to_numpy()[full]), most, ratio)
+                    for k in np.lexsort((rank, r)):
+                        lists[full[r[k]]].append(int(own[k]))
+                yield batch[names].assign(lists=lists)
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        return sized.mapInPandas(run, f"{schema}, list int")
+        return sized.mapInPandas(run, f"{schema}, lists array<int>")
 
     def _blocked(self, listed: DataFrame, as_query: bool) -> DataFrame:
-        """Adds ``lk, bucket``: as data a row stands in one block of its list, as a query in each."""
+        """A row for each list: adds ``lk, bucket, own``. As data a row stands in one block of its list, as a query in each."""
+        rows = listed.select("*", F.posexplode("lists").alias("rank", "list")).drop("lists")
         if self.over is None:
-            rows = listed.withColumn("block", F.lit(0))
+            rows = rows.withColumn("block", F.lit(0)).withColumn("own", F.col("rank") == 0)
         else:
-            rows = listed.join(self.over, ["scope", "list"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-            own = F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")
-            rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if as_query else own)
+            rows = rows.join(self.over, ["scope", "list"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+            held = F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")
+            rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if as_query else held)
+            rows = rows.withColumn("own", (F.col("rank") == 0) & (F.col("block") == held))
         rows = rows.withColumn("lk", F.xxhash64("scope", "list", "block"))
-        return rows.withColumn("bucket", F.pmod("lk", F.lit(self.buckets * 4)).cast("int"))
+        return rows.withColumn("bucket", F.pmod("lk", F.lit(self.buckets * GROUPS)).cast("int"))
 
     # --- a batch -------------------------------------------------------------
 
     def process(self, batch: DataFrame) -> DataFrame:
         """Decide one batch and take what it accepts into the state.
 
-        Returns ``id, screen, neighbour, cosine, weight, cluster``: screen is
-        null for accepted rows; neighbour is the record that a row was dropped
-        for (``m:`` or ``a:`` and its id). Blank content never is equal to
-        anything, unusable vectors are near nothing, null users and kinds are
-        values of their own, an empty batch gives no rows.
+        Returns ``id, screen, neighbour, cosine, weight``: screen is null for
+        accepted rows; neighbour is the record that a row was dropped for (the
+        nearest, of equally near ones that with more agreement, then the first)
+        and weight that of the agreement with it. Blank content never is equal
+        to anything, unusable vectors are near nothing, null users and kinds
+        are values of their own, an empty batch gives no rows.
         """
-        rows = materialize(_records(batch, "arrival_id", "a:", self.dim), "batch")
-        probe = rows.where("kh IS NOT NULL").select("kh").distinct()
-        probe = F.broadcast(probe) if rows.count() <= BROADCAST_ROWS else probe
-        stored = self.spark.read.parquet(f"{self.at}/keys")
-        same = stored.join(probe, "kh").groupBy("kh").agg(F.min("rec").alias("same"))
+        self.batch += 1
+        rows = materialize(self._lists(_records(batch, "arrival_id", ARRIVALS, self.dim), *PROBE), "batch")
         links = self._links(rows)
-        near = links.where("src = 'H'").groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select(F.col("a").alias("g"), F.col("best.c").alias("near_c"), F.col("best.b").alias("near"))
+        self._count(links)
         groups = rows.where(F.octet_length("vec") > 0).groupBy("scope", F.md5("vec").alias("vd")).agg(F.min("id").alias("g"))
-        nodes = rows.withColumn("vd", F.when(F.octet_length("vec") > 0, F.md5("vec"))).join(groups, ["scope", "vd"], "left").join(same, "kh", "left").join(near, "g", "left")
-        nodes = materialize(nodes.select("id", "rec", "scope", "kh", "g", "same", "near", "near_c", "day"), "nodes")
-        inner = links.where("src = 'B'").select(F.col("a").alias("g"), F.substring("b", 3, 30).cast("bigint").alias("h"), "c")
-        inner = materialize(inner.join(groups.select("g", "scope"), "g"), "inner")
-        decided = materialize(self._walk(nodes, inner), "decided")
+        near = links.where("src = 'H'").groupBy(F.col("a").alias("g")).agg(F.max(F.struct("c", "pat", (-F.col("b")).alias("first"))).alias("n"))
+        near = near.select("g", (-F.col("n.first")).alias("near"), F.col("n.c").alias("near_c"), F.col("n.pat").alias("near_pat"))
+        nodes = rows.withColumn("vd", F.when(F.octet_length("vec") > 0, F.md5("vec"))).join(groups, ["scope", "vd"], "left").join(self._same(rows), "kh", "left").join(near, "g", "left")
+        nodes = materialize(nodes.select("id", "rec", "scope", "kh", "g", "same", "near", "near_c", "near_pat"), "nodes")
+        inner = links.where("src = 'B'").select(F.col("a").alias("g"), (F.col("b") - F.lit(ARRIVALS)).alias("h"), "c", "pat", "scope")
+        weight = F.element_at(F.array(*[F.lit(float(w)) for w in self.weights]), F.col("pat") + 1)
+        at = f"{self.at}/decisions/{self.batch}"
+        walked = self._walk(nodes, inner).withColumn("weight", F.when(F.col("screen") == "cosine", F.round(weight, 6)))
+        walked.drop("pat").write.parquet(at)
+        decided = self.spark.read.parquet(at)
         accepted = rows.join(decided.where("screen IS NULL").select("id"), "id", "left_semi")
-        # Three small jobs that do not depend on each other.
+        # Three steps that do not depend on each other.
         jobs = (
             lambda: self._append_keys(accepted),
-            lambda: self._append_vectors(self._lists(accepted.where(F.octet_length("vec") > 0), *STORE)),
-            lambda: self._learn(links, nodes),
+            lambda: self._append_vectors(accepted.where(F.octet_length("vec") > 0).drop("id", "kh")),
+            lambda: self._unite(self._edges(links, nodes, decided)),
         )
         with ThreadPoolExecutor(len(jobs)) as pool:
             for done in [pool.submit(j) for j in jobs]:
                 done.result()
-        return self._scored(decided, nodes)
+        drop_scratch(rows), drop_scratch(links), drop_scratch(nodes)
+        return decided
+
+    def _same(self, rows: DataFrame) -> DataFrame:
+        """``kh, same``: stored records of equal content; only the parts of the batch's scopes are read."""
+        probe = rows.where("kh IS NOT NULL").select("kh", F.pmod(F.xxhash64("scope"), F.lit(PARTS)).cast("int").alias("part")).distinct()
+        parts = [r[0] for r in probe.select("part").distinct().collect()]
+        stored = self.spark.read.schema("kh binary, rec bigint, part int").parquet(f"{self.at}/keys").where(F.col("part").isin(parts))
+        return stored.join(bounded(probe.select("kh")), "kh").groupBy("kh").agg(F.min("rec").alias("same"))
 
     def _links(self, rows: DataFrame) -> DataFrame:
-        """``a, src, b, c, same_day``: of each distinct vector of the batch, its nearest stored record (H) and earlier vectors of the batch (B)."""
+        """``src, a, b, c, pat, scope`` of the distinct vectors of the batch.
+
+        H: the nearest stored record of a vector in a list; B: an earlier
+        vector of the batch; E: edges that keep together what links of one
+        pattern join within a list; P: how many pairs have pattern a.
+        """
         dim, least = self.dim, self.threshold
-        distinct = rows.where(F.octet_length("vec") > 0).groupBy("scope", "vec").agg(F.min("id").alias("id"), F.min("day").alias("day"))
-        new = self._blocked(self._lists(distinct, *PROBE), as_query=True).select("bucket", "lk", "id", "day", "vec")
+        first = F.min(F.struct("id", "day", "chars", "lists")).alias("f")
+        distinct = rows.where(F.octet_length("vec") > 0).groupBy("scope", "vec").agg(first).select("scope", "vec", "f.*")
+        new = self._blocked(distinct, as_query=True).select("bucket", "lk", "own", "id", "day", "chars", "vec", "scope")
+        cols = ["src", "a", "b", "c", "pat", "scope"]
 
         def run(h: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            cols = ["a", "src", "b", "c", "same_day"]
-            if not len(b):
-                return pd.DataFrame([], columns=cols)
             out: list[tuple] = []
-            x, blk, ids, day = unpack(b["vec"], dim), b["lk"].to_numpy(), b["id"].to_numpy(), b["day"].to_numpy()
-            h = h[np.isin(h["lk"].to_numpy(), blk)]
+            counts = np.zeros(PATTERNS, np.int64)
+            x, blk, own, scope = unpack(b["vec"], dim), b["lk"].to_numpy(), b["own"].to_numpy(), b["scope"].to_numpy()
+            code, day, chars = b["id"].to_numpy() + ARRIVALS, b["day"].to_numpy(), b["chars"].to_numpy()
             hx, hlk = (unpack(h["vec"], dim) if len(h) else np.empty((0, dim))), h["lk"].to_numpy()
-            hrec, hday = h["rec"].to_numpy(), h["day"].to_numpy()
-            order, horder = np.argsort(blk, kind="stable"), np.argsort(hlk, kind="stable")
+            hcode, hday, hchars = h["rec"].to_numpy(), h["day"].to_numpy(), h["chars"].to_numpy()
+            order, horder = np.lexsort((code, blk)), np.argsort(hlk, kind="stable")
             cuts = np.flatnonzero(np.r_[True, blk[order][1:] != blk[order][:-1], True])
             for s, e in zip(cuts[:-1], cuts[1:]):
                 at = order[s:e]
-                at = at[np.argsort(ids[at], kind="stable")]
                 lo, hi = np.searchsorted(hlk[horder], blk[at[0]], "left"), np.searchsorted(hlk[horder], blk[at[0]], "right")
-                near = horder[lo:hi]
+                forests: dict[int, _Forest] = {}
+                sides = [("H", horder[lo:hi], hx, hcode, hday, hchars), ("B", at[own[at]], x, code, day, chars)]
                 for k in range(0, len(at), 1024):
                     q = at[k : k + 1024]
-                    if len(near):
-                        c = np.round(x[q] @ hx[near].T, 6)
-                        j = c.argmax(axis=1)
-                        top = c[np.arange(len(q)), j]
-                        for r in np.flatnonzero(top >= least):
-                            n = near[j[r]]
-                            out.append((ids[q[r]], "H", hrec[n], top[r], day[q[r]] == hday[n]))
-                    c = np.round(x[q] @ x[at].T, 6)
-                    r, j = np.nonzero(c >= least)
-                    earlier = ids[at[j]] < ids[q[r]]
-                    for r1, j1 in zip(r[earlier], j[earlier]):
-                        out.append((ids[q[r1]], "B", f"a:{ids[at[j1]]}", c[r1, j1], day[q[r1]] == day[at[j1]]))
+                    for src, data, dx, dcode, dday, dchars in sides:
+                        if not len(data):
+                            continue
+                        c = np.round(x[q] @ dx[data].T, 6)
+                        r, j = np.nonzero(c >= BANDS[0])
+                        if src == "B":
+                            r, j = (v[dcode[data[j]] < code[q[r]]] for v in (r, j))
+                        i, n, c = q[r], data[j], c[r, j]
+                        long = np.maximum(chars[i], dchars[n])
+                        pat = pattern(c, (day[i] == dday[n]) & pd.notna(day[i]), np.minimum(chars[i], dchars[n]) >= 0.8 * long)
+                        counts += np.bincount(pat, minlength=PATTERNS)
+                        hit = c >= least
+                        i, n, c, pat = i[hit], n[hit], c[hit], pat[hit]
+                        o = np.lexsort((dcode[n], -pat, -c, i))
+                        i, n, c, pat = i[o], n[o], c[o], pat[o]
+                        keep = np.r_[True, i[1:] != i[:-1]] if src == "H" and len(i) else np.ones(len(i), bool)
+                        out += [(src, code[a] - ARRIVALS, dcode[m], v, p, scope[a]) for a, m, v, p in zip(i[keep], n[keep], c[keep], pat[keep])]
+                        for a, m, v, p in zip(code[i].tolist(), dcode[n].tolist(), c, pat.tolist()):
+                            if forests.setdefault(p, _Forest()).join(a, m):
+                                out.append(("E", a - ARRIVALS, m, v, p, None))
+            out += [("P", p, 0, float(n), 0, None) for p, n in enumerate(counts) if n]
             return pd.DataFrame(out, columns=cols)
 
         stored = self.spark.table(self.table)
-        found = stored.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInPandas(run, "a bigint, src string, b string, c double, same_day boolean")
-        return materialize(found.distinct(), "links")
+        probed = new.select("bucket", "lk").distinct()
+        touched = [r[0] for r in probed.select("bucket").distinct().collect()]
+        if len(touched) < self.buckets * GROUPS:
+            stored = stored.where(F.col("bucket").isin(touched))
+        stored = stored.join(bounded(probed.select("lk")), "lk", "left_semi").select("bucket", "lk", "rec", "day", "chars", "vec")
+        none = pd.DataFrame([], columns=cols)
+        found = stored.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInPandas(lambda h, b: run(h, b) if len(b) else none, "src string, a bigint, b bigint, c double, pat int, scope string")
+        return materialize(found, "links")
+
+    def _count(self, links: DataFrame) -> None:
+        """Add the batch's patterns to those counted so far, and learn the weights anew."""
+        for r in links.where("src = 'P'").groupBy("a").agg(F.sum("c").alias("n")).collect():
+            self.counts[r["a"]] += r["n"]
+        self.weights = learn_weights(self.counts)
 
     def _walk(self, nodes: DataFrame, inner: DataFrame) -> DataFrame:
-        """``id, screen, neighbour, cosine`` by the walk in order of id.
+        """``id, screen, neighbour, cosine, pat`` by the walk in order of id.
 
         A row without a relation to another row of the batch needs no walk.
         Related rows are walked scope by scope; scopes with very many of them
@@ -229,40 +387,72 @@ class IncrementalLinkage:
         twin = nodes.where("g IS NOT NULL").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.lit(True).alias("g_shared"))
         linked = inner.select("g").unionByName(inner.select(F.col("h").alias("g"))).distinct().withColumn("linked", F.lit(True))
         marked = nodes.join(shared, "kh", "left").join(twin, "g", "left").join(linked, "g", "left")
-        marked = materialize(marked.withColumn("related", F.coalesce("k_shared", "g_shared", "linked", F.lit(False))).select(*nodes.columns, "related"), "marked")
+        marked = marked.withColumn("related", F.coalesce("k_shared", "g_shared", "linked", F.lit(False))).select(*nodes.columns, "related")
+        dropped = F.col("same").isNull() & F.col("near").isNotNull()
         alone = marked.where("NOT related").select(
             "id",
-            F.when(F.col("same").isNotNull(), "exact").when(F.col("near").isNotNull(), "cosine").alias("screen"),
+            F.when(F.col("same").isNotNull(), "exact").when(dropped, "cosine").alias("screen"),
             F.coalesce("same", "near").alias("neighbour"),
-            F.when(F.col("same").isNull(), F.col("near_c")).alias("cosine"),
+            F.when(dropped, F.col("near_c")).alias("cosine"),
+            F.when(dropped, F.col("near_pat")).alias("pat"),
         )
         related = marked.where("related").drop("related")
         count = related.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
         most = count.agg(F.max("n")).first()[0] or 0
         if most <= WALK_ROWS:
             return alone.unionByName(walk_scopes(related, inner))
-        huge = _bounded(materialize(count.where(F.col("n") > WALK_ROWS).select("scope"), "huge"))
+        huge = bounded(materialize(count.where(F.col("n") > WALK_ROWS).select("scope"), "huge"))
         small = walk_scopes(related.join(huge, "scope", "left_anti"), inner.join(huge, "scope", "left_anti"))
         return alone.unionByName(small).unionByName(walk_rounds(related.join(huge, "scope", "left_semi"), inner.join(huge, "scope", "left_semi")))
 
-    # --- weights -------------------------------------------------------------
-
-    def _learn(self, links: DataFrame, nodes: DataFrame) -> None:
-        """Weights from counts over all links so far: agreement among links of equal content against the rest."""
-        kinds = links.join(nodes.select(F.col("id").alias("a"), F.col("same").isNotNull().alias("equal")), "a")
-        for r in kinds.groupBy(_band(F.col("c")).alias("band"), F.coalesce("same_day", F.lit(False)).alias("day"), "equal").agg(F.count(F.lit(1)).alias("n")).collect():
-            counts = self.__dict__.setdefault("_counts", {})
-            counts[(r["band"], r["day"], r["equal"])] = counts.get((r["band"], r["day"], r["equal"]), 0) + r["n"]
-        counts = self.__dict__.get("_counts", {})
-        m, u = (sum(n for k, n in counts.items() if k[2] is e) + 8.0 for e in (True, False))
-        self.weights = {(b, d): math.log((counts.get((b, d, True), 0) + 1) / m) - math.log((counts.get((b, d, False), 0) + 1) / u) for b in BANDS for d in (True, False)}
-
-    def _scored(self, decided: DataFrame, nodes: DataFrame) -> DataFrame:
-        weight = F.lit(None).cast("double")
-        for (band, _), w in self.weights.items():
-            if _:
-                weight = F.when(_band(F.col("cosine")) == band, F.lit(w)).otherwise(weight)
-        return decided.select("id", "screen", "neighbour", "cosine", F.when(F.col("screen") == "cosine", F.round(weight, 6)).alias("weight"), F.coalesce("neighbour", F.concat(F.lit("a:"), "id")).alias("cluster"))
+    # --- clusters ------------------------------------------------------------
+
+    def _edges(self, links: DataFrame, nodes: DataFrame, decided: DataFrame) -> DataFrame:
+        """``x, y``: what belongs together by this batch: equal contents, equal vectors, links of positive weight."""
+        good = [k for k, w in enumerate(self.weights) if w > 0]
+        scored = links.where(F.col("src").eqNullSafe("E") & F.col("pat").isin(good)).select((F.col("a") + F.lit(ARRIVALS)).alias("x"), F.col("b").alias("y"))
+        equal = decided.where("screen = 'exact'").select((F.col("id") + F.lit(ARRIVALS)).alias("x"), F.col("neighbour").alias("y"))
+        twins = nodes.where("g <> id").select(F.col("rec").alias("x"), (F.col("g") + F.lit(ARRIVALS)).alias("y"))
+        return scored.unionByName(equal).unionByName(twins)
+
+    def _forest(self) -> DataFrame:
+        return self.spark.read.schema("node bigint, root bigint, batch int").parquet(f"{self.at}/forest")
+
+    def _roots(self, nodes: DataFrame | None = None) -> DataFrame:
+        """``node, root``: the latest root of nodes that belong to a cluster, of all of them or of those given."""
+        rows = self._forest()
+        rows = rows if nodes is None else rows.join(nodes, "node", "left_semi")
+        return rows.groupBy("node").agg(F.max_by("root", "batch").alias("root"))
+
+    def _unite(self, edges: DataFrame) -> None:
+        """Join the clusters that edges connect.
+
+        Only roots of touched clusters take part in the union-find. Members of
+        clusters whose root changes get a new row in the forest, as do nodes
+        that are new to it; all others keep theirs.
+        """
+        edges = materialize(edges, "edges")
+        nodes = edges.select(F.col("x").alias("node")).unionByName(edges.select(F.col("y").alias("node"))).distinct()
+        if self.batch:
+            roots = materialize(nodes.join(self._roots(bounded(nodes)), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+            a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "xy")
+            found = edges.join(a, "x").join(b, "y").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
+        else:
+            roots, found = nodes.select("node", F.col("node").alias("root")), edges
+        joined = materialize(components(found).select(F.col("node").alias("root"), F.col("root").alias("to")), "joined")
+        own = roots.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        if self.batch:
+            moved = bounded(joined.where("root <> to"))
+            members = self._forest().join(moved.select("root"), "root", "left_semi").select("node").distinct()
+            others = self._roots(members).join(moved, "root").select("node", F.col("to").alias("root"))
+            own = own.unionByName(others).unionByName(moved.select(F.col("root").alias("node"), F.col("to").alias("root")))
+        own.distinct().withColumn("batch", F.lit(self.batch)).write.mode("append").parquet(f"{self.at}/forest")
+        drop_scratch(edges), drop_scratch(joined)
+
+    def clusters(self, rows: DataFrame) -> DataFrame:
+        """Adds ``cluster``, the name of the first record of each row's cluster; rows: with ``id`` of arrivals."""
+        roots = self._roots().select((F.col("node") - F.lit(ARRIVALS)).alias("id"), "root")
+        return rows.join(roots, "id", "left").withColumn("cluster", record_name(F.coalesce("root", F.col("id") + F.lit(ARRIVALS)))).drop("root")
 
     def close(self) -> None:
         """Drop the state of this run."""
@@ -270,14 +460,9 @@ class IncrementalLinkage:
         drop_scratch(self.at, self.spark)
 
 
-BANDS = ("0.95", "0.97", "0.99", "1")
-
-
-def _band(c: Column) -> Column:
-    return F.when(c >= 0.999, "1").when(c >= 0.99, "0.99").when(c >= 0.97, "0.97").otherwise("0.95")
-
+# --- the walk ----------------------------------------------------------------
 
-_DECIDED = "id bigint, screen string, neighbour string, cosine double"
+_DECIDED = "id bigint, screen string, neighbour bigint, cosine double, pat int"
 
 
 def walk_scopes(nodes: DataFrame, inner: DataFrame) -> DataFrame:
@@ -285,36 +470,37 @@ def walk_scopes(nodes: DataFrame, inner: DataFrame) -> DataFrame:
 
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         n = n.sort_values("id")
-        near: dict[int, list[tuple[int, float]]] = {}
-        for g, h, c in zip(e["g"], e["h"], e["c"]):
-            near.setdefault(g, []).append((h, c))
-            near.setdefault(h, []).append((g, c))
-        contents: dict[bytes, str] = {}
-        taken: dict[int, str] = {}
+        near: dict[int, list[tuple[int, float, int]]] = {}
+        for g, h, c, p in zip(e["g"].tolist(), e["h"].tolist(), e["c"], e["pat"]):
+            near.setdefault(g, []).append((h, c, p))
+            near.setdefault(h, []).append((g, c, p))
+        contents: dict[bytes, int] = {}
+        taken: dict[int, int] = {}
         out = []
-        for i, rec, kh, g, same, stored, c in zip(n["id"], n["rec"], n["kh"], n["g"], n["same"], n["near"], n["near_c"]):
+        for i, rec, kh, g, same, stored, c, p in zip(*(n[x].tolist() for x in ("id", "rec", "kh", "g", "same", "near", "near_c", "near_pat"))):
             kh = None if kh is None else bytes(kh)
-            g = None if g is None or g != g else int(g)
-            if same is not None:
-                out.append((i, "exact", same, None))
+            if same != NONE:
+                out.append((i, "exact", same, None, None))
             elif kh is not None and kh in contents:
-                out.append((i, "exact", contents[kh], None))
+                out.append((i, "exact", contents[kh], None, None))
             else:
-                options = [] if stored is None else [(c, stored)]
-                if g is not None:
-                    options += [(1.0, taken[g])] if g in taken else []
-                    options += [(x, taken[h]) for h, x in near.get(g, ()) if h in taken]
+                options = [] if stored == NONE else [(c, int(p), -stored)]
+                if g != NONE:
+                    options += [(1.0, FULL, -taken[g])] if g in taken else []
+                    options += [(x, y, -taken[h]) for h, x, y in near.get(g, ()) if h in taken]
                 if options:
-                    c, rec = max(options, key=lambda o: (o[0], o[1]))
-                    out.append((i, "cosine", rec, c))
+                    c, p, rec = max(options)
+                    out.append((i, "cosine", -rec, c, p))
                 else:
-                    out.append((i, None, None, None))
+                    out.append((i, None, None, None, None))
                     if kh is not None:
                         contents[kh] = rec
-                    if g is not None:
+                    if g != NONE:
                         taken[g] = rec
-        return pd.DataFrame(out, columns=["id", "screen", "neighbour", "cosine"])
+        ids, screens, neighbours, cosines, pats = zip(*out) if out else ((),) * 5
+        return pd.DataFrame({"id": ids, "screen": screens, "neighbour": pd.array(neighbours, "Int64"), "cosine": cosines, "pat": pd.array(pats, "Int32")})
 
+    nodes = nodes.withColumns({c: F.coalesce(c, F.lit(NONE)) for c in ("g", "same", "near")})
     return nodes.groupBy("scope").cogroup(inner.groupBy("scope")).applyInPandas(run, _DECIDED)
 
 
@@ -329,7 +515,7 @@ def walk_rounds(nodes: DataFrame, inner: DataFrame) -> DataFrame:
     no accepted earlier row, so only to each other. Screens and neighbours are
     looked up when all is decided.
     """
-    both = inner.select("g", "h", "c").unionByName(inner.select(F.col("h").alias("g"), F.col("g").alias("h"), "c"))
+    both = inner.select("g", "h", "c", "pat").unionByName(inner.select(F.col("h").alias("g"), F.col("g").alias("h"), "c", "pat"))
     both = materialize(both.distinct(), "edges")
     status = F.when(F.col("same").isNotNull() | F.col("near").isNotNull(), "dropped").otherwise("open")
     state = materialize(nodes.withColumn("status", status), "state")
@@ -362,33 +548,34 @@ def walk_rounds(nodes: DataFrame, inner: DataFrame) -> DataFrame:
     by_k = accepted.where("kh IS NOT NULL").groupBy("kh").agg(F.min("id").alias("k_taken"))
     by_g = accepted.where("g IS NOT NULL").groupBy(F.col("g").alias("h")).agg(F.min("id").alias("t"))
     lost = state.where("status = 'dropped'").join(by_k, "kh", "left")
-    lost = lost.withColumn("equal", F.coalesce("same", F.when(before("k_taken"), F.concat(F.lit("a:"), "k_taken"))))
-    links = both.unionByName(state.where("g IS NOT NULL").select("g", F.col("g").alias("h"), F.lit(1.0).alias("c")).distinct()).join(by_g, "h")
-    of_batch = lost.where("equal IS NULL").join(links, "g").where("t < id").select("id", "c", F.concat(F.lit("a:"), "t").alias("r"))
-    stored = lost.where("equal IS NULL AND near IS NOT NULL").select("id", F.col("near_c").alias("c"), F.col("near").alias("r"))
-    best = of_batch.unionByName(stored).groupBy("id").agg(F.max(F.struct("c", "r")).alias("best"))
+    lost = lost.withColumn("equal", F.coalesce("same", F.when(before("k_taken"), F.col("k_taken") + F.lit(ARRIVALS))))
+    links = both.unionByName(state.where("g IS NOT NULL").select("g", F.col("g").alias("h"), F.lit(1.0).alias("c"), F.lit(FULL).alias("pat")).distinct()).join(by_g, "h")
+    of_batch = lost.where("equal IS NULL").join(links, "g").where("t < id").select("id", "c", "pat", (F.lit(-ARRIVALS) - F.col("t")).alias("r"))
+    stored = lost.where("equal IS NULL AND near IS NOT NULL").select("id", F.col("near_c").alias("c"), F.col("near_pat").alias("pat"), (-F.col("near")).alias("r"))
+    best = of_batch.unionByName(stored).groupBy("id").agg(F.max(F.struct("c", "pat", "r")).alias("best"))
     exact = F.col("equal").isNotNull()
-    dropped = lost.join(best, "id", "left").select("id", F.when(exact, "exact").otherwise("cosine").alias("screen"), F.coalesce("equal", "best.r").alias("neighbour"), F.when(~exact, F.col("best.c")).alias("cosine"))
-    return accepted.select("id", F.lit(None).cast("string").alias("screen"), F.lit(None).cast("string").alias("neighbour"), F.lit(None).cast("double").alias("cosine")).unionByName(dropped)
+    dropped = lost.join(best, "id", "left").select("id", F.when(exact, "exact").otherwise("cosine").alias("screen"), F.coalesce("equal", -F.col("best.r")).alias("neighbour"), F.when(~exact, F.col("best.c")).alias("cosine"), F.when(~exact, F.col("best.pat")).alias("pat"))
+    return accepted.select("id", F.lit(None).cast("string").alias("screen"), F.lit(None).cast("bigint").alias("neighbour"), F.lit(None).cast("double").alias("cosine"), F.lit(None).cast("int").alias("pat")).unionByName(dropped)
 
 
 def link_batches(memories: DataFrame, arrivals: DataFrame, threshold: float = 0.95, dim: int = 64) -> DataFrame:
-    """All numbered batches, one after the other: ``id, batch_no`` and the columns of ``process``.
+    """All numbered batches, one after the other: ``id, batch_no, screen, neighbour, cosine, weight, cluster``.
 
-    Arrivals delivered more than once count once, in their first batch; rows
-    without an id or batch number take no part.
+    Clusters are those after the last batch. Arrivals delivered more than once
+    count once, in their first batch; rows without an id or batch number take
+    no part.
     """
     spark = memories.sparkSession
     cols = ["batch_no", "user_id", "kind", "created_at", "content", "embedding"]
     rows = materialize(once(arrivals.where("arrival_id IS NOT NULL AND batch_no IS NOT NULL").select("arrival_id", *cols), "arrival_id"), "arrivals")
-    linkage = IncrementalLinkage(spark, threshold, dim)
-    linkage.bootstrap(memories)
-    out = None
     numbers = [r[0] for r in rows.select("batch_no").distinct().orderBy("batch_no").collect()]
-    for n in numbers:
-        done = linkage.process(rows.where(F.col("batch_no") == n)).withColumn("batch_no", F.lit(n))
-        out = done if out is None else out.unionByName(done)
-    linkage.close()
-    if out is None:
-        out = spark.createDataFrame([], "id bigint, screen string, neighbour string, cosine double, weight double, cluster string, batch_no int")
-    return out
+    if not numbers:
+        return spark.createDataFrame([], "id bigint, batch_no int, screen string, neighbour string, cosine double, weight double, cluster string")
+    with IncrementalLinkage(spark, threshold, dim) as linkage:
+        linkage.bootstrap(memories)
+        for n in numbers:
+            linkage.process(rows.where(F.col("batch_no") == n))
+        # One reading of all decisions, whatever the number of batches.
+        decided = spark.read.schema("id bigint, screen string, neighbour bigint, cosine double, weight double").parquet(*[f"{linkage.at}/decisions/{k}" for k in range(1, len(numbers) + 1)])
+        out = linkage.clusters(decided).join(rows.select(F.col("arrival_id").alias("id"), "batch_no"), "id")
+        return materialize(out.select("id", "batch_no", "screen", record_name(F.col("neighbour")).alias("neighbour"), "cosine", "weight", "cluster"), "decisions")

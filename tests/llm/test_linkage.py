@@ -68,13 +68,91 @@ def test_equals_the_walk(spark, monkeypatch, rounds):
     got = linkage.link_batches(*_frames(spark, memories, arrivals), dim=DIM).collect()
     assert {r["id"]: r["screen"] for r in got} == _model(memories, arrivals)
     for r in got:
-        assert (r["cosine"] is not None) == (r["screen"] == "cosine") and (r["neighbour"] is None) == (r["screen"] is None)
-        assert r["cluster"] == (r["neighbour"] or f"a:{r['id']}")
+        assert (r["cosine"] is not None) == (r["screen"] == "cosine") == (r["weight"] is not None) and (r["neighbour"] is None) == (r["screen"] is None)
+
+
+def _links(memories, arrivals, dropped, threshold=0.95):
+    """Pairs of records that the model joins: equal content or near vectors of one scope, an arrival's with what was there before it."""
+    norm = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", (t or "").lower())).strip()
+
+    def vec(v):
+        x = np.zeros(DIM) if v is None or len(v) != DIM or not any(v) else np.asarray(v, "f4").astype(float)
+        return x / (np.linalg.norm(x) or 1)
+
+    old = [(f"m:{i}", (u, k), norm(c), vec(v)) for i, u, k, c, _, v in {m[0]: m for m in memories}.values()]
+    out = [(a[0], b[0]) for a in old for b in old if a[1] == b[1] and ((a[2] and a[2] == b[2]) or (a[3].any() and (a[3] == b[3]).all()))]
+    by_batch: dict = {}
+    for a, n, u, k, c, _, v in sorted({a[0]: a for a in arrivals}.values(), key=lambda a: (a[1], a[0])):
+        by_batch.setdefault(n, []).append((f"a:{a}", (u, k), norm(c), vec(v), a))
+    for n in sorted(by_batch):
+        new = by_batch[n]
+        for x in new:
+            for y in old + [z for z in new if z[4] < x[4]]:
+                if x[1] == y[1] and x[3] @ y[3] > threshold - 5e-7:
+                    out.append((x[0], y[0]))
+                if x[1] == y[1] and x[2] and x[2] == y[2] and dropped.get(x[4]) == "exact":
+                    out.append((x[0], y[0]))
+        old = old + [z[:4] for z in new if dropped[z[4]] is None]
+    return out
+
+
+@pytest.mark.parametrize("rows", [linkage.UNION_ROWS, 0])
+def test_clusters(spark, monkeypatch, rows):
+    """With every agreement speaking for a match, clusters are the components of all links, named by their first record."""
+    monkeypatch.setattr(linkage, "UNION_ROWS", rows)
+    monkeypatch.setattr(linkage, "learn_weights", lambda counts: np.ones(linkage.PATTERNS))
+    memories, arrivals = _data(9, n=80, m=60)
+    got = linkage.link_batches(*_frames(spark, memories, arrivals), dim=DIM).collect()
+    forest = linkage._Forest()
+    order = lambda rec: (rec[0] == "a", int(rec[2:]))
+    for a, b in _links(memories, arrivals, {r["id"]: r["screen"] for r in got}):
+        forest.join(order(a), order(b))
+    want = {r["id"]: forest.find((True, r["id"])) for r in got}
+    assert {r["id"]: r["cluster"] for r in got} == {i: f"{'a' if x[0] else 'm'}:{x[1]}" for i, x in want.items()}
+    assert len({r["cluster"] for r in got}) > 3
+
+
+def test_weights():
+    none = linkage.learn_weights(np.zeros(linkage.PATTERNS))
+    counts = np.zeros(linkage.PATTERNS)
+    counts[linkage.FULL], counts[linkage.FULL - 2], counts[0], counts[1] = 300, 40, 5000, 2000
+    w = linkage.learn_weights(counts)
+    assert none[linkage.FULL] > 0 > none[0] and w[linkage.FULL] > w[linkage.FULL - 2] > 0 > w[0]
+    at = linkage.pattern(np.array([0.8, 0.95, 0.9499, 1.0]), np.array([False, True, True, True]), np.array([False, False, True, True]))
+    assert at.tolist() == [0, 10, 7, linkage.FULL]
+
+
+def test_components(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2001 + i) for i in range(50)]
+    forest = linkage._Forest()
+    for a, b in edges:
+        forest.join(a, b)
+    want = {n: forest.find(n) for a, b in edges if a != b for n in (a, b)}
+    df = spark.createDataFrame(edges, "x bigint, y bigint")
+    for most in (linkage.UNION_ROWS, 0):
+        monkeypatch.setattr(linkage, "UNION_ROWS", most)
+        assert {r["node"]: r["root"] for r in linkage.components(df).collect()} == want
+
+
+def test_only_probed_lists_are_read(spark, monkeypatch):
+    """A batch of one user gets no stored row of another user to Python, and reads no part or bucket but its own."""
+    memories, arrivals = _data(11, n=300)
+    m, a = _frames(spark, memories, [x for x in arrivals if x[2] == "u0"][:5])
+    with linkage.IncrementalLinkage(spark, dim=DIM) as state:
+        state.bootstrap(m)
+        seen = spark.sparkContext.accumulator(0)
+        plain = linkage.unpack
+        monkeypatch.setattr(linkage, "unpack", lambda col, dim: seen.add(len(col)) or plain(col, dim))
+        rows = linkage.materialize(state._lists(linkage._records(a, "arrival_id", linkage.ARRIVALS, DIM), *linkage.PROBE), "rows")
+        state._links(rows).count()
+        own = len({x[0] for x in memories if x[1] == "u0"})
+        assert 0 < seen.value <= own + 12 * 5
 
 
 def test_rounds_of_a_hot_cluster(spark, monkeypatch):
-    nodes = spark.createDataFrame([(i, f"a:{i}", "s", None, i, None, None, None, "d") for i in range(18)], "id bigint, rec string, scope string, kh binary, g bigint, same string, near string, near_c double, day string")
-    near = spark.createDataFrame([(i, j, 0.96, "s") for i in range(18) for j in range(i) if i < 15 or i - j == 1], "g bigint, h bigint, c double, scope string")
+    nodes = spark.createDataFrame([(i, linkage.ARRIVALS + i, "s", None, i, None, None, None, None) for i in range(18)], "id bigint, rec bigint, scope string, kh binary, g bigint, same bigint, near bigint, near_c double, near_pat int")
+    near = spark.createDataFrame([(i, j, 0.96, 10, "s") for i in range(18) for j in range(i) if i < 15 or i - j == 1], "g bigint, h bigint, c double, pat int, scope string")
     want = sorted(map(tuple, linkage.walk_scopes(nodes, near).collect()))
     made, plain = [], linkage.materialize
     monkeypatch.setattr(linkage, "materialize", lambda df, name: made.append(name) or plain(df, name))
