@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.vectors import Codebook, fit_codebook, pack, unpack, usable
 from palimpsest.operators.history import _BLANK
-from palimpsest.session import bounded, drop_scratch, materialize, once, scratch_path
+from palimpsest.session import bounded, drop_scratch, materialize, once, scratch_path, small_enough
 
 LIST_ROWS, BLOCK = 800, 4096
 #: Lists in which a row of the history stands, and that a new row probes: up to so many, each at most so much farther than the nearest.
@@ -40,8 +40,8 @@ STORE, PROBE = (1, 1.0), (6, 1.25)
 WALK_ROWS = 200_000
 #: Links of one batch whose components one task finds; more are found in rounds over frames.
 UNION_ROWS = 200_000
-#: Rows of a bucket of the stored vectors, and groups within it; parts of the digests.
-BUCKET_ROWS, GROUPS, PARTS = 100_000, 4, 64
+#: Rows of a bucket of the stored vectors, groups within it, and parts of the digests at least.
+BUCKET_ROWS, GROUPS, PARTS = 100_000, 4, 16
 #: Arrivals and memories have one numbering: arrivals begin here. Ids lie within half of it on both sides of 0.
 ARRIVALS = 1 << 62
 #: Stands for no record where frames go to Python, which would read whole numbers beside nulls as floats.
@@ -75,6 +75,11 @@ def _records(rows: DataFrame, id_col: str, first: int, dim: int) -> DataFrame:
     )
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A frame of a known number of rows, to be broadcast while that is small."""
+    return F.broadcast(df) if rows <= 500_000 else df
+
+
 # --- weights of agreement ----------------------------------------------------
 
 #: Lower ends of the bands of cosine; pairs below the first are not counted.
@@ -179,6 +184,8 @@ class IncrementalLinkage:
         self.table = f"linkage_{uuid.uuid4().hex}"
         self.counts = np.zeros(PATTERNS)
         self.batch = 0
+        # Clusters of a batch are joined while the next one is decided, batch after batch.
+        self.joiner, self.joins = ThreadPoolExecutor(1), []
 
     def __enter__(self):
         return self
@@ -192,6 +199,7 @@ class IncrementalLinkage:
         """Store the history: digests, lists, and clusters of equal contents and equal vectors. Rows of one id and content count once."""
         rows = _records(memories.select("id", "user_id", "kind", "content", "created_at", "embedding"), "id", 0, self.dim)
         rows = materialize(rows, "history")
+        self.parts = max(PARTS, -(-rows.count() // BUCKET_ROWS))
         self._append_keys(rows)
         first, many = F.min(F.struct("rec", "day", "chars")).alias("f"), (F.min("rec") < F.max("rec")).alias("many")
         distinct = rows.where(F.octet_length("vec") > 0).groupBy("scope", "vec").agg(first, many).select("scope", "vec", "f.*", "many")
@@ -214,12 +222,12 @@ class IncrementalLinkage:
         equal = rows.join(bounded(texts), "kh").select(F.col("rec").alias("x"), "y")
         twins = distinct.where("many").select("scope", F.md5("vec").alias("vd"), F.col("rec").alias("y"))
         near = rows.where(F.octet_length("vec") > 0).withColumn("vd", F.md5("vec")).join(bounded(twins), ["scope", "vd"]).select(F.col("rec").alias("x"), "y")
-        self._unite(equal.unionByName(near).where("x <> y"))
+        self._unite(equal.unionByName(near).where("x <> y"), 0)
         drop_scratch(rows)
 
     def _append_keys(self, rows: DataFrame) -> None:
         """Digests of contents, one row a content, in parts by scope."""
-        part = F.pmod(F.xxhash64("scope"), F.lit(PARTS)).cast("int").alias("part")
+        part = F.pmod(F.xxhash64("scope"), F.lit(self.parts)).cast("int").alias("part")
         keys = rows.where("kh IS NOT NULL").groupBy(part, "kh").agg(F.min("rec").alias("rec"))
         keys.repartition("part").sortWithinPartitions("part", "kh").write.partitionBy("part").mode("append").parquet(f"{self.at}/keys")
 
@@ -289,24 +297,26 @@ class IncrementalLinkage:
         walked.drop("pat").write.parquet(at)
         decided = self.spark.read.parquet(at)
         accepted = rows.join(decided.where("screen IS NULL").select("id"), "id", "left_semi")
-        # Three steps that do not depend on each other.
-        jobs = (
-            lambda: self._append_keys(accepted),
-            lambda: self._append_vectors(accepted.where(F.octet_length("vec") > 0).drop("id", "kh")),
-            lambda: self._unite(self._edges(links, nodes, decided)),
-        )
-        with ThreadPoolExecutor(len(jobs)) as pool:
-            for done in [pool.submit(j) for j in jobs]:
-                done.result()
-        drop_scratch(rows), drop_scratch(links), drop_scratch(nodes)
+        edges, number = self._edges(links, nodes, decided), self.batch
+
+        def join():
+            self._unite(edges, number)
+            drop_scratch(links), drop_scratch(nodes)
+
+        self.joins.append(self.joiner.submit(join))
+        with ThreadPoolExecutor(1) as other:
+            keys = other.submit(self._append_keys, accepted)
+            self._append_vectors(accepted.where(F.octet_length("vec") > 0).drop("id", "kh"))
+            keys.result()
+        drop_scratch(rows)
         return decided
 
     def _same(self, rows: DataFrame) -> DataFrame:
         """``kh, same``: stored records of equal content; only the parts of the batch's scopes are read."""
-        probe = rows.where("kh IS NOT NULL").select("kh", F.pmod(F.xxhash64("scope"), F.lit(PARTS)).cast("int").alias("part")).distinct()
-        parts = [r[0] for r in probe.select("part").distinct().collect()]
+        probe = rows.where("kh IS NOT NULL").select("kh", F.pmod(F.xxhash64("scope"), F.lit(self.parts)).cast("int").alias("part")).distinct()
+        parts, n = probe.agg(F.collect_set("part"), F.count(F.lit(1))).first()
         stored = self.spark.read.schema("kh binary, rec bigint, part int").parquet(f"{self.at}/keys").where(F.col("part").isin(parts))
-        return stored.join(bounded(probe.select("kh")), "kh").groupBy("kh").agg(F.min("rec").alias("same"))
+        return stored.join(_small(probe.select("kh"), n), "kh").groupBy("kh").agg(F.min("rec").alias("same"))
 
     def _links(self, rows: DataFrame) -> DataFrame:
         """``src, a, b, c, pat, scope`` of the distinct vectors of the batch.
@@ -362,10 +372,10 @@ class IncrementalLinkage:
 
         stored = self.spark.table(self.table)
         probed = new.select("bucket", "lk").distinct()
-        touched = [r[0] for r in probed.select("bucket").distinct().collect()]
+        touched, n = probed.agg(F.collect_set("bucket"), F.count(F.lit(1))).first()
         if len(touched) < self.buckets * GROUPS:
             stored = stored.where(F.col("bucket").isin(touched))
-        stored = stored.join(bounded(probed.select("lk")), "lk", "left_semi").select("bucket", "lk", "rec", "day", "chars", "vec")
+        stored = stored.join(_small(probed.select("lk"), n), "lk", "left_semi").select("bucket", "lk", "rec", "day", "chars", "vec")
         none = pd.DataFrame([], columns=cols)
         found = stored.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInPandas(lambda h, b: run(h, b) if len(b) else none, "src string, a bigint, b bigint, c double, pat int, scope string")
         return materialize(found, "links")
@@ -397,6 +407,8 @@ class IncrementalLinkage:
             F.when(dropped, F.col("near_pat")).alias("pat"),
         )
         related = marked.where("related").drop("related")
+        if small_enough(nodes, WALK_ROWS):
+            return alone.unionByName(walk_scopes(related, inner))
         count = related.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
         most = count.agg(F.max("n")).first()[0] or 0
         if most <= WALK_ROWS:
@@ -424,7 +436,7 @@ class IncrementalLinkage:
         rows = rows if nodes is None else rows.join(nodes, "node", "left_semi")
         return rows.groupBy("node").agg(F.max_by("root", "batch").alias("root"))
 
-    def _unite(self, edges: DataFrame) -> None:
+    def _unite(self, edges: DataFrame, batch: int) -> None:
         """Join the clusters that edges connect.
 
         Only roots of touched clusters take part in the union-find. Members of
@@ -433,7 +445,7 @@ class IncrementalLinkage:
         """
         edges = materialize(edges, "edges")
         nodes = edges.select(F.col("x").alias("node")).unionByName(edges.select(F.col("y").alias("node"))).distinct()
-        if self.batch:
+        if batch:
             roots = materialize(nodes.join(self._roots(bounded(nodes)), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
             a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "xy")
             found = edges.join(a, "x").join(b, "y").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
@@ -441,21 +453,24 @@ class IncrementalLinkage:
             roots, found = nodes.select("node", F.col("node").alias("root")), edges
         joined = materialize(components(found).select(F.col("node").alias("root"), F.col("root").alias("to")), "joined")
         own = roots.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        if self.batch:
+        if batch:
             moved = bounded(joined.where("root <> to"))
             members = self._forest().join(moved.select("root"), "root", "left_semi").select("node").distinct()
             others = self._roots(members).join(moved, "root").select("node", F.col("to").alias("root"))
             own = own.unionByName(others).unionByName(moved.select(F.col("root").alias("node"), F.col("to").alias("root")))
-        own.distinct().withColumn("batch", F.lit(self.batch)).write.mode("append").parquet(f"{self.at}/forest")
+        own.distinct().withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{self.at}/forest")
         drop_scratch(edges), drop_scratch(joined)
 
     def clusters(self, rows: DataFrame) -> DataFrame:
         """Adds ``cluster``, the name of the first record of each row's cluster; rows: with ``id`` of arrivals."""
+        for done in self.joins:
+            done.result()
         roots = self._roots().select((F.col("node") - F.lit(ARRIVALS)).alias("id"), "root")
         return rows.join(roots, "id", "left").withColumn("cluster", record_name(F.coalesce("root", F.col("id") + F.lit(ARRIVALS)))).drop("root")
 
     def close(self) -> None:
         """Drop the state of this run."""
+        self.joiner.shutdown(cancel_futures=True)
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         drop_scratch(self.at, self.spark)
 
