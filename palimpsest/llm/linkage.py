@@ -29,9 +29,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.vectors import Codebook, fit_codebook, pack, unpack, usable
+from palimpsest.llm.vectors import Codebook, fit_codebook, pack, unpack
 from palimpsest.operators.history import _BLANK
-from palimpsest.session import bounded, drop_scratch, materialize, once, scratch_path, small_enough
+from palimpsest.session import bounded, drop_scratch, materialize, once, scratch_path
 
 LIST_ROWS, BLOCK = 800, 4096
 #: Lists in which a row of the history stands, and that a new row probes: up to so many, each at most so much farther than the nearest.
@@ -40,6 +40,8 @@ STORE, PROBE = (1, 1.0), (6, 1.25)
 WALK_ROWS = 200_000
 #: Links of one batch whose components one task finds; more are found in rounds over frames.
 UNION_ROWS = 200_000
+#: Steps from a node to its root at which the forest is written anew.
+DEEPEST = 4
 #: Rows of a bucket of the stored vectors, groups within it, and parts of the digests at least.
 BUCKET_ROWS, GROUPS, PARTS = 100_000, 4, 16
 #: Arrivals and memories have one numbering: arrivals begin here. Ids lie within half of it on both sides of 0.
@@ -63,7 +65,6 @@ def _records(rows: DataFrame, id_col: str, first: int, dim: int) -> DataFrame:
     """``id, rec, scope, part, kh, day, chars, vec``: what the linkage needs of a record. vec is empty if not usable."""
     scope = F.concat_ws("\u0001", F.coalesce("user_id", F.lit("\u0000")), F.coalesce("kind", F.lit("\u0000")))
     key = content_key(F.col("content"))
-    fine = F.when(usable(F.col("embedding"), dim), F.col("embedding"))
     return rows.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"),
         (F.col(id_col) + F.lit(first)).alias("rec"),
@@ -71,7 +72,7 @@ def _records(rows: DataFrame, id_col: str, first: int, dim: int) -> DataFrame:
         F.when(key.isNotNull(), F.unhex(F.md5(F.concat(scope, F.lit("\u0002"), key)))).alias("kh"),
         F.substring(F.regexp_replace("created_at", "/", "-"), 1, 10).alias("day"),
         F.coalesce(F.length("content"), F.lit(0)).alias("chars"),
-        pack(F.coalesce(fine, F.array().cast("array<float>"))).alias("vec"),
+        pack(F.col("embedding"), dim).alias("vec"),
     )
 
 
@@ -135,16 +136,15 @@ class _Forest:
         return a != b
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: bool) -> DataFrame:
     """``node, root``: the smallest node of each component of ``x, y``, which are whole numbers.
 
-    Up to ``UNION_ROWS`` edges are one task's union-find. More are contracted
+    Few edges are one task's union-find. More are contracted
     in rounds: every edge is hung on the smallest neighbour of its end, larger
     ends first, then smaller ones, until nothing changes. No round gathers a
     node's neighbours.
     """
     some = edges.where("x <> y").distinct()
-    few = some.limit(UNION_ROWS + 1).count() <= UNION_ROWS
     if few:
 
         def run(e: pd.DataFrame) -> pd.DataFrame:
@@ -184,6 +184,7 @@ class IncrementalLinkage:
         self.table = f"linkage_{uuid.uuid4().hex}"
         self.counts = np.zeros(PATTERNS)
         self.batch = 0
+        self.forest, self.depth = f"{self.at}/forest", 0
         # Clusters of a batch are joined while the next one is decided, batch after batch.
         self.joiner, self.joins = ThreadPoolExecutor(1), []
 
@@ -222,13 +223,13 @@ class IncrementalLinkage:
         equal = rows.join(bounded(texts), "kh").select(F.col("rec").alias("x"), "y")
         twins = distinct.where("many").select("scope", F.md5("vec").alias("vd"), F.col("rec").alias("y"))
         near = rows.where(F.octet_length("vec") > 0).withColumn("vd", F.md5("vec")).join(bounded(twins), ["scope", "vd"]).select(F.col("rec").alias("x"), "y")
-        self._unite(equal.unionByName(near).where("x <> y"), 0)
+        self._unite(equal.unionByName(near).where("x <> y"))
         drop_scratch(rows)
 
     def _append_keys(self, rows: DataFrame) -> None:
         """Digests of contents, one row a content, in parts by scope."""
         part = F.pmod(F.xxhash64("scope"), F.lit(self.parts)).cast("int").alias("part")
-        keys = rows.where("kh IS NOT NULL").groupBy(part, "kh").agg(F.min("rec").alias("rec"))
+        keys = rows.drop("part").where("kh IS NOT NULL").groupBy(part, "kh").agg(F.min("rec").alias("rec"))
         keys.repartition("part").sortWithinPartitions("part", "kh").write.partitionBy("part").mode("append").parquet(f"{self.at}/keys")
 
     def _append_vectors(self, listed: DataFrame) -> None:
@@ -282,25 +283,27 @@ class IncrementalLinkage:
         are values of their own, an empty batch gives no rows.
         """
         self.batch += 1
-        rows = materialize(self._lists(_records(batch, "arrival_id", ARRIVALS, self.dim), *PROBE), "batch")
+        part = F.pmod(F.xxhash64("scope"), F.lit(self.parts)).cast("int")
+        rows = materialize(self._lists(_records(batch, "arrival_id", ARRIVALS, self.dim), *PROBE).withColumn("part", part), "batch")
+        parts, count = rows.agg(F.collect_set("part"), F.count(F.lit(1))).first()
         links = self._links(rows)
         self._count(links)
         groups = rows.where(F.octet_length("vec") > 0).groupBy("scope", F.md5("vec").alias("vd")).agg(F.min("id").alias("g"))
         near = links.where("src = 'H'").groupBy(F.col("a").alias("g")).agg(F.max(F.struct("c", "pat", (-F.col("b")).alias("first"))).alias("n"))
         near = near.select("g", (-F.col("n.first")).alias("near"), F.col("n.c").alias("near_c"), F.col("n.pat").alias("near_pat"))
-        nodes = rows.withColumn("vd", F.when(F.octet_length("vec") > 0, F.md5("vec"))).join(groups, ["scope", "vd"], "left").join(self._same(rows), "kh", "left").join(near, "g", "left")
+        nodes = rows.withColumn("vd", F.when(F.octet_length("vec") > 0, F.md5("vec"))).join(groups, ["scope", "vd"], "left").join(self._same(rows, parts, count), "kh", "left").join(near, "g", "left")
         nodes = materialize(nodes.select("id", "rec", "scope", "kh", "g", "same", "near", "near_c", "near_pat"), "nodes")
         inner = links.where("src = 'B'").select(F.col("a").alias("g"), (F.col("b") - F.lit(ARRIVALS)).alias("h"), "c", "pat", "scope")
         weight = F.element_at(F.array(*[F.lit(float(w)) for w in self.weights]), F.col("pat") + 1)
         at = f"{self.at}/decisions/{self.batch}"
-        walked = self._walk(nodes, inner).withColumn("weight", F.when(F.col("screen") == "cosine", F.round(weight, 6)))
+        walked = self._walk(nodes, inner, count).withColumn("weight", F.when(F.col("screen") == "cosine", F.round(weight, 6)))
         walked.drop("pat").write.parquet(at)
         decided = self.spark.read.parquet(at)
         accepted = rows.join(decided.where("screen IS NULL").select("id"), "id", "left_semi")
-        edges, number = self._edges(links, nodes, decided), self.batch
+        edges = self._edges(links, nodes, decided)
 
         def join():
-            self._unite(edges, number)
+            self._unite(edges)
             drop_scratch(links), drop_scratch(nodes)
 
         self.joins.append(self.joiner.submit(join))
@@ -311,12 +314,10 @@ class IncrementalLinkage:
         drop_scratch(rows)
         return decided
 
-    def _same(self, rows: DataFrame) -> DataFrame:
+    def _same(self, rows: DataFrame, parts: list[int], count: int) -> DataFrame:
         """``kh, same``: stored records of equal content; only the parts of the batch's scopes are read."""
-        probe = rows.where("kh IS NOT NULL").select("kh", F.pmod(F.xxhash64("scope"), F.lit(self.parts)).cast("int").alias("part")).distinct()
-        parts, n = probe.agg(F.collect_set("part"), F.count(F.lit(1))).first()
         stored = self.spark.read.schema("kh binary, rec bigint, part int").parquet(f"{self.at}/keys").where(F.col("part").isin(parts))
-        return stored.join(_small(probe.select("kh"), n), "kh").groupBy("kh").agg(F.min("rec").alias("same"))
+        return stored.join(_small(rows.where("kh IS NOT NULL").select("kh").distinct(), count), "kh").groupBy("kh").agg(F.min("rec").alias("same"))
 
     def _links(self, rows: DataFrame) -> DataFrame:
         """``src, a, b, c, pat, scope`` of the distinct vectors of the batch.
@@ -386,7 +387,7 @@ class IncrementalLinkage:
             self.counts[r["a"]] += r["n"]
         self.weights = learn_weights(self.counts)
 
-    def _walk(self, nodes: DataFrame, inner: DataFrame) -> DataFrame:
+    def _walk(self, nodes: DataFrame, inner: DataFrame, rows: int) -> DataFrame:
         """``id, screen, neighbour, cosine, pat`` by the walk in order of id.
 
         A row without a relation to another row of the batch needs no walk.
@@ -407,7 +408,7 @@ class IncrementalLinkage:
             F.when(dropped, F.col("near_pat")).alias("pat"),
         )
         related = marked.where("related").drop("related")
-        if small_enough(nodes, WALK_ROWS):
+        if rows <= WALK_ROWS:
             return alone.unionByName(walk_scopes(related, inner))
         count = related.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
         most = count.agg(F.max("n")).first()[0] or 0
@@ -428,45 +429,48 @@ class IncrementalLinkage:
         return scored.unionByName(equal).unionByName(twins)
 
     def _forest(self) -> DataFrame:
-        return self.spark.read.schema("node bigint, root bigint, batch int").parquet(f"{self.at}/forest")
+        return self.spark.read.schema("node bigint, up bigint").parquet(self.forest)
 
-    def _roots(self, nodes: DataFrame | None = None) -> DataFrame:
-        """``node, root``: the latest root of nodes that belong to a cluster, of all of them or of those given."""
-        rows = self._forest()
-        rows = rows if nodes is None else rows.join(nodes, "node", "left_semi")
-        return rows.groupBy("node").agg(F.max_by("root", "batch").alias("root"))
+    def _roots(self, nodes: DataFrame) -> DataFrame:
+        """``node, root`` of some nodes, by as many steps up the forest as it is deep; a node outside is its own root."""
+        out = nodes.select("node", F.col("node").alias("root"))
+        for _ in range(self.depth):
+            step = self._forest().select(F.col("node").alias("root"), "up")
+            out = out.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        return out
 
-    def _unite(self, edges: DataFrame, batch: int) -> None:
+    def _unite(self, edges: DataFrame) -> None:
         """Join the clusters that edges connect.
 
-        Only roots of touched clusters take part in the union-find. Members of
-        clusters whose root changes get a new row in the forest, as do nodes
-        that are new to it; all others keep theirs.
+        Only roots of touched clusters take part in the union-find. A root that
+        falls to another, and a node that is new, get one row in the forest;
+        nothing else is written. Each joining makes the forest at most one step
+        deeper; at ``DEEPEST`` it is written anew with every node at its root.
         """
-        edges = materialize(edges, "edges")
+        count = edges.count()
+        if not count:
+            return
         nodes = edges.select(F.col("x").alias("node")).unionByName(edges.select(F.col("y").alias("node"))).distinct()
-        if batch:
-            roots = materialize(nodes.join(self._roots(bounded(nodes)), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
-            a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "xy")
-            found = edges.join(a, "x").join(b, "y").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
-        else:
-            roots, found = nodes.select("node", F.col("node").alias("root")), edges
-        joined = materialize(components(found).select(F.col("node").alias("root"), F.col("root").alias("to")), "joined")
-        own = roots.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        if batch:
-            moved = bounded(joined.where("root <> to"))
-            members = self._forest().join(moved.select("root"), "root", "left_semi").select("node").distinct()
-            others = self._roots(members).join(moved, "root").select("node", F.col("to").alias("root"))
-            own = own.unionByName(others).unionByName(moved.select(F.col("root").alias("node"), F.col("to").alias("root")))
-        own.distinct().withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{self.at}/forest")
-        drop_scratch(edges), drop_scratch(joined)
+        roots = self._roots(_small(nodes, 2 * count))
+        a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "xy")
+        found = edges.join(a, "x").join(b, "y").select(F.col("rx").alias("x"), F.col("ry").alias("y")) if self.depth else edges
+        joined = components(found, count <= UNION_ROWS).select(F.col("node").alias("root"), F.col("root").alias("up"))
+        # Every root that was joined gets its new root; so does a new node, which was its own root until now.
+        joined.where("root <> up").select(F.col("root").alias("node"), "up").write.mode("append").parquet(self.forest)
+        self.depth += 1
+        if self.depth >= DEEPEST:
+            all_ = self._roots(self._forest().select("node")).select("node", F.col("root").alias("up"))
+            flat = f"{self.at}/forest-{uuid.uuid4().hex}"
+            all_.write.parquet(flat)
+            self.forest, self.depth = flat, 1
 
     def clusters(self, rows: DataFrame) -> DataFrame:
         """Adds ``cluster``, the name of the first record of each row's cluster; rows: with ``id`` of arrivals."""
         for done in self.joins:
             done.result()
-        roots = self._roots().select((F.col("node") - F.lit(ARRIVALS)).alias("id"), "root")
-        return rows.join(roots, "id", "left").withColumn("cluster", record_name(F.coalesce("root", F.col("id") + F.lit(ARRIVALS)))).drop("root")
+        nodes = rows.withColumn("node", F.col("id") + F.lit(ARRIVALS))
+        roots = self._roots(nodes.select("node")).select("node", record_name(F.col("root")).alias("cluster"))
+        return nodes.join(roots, "node").drop("node")
 
     def close(self) -> None:
         """Drop the state of this run."""

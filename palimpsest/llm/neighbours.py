@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.vectors import Codebook, fit_codebook, pack, unpack, usable
+from palimpsest.llm.vectors import Codebook, fit_codebook, pack, unpack
 from palimpsest.session import materialize, small_enough
 
 REPLICAS, RATIO, LIST_ROWS = 4, 1.12, 800
@@ -31,8 +31,8 @@ BLOCK = 4096
 
 def vector_members(rows: DataFrame, scope: str, id_col: str, vec_col: str, dim: int) -> DataFrame:
     """``scope, id, vec`` of records that take part; null scopes form one scope."""
-    fine = rows.where(usable(F.col(vec_col), dim) & F.col(id_col).isNotNull())
-    return fine.select(F.coalesce(F.col(scope).cast("string"), F.lit("\u0000")).alias("scope"), F.col(id_col).alias("id"), pack(F.col(vec_col)).alias("vec"))
+    packed = rows.where(F.col(id_col).isNotNull() & (F.size(vec_col) == dim)).select(F.coalesce(F.col(scope).cast("string"), F.lit("\u0000")).alias("scope"), F.col(id_col).alias("id"), pack(F.col(vec_col), dim).alias("vec"))
+    return packed.where(F.octet_length("vec") > 0)
 
 
 def vector_groups(members: DataFrame) -> DataFrame:

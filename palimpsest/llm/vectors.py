@@ -24,17 +24,23 @@ LEVEL_GROWTH = 8
 MAX_CENTROIDS = 4096
 
 
-def usable(c: Column, dim: int) -> Column:
-    """Vectors of ``dim`` numbers, none missing or not finite, not all zero."""
-    fine = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.coalesce((F.size(c) == dim) & fine & F.exists(c, lambda x: x != 0), F.lit(False))
+def pack(c: Column, dim: int) -> Column:
+    """A usable array of floats as bytes, which move to Python without conversion of each number; else no bytes.
 
-
-def pack(c: Column) -> Column:
-    """An array of floats as bytes, which move to Python without conversion of each number."""
+    Usable is an array of ``dim`` numbers, none missing or not finite, not all
+    zero. Looked at by matrices, as a function of each number would cost more
+    than all else that is done with it.
+    """
 
     def packed(s: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(v, dtype="<f4").tobytes() for v in s], dtype=object)
+        out = np.full(len(s), b"", dtype=object)
+        at = np.flatnonzero([v is not None and len(v) == dim for v in s])
+        if len(at):
+            x = np.array([s.iloc[k] for k in at], dtype="<f4").reshape(len(at), dim)
+            fine = np.isfinite(x).all(axis=1) & x.any(axis=1)
+            for k, row in zip(at[fine], x[fine]):
+                out[k] = row.tobytes()
+        return pd.Series(out, dtype=object)
 
     return F.pandas_udf(packed, BinaryType())(c)
 

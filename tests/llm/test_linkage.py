@@ -96,10 +96,11 @@ def _links(memories, arrivals, dropped, threshold=0.95):
     return out
 
 
-@pytest.mark.parametrize("rows", [linkage.UNION_ROWS, 0])
-def test_clusters(spark, monkeypatch, rows):
+@pytest.mark.parametrize("rows,deepest", [(linkage.UNION_ROWS, linkage.DEEPEST), (0, 2)])
+def test_clusters(spark, monkeypatch, rows, deepest):
     """With every agreement speaking for a match, clusters are the components of all links, named by their first record."""
     monkeypatch.setattr(linkage, "UNION_ROWS", rows)
+    monkeypatch.setattr(linkage, "DEEPEST", deepest)
     monkeypatch.setattr(linkage, "learn_weights", lambda counts: np.ones(linkage.PATTERNS))
     memories, arrivals = _data(9, n=80, m=60)
     got = linkage.link_batches(*_frames(spark, memories, arrivals), dim=DIM).collect()
@@ -122,7 +123,7 @@ def test_weights():
     assert at.tolist() == [0, 10, 7, linkage.FULL]
 
 
-def test_components(spark, monkeypatch):
+def test_components(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2001 + i) for i in range(50)]
     forest = linkage._Forest()
@@ -130,9 +131,8 @@ def test_components(spark, monkeypatch):
         forest.join(a, b)
     want = {n: forest.find(n) for a, b in edges if a != b for n in (a, b)}
     df = spark.createDataFrame(edges, "x bigint, y bigint")
-    for most in (linkage.UNION_ROWS, 0):
-        monkeypatch.setattr(linkage, "UNION_ROWS", most)
-        assert {r["node"]: r["root"] for r in linkage.components(df).collect()} == want
+    for few in (True, False):
+        assert {r["node"]: r["root"] for r in linkage.components(df, few).collect()} == want
 
 
 def test_only_probed_lists_are_read(spark, monkeypatch):
