@@ -229,7 +229,8 @@ class IncrementalLinkage:
     def _append_keys(self, rows: DataFrame) -> None:
         """Digests of contents, one row a content, in parts by scope."""
         part = F.pmod(F.xxhash64("scope"), F.lit(self.parts)).cast("int").alias("part")
-        keys = rows.drop("part").where("kh IS NOT NULL").groupBy(part, "kh").agg(F.min("rec").alias("rec"))
+        keys = rows.drop("part").where("kh IS NOT NULL").select(part, "kh", "rec")
+        keys = keys if self.batch else keys.groupBy("part", "kh").agg(F.min("rec").alias("rec"))  # what a batch accepts has no copies
         keys.repartition("part").sortWithinPartitions("part", "kh").write.partitionBy("part").mode("append").parquet(f"{self.at}/keys")
 
     def _append_vectors(self, listed: DataFrame) -> None:
@@ -285,31 +286,34 @@ class IncrementalLinkage:
         self.batch += 1
         part = F.pmod(F.xxhash64("scope"), F.lit(self.parts)).cast("int")
         rows = materialize(self._lists(_records(batch, "arrival_id", ARRIVALS, self.dim), *PROBE).withColumn("part", part), "batch")
-        parts, count = rows.agg(F.collect_set("part"), F.count(F.lit(1))).first()
-        links = self._links(rows)
+        parts, scopes, count = rows.agg(F.collect_set("part"), F.approx_count_distinct("scope"), F.count(F.lit(1))).first()
+        links = self._links(rows, scopes, count)
         self._count(links)
         groups = rows.where(F.octet_length("vec") > 0).groupBy("scope", F.md5("vec").alias("vd")).agg(F.min("id").alias("g"))
         near = links.where("src = 'H'").groupBy(F.col("a").alias("g")).agg(F.max(F.struct("c", "pat", (-F.col("b")).alias("first"))).alias("n"))
         near = near.select("g", (-F.col("n.first")).alias("near"), F.col("n.c").alias("near_c"), F.col("n.pat").alias("near_pat"))
-        nodes = rows.withColumn("vd", F.when(F.octet_length("vec") > 0, F.md5("vec"))).join(groups, ["scope", "vd"], "left").join(self._same(rows, parts, count), "kh", "left").join(near, "g", "left")
-        nodes = materialize(nodes.select("id", "rec", "scope", "kh", "g", "same", "near", "near_c", "near_pat"), "nodes")
+        # None of these has more rows than the batch.
+        nodes = rows.withColumn("vd", F.when(F.octet_length("vec") > 0, F.md5("vec")))
+        for side, on in ((groups, ["scope", "vd"]), (self._same(rows, parts, count), ["kh"]), (near, ["g"])):
+            nodes = nodes.join(_small(side, count), on, "left")
+        nodes = nodes.select("id", "rec", "scope", "kh", "g", "same", "near", "near_c", "near_pat")
         inner = links.where("src = 'B'").select(F.col("a").alias("g"), (F.col("b") - F.lit(ARRIVALS)).alias("h"), "c", "pat", "scope")
         weight = F.element_at(F.array(*[F.lit(float(w)) for w in self.weights]), F.col("pat") + 1)
         at = f"{self.at}/decisions/{self.batch}"
         walked = self._walk(nodes, inner, count).withColumn("weight", F.when(F.col("screen") == "cosine", F.round(weight, 6)))
         walked.drop("pat").write.parquet(at)
-        decided = self.spark.read.parquet(at)
-        accepted = rows.join(decided.where("screen IS NULL").select("id"), "id", "left_semi")
-        edges = self._edges(links, nodes, decided)
+        decided = self.spark.read.schema(walked.drop("pat").schema).parquet(at)
+        accepted = rows.join(_small(decided.where("screen IS NULL").select("id"), count), "id", "left_semi")
+        edges = self._edges(links, decided)
 
         def join():
             self._unite(edges)
-            drop_scratch(links), drop_scratch(nodes)
+            drop_scratch(links)
 
         self.joins.append(self.joiner.submit(join))
         with ThreadPoolExecutor(1) as other:
             keys = other.submit(self._append_keys, accepted)
-            self._append_vectors(accepted.where(F.octet_length("vec") > 0).drop("id", "kh"))
+            self._append_vectors(accepted.where(F.octet_length("vec") > 0).select("scope", "rec", "day", "chars", "vec", "lists"))
             keys.result()
         drop_scratch(rows)
         return decided
@@ -317,9 +321,9 @@ class IncrementalLinkage:
     def _same(self, rows: DataFrame, parts: list[int], count: int) -> DataFrame:
         """``kh, same``: stored records of equal content; only the parts of the batch's scopes are read."""
         stored = self.spark.read.schema("kh binary, rec bigint, part int").parquet(f"{self.at}/keys").where(F.col("part").isin(parts))
-        return stored.join(_small(rows.where("kh IS NOT NULL").select("kh").distinct(), count), "kh").groupBy("kh").agg(F.min("rec").alias("same"))
+        return stored.join(_small(rows.where("kh IS NOT NULL").select("kh"), count), "kh", "left_semi").select("kh", F.col("rec").alias("same"))
 
-    def _links(self, rows: DataFrame) -> DataFrame:
+    def _links(self, rows: DataFrame, scopes: int, count: int) -> DataFrame:
         """``src, a, b, c, pat, scope`` of the distinct vectors of the batch.
 
         H: the nearest stored record of a vector in a list; B: an earlier
@@ -372,11 +376,10 @@ class IncrementalLinkage:
             return pd.DataFrame(out, columns=cols)
 
         stored = self.spark.table(self.table)
-        probed = new.select("bucket", "lk").distinct()
-        touched, n = probed.agg(F.collect_set("bucket"), F.count(F.lit(1))).first()
-        if len(touched) < self.buckets * GROUPS:
-            stored = stored.where(F.col("bucket").isin(touched))
-        stored = stored.join(_small(probed.select("lk"), n), "lk", "left_semi").select("bucket", "lk", "rec", "day", "chars", "vec")
+        probed = new.select("bucket", "lk")
+        if scopes * PROBE[0] < self.buckets * GROUPS:  # a narrow batch leaves buckets untouched
+            stored = stored.where(F.col("bucket").isin(probed.agg(F.collect_set("bucket")).first()[0]))
+        stored = stored.join(_small(probed.select("lk"), count * PROBE[0]), "lk", "left_semi").select("bucket", "lk", "rec", "day", "chars", "vec")
         none = pd.DataFrame([], columns=cols)
         found = stored.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInPandas(lambda h, b: run(h, b) if len(b) else none, "src string, a bigint, b bigint, c double, pat int, scope string")
         return materialize(found, "links")
@@ -388,12 +391,15 @@ class IncrementalLinkage:
         self.weights = learn_weights(self.counts)
 
     def _walk(self, nodes: DataFrame, inner: DataFrame, rows: int) -> DataFrame:
-        """``id, screen, neighbour, cosine, pat`` by the walk in order of id.
+        """``id, screen, neighbour, cosine, pat, g`` by the walk in order of id, scope by scope.
 
-        A row without a relation to another row of the batch needs no walk.
-        Related rows are walked scope by scope; scopes with very many of them
+        In a batch of more than ``WALK_ROWS`` only rows that are related to
+        another row of the batch are walked, and scopes with as many of them
         are resolved in rounds.
         """
+        if rows <= WALK_ROWS:
+            return walk_scopes(nodes, inner)
+        nodes = materialize(nodes, "nodes")
         shared = nodes.where("kh IS NOT NULL").groupBy("kh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kh", F.lit(True).alias("k_shared"))
         twin = nodes.where("g IS NOT NULL").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.lit(True).alias("g_shared"))
         linked = inner.select("g").unionByName(inner.select(F.col("h").alias("g"))).distinct().withColumn("linked", F.lit(True))
@@ -406,26 +412,25 @@ class IncrementalLinkage:
             F.coalesce("same", "near").alias("neighbour"),
             F.when(dropped, F.col("near_c")).alias("cosine"),
             F.when(dropped, F.col("near_pat")).alias("pat"),
+            "g",
         )
         related = marked.where("related").drop("related")
-        if rows <= WALK_ROWS:
-            return alone.unionByName(walk_scopes(related, inner))
         count = related.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
         most = count.agg(F.max("n")).first()[0] or 0
         if most <= WALK_ROWS:
-            return alone.unionByName(walk_scopes(related, inner))
+            return alone.unionByName(walk_scopes(related, inner, max(32, rows // 10_000)))
         huge = bounded(materialize(count.where(F.col("n") > WALK_ROWS).select("scope"), "huge"))
-        small = walk_scopes(related.join(huge, "scope", "left_anti"), inner.join(huge, "scope", "left_anti"))
+        small = walk_scopes(related.join(huge, "scope", "left_anti"), inner.join(huge, "scope", "left_anti"), max(32, rows // 10_000))
         return alone.unionByName(small).unionByName(walk_rounds(related.join(huge, "scope", "left_semi"), inner.join(huge, "scope", "left_semi")))
 
     # --- clusters ------------------------------------------------------------
 
-    def _edges(self, links: DataFrame, nodes: DataFrame, decided: DataFrame) -> DataFrame:
+    def _edges(self, links: DataFrame, decided: DataFrame) -> DataFrame:
         """``x, y``: what belongs together by this batch: equal contents, equal vectors, links of positive weight."""
         good = [k for k, w in enumerate(self.weights) if w > 0]
         scored = links.where(F.col("src").eqNullSafe("E") & F.col("pat").isin(good)).select((F.col("a") + F.lit(ARRIVALS)).alias("x"), F.col("b").alias("y"))
         equal = decided.where("screen = 'exact'").select((F.col("id") + F.lit(ARRIVALS)).alias("x"), F.col("neighbour").alias("y"))
-        twins = nodes.where("g <> id").select(F.col("rec").alias("x"), (F.col("g") + F.lit(ARRIVALS)).alias("y"))
+        twins = decided.where("g <> id").select((F.col("id") + F.lit(ARRIVALS)).alias("x"), (F.col("g") + F.lit(ARRIVALS)).alias("y"))
         return scored.unionByName(equal).unionByName(twins)
 
     def _forest(self) -> DataFrame:
@@ -450,9 +455,9 @@ class IncrementalLinkage:
         count = edges.count()
         if not count:
             return
-        nodes = edges.select(F.col("x").alias("node")).unionByName(edges.select(F.col("y").alias("node"))).distinct()
+        nodes = edges.select(F.explode(F.array("x", "y")).alias("node")).distinct()
         roots = self._roots(_small(nodes, 2 * count))
-        a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "xy")
+        a, b = (_small(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), 2 * count) for c in "xy")
         found = edges.join(a, "x").join(b, "y").select(F.col("rx").alias("x"), F.col("ry").alias("y")) if self.depth else edges
         joined = components(found, count <= UNION_ROWS).select(F.col("node").alias("root"), F.col("root").alias("up"))
         # Every root that was joined gets its new root; so does a new node, which was its own root until now.
@@ -481,11 +486,15 @@ class IncrementalLinkage:
 
 # --- the walk ----------------------------------------------------------------
 
-_DECIDED = "id bigint, screen string, neighbour bigint, cosine double, pat int"
+_DECIDED = "id bigint, screen string, neighbour bigint, cosine double, pat int, g bigint"
 
 
-def walk_scopes(nodes: DataFrame, inner: DataFrame) -> DataFrame:
-    """The walk of each scope by one task, in order of id."""
+def walk_scopes(nodes: DataFrame, inner: DataFrame, buckets: int = 32) -> DataFrame:
+    """The walk of each scope by one task, in order of id.
+
+    Scopes share a task's call in buckets, as contents and vectors of different
+    scopes have different keys anyway.
+    """
 
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         n = n.sort_values("id")
@@ -499,9 +508,9 @@ def walk_scopes(nodes: DataFrame, inner: DataFrame) -> DataFrame:
         for i, rec, kh, g, same, stored, c, p in zip(*(n[x].tolist() for x in ("id", "rec", "kh", "g", "same", "near", "near_c", "near_pat"))):
             kh = None if kh is None else bytes(kh)
             if same != NONE:
-                out.append((i, "exact", same, None, None))
+                out.append((i, "exact", same, None, None, g))
             elif kh is not None and kh in contents:
-                out.append((i, "exact", contents[kh], None, None))
+                out.append((i, "exact", contents[kh], None, None, g))
             else:
                 options = [] if stored == NONE else [(c, int(p), -stored)]
                 if g != NONE:
@@ -509,18 +518,19 @@ def walk_scopes(nodes: DataFrame, inner: DataFrame) -> DataFrame:
                     options += [(x, y, -taken[h]) for h, x, y in near.get(g, ()) if h in taken]
                 if options:
                     c, p, rec = max(options)
-                    out.append((i, "cosine", -rec, c, p))
+                    out.append((i, "cosine", -rec, c, p, g))
                 else:
-                    out.append((i, None, None, None, None))
+                    out.append((i, None, None, None, None, g))
                     if kh is not None:
                         contents[kh] = rec
                     if g != NONE:
                         taken[g] = rec
-        ids, screens, neighbours, cosines, pats = zip(*out) if out else ((),) * 5
-        return pd.DataFrame({"id": ids, "screen": screens, "neighbour": pd.array(neighbours, "Int64"), "cosine": cosines, "pat": pd.array(pats, "Int32")})
+        ids, screens, neighbours, cosines, pats, gs = zip(*out) if out else ((),) * 6
+        return pd.DataFrame({"id": ids, "screen": screens, "neighbour": pd.array(neighbours, "Int64"), "cosine": cosines, "pat": pd.array(pats, "Int32"), "g": pd.array([None if g == NONE else g for g in gs], "Int64")})
 
     nodes = nodes.withColumns({c: F.coalesce(c, F.lit(NONE)) for c in ("g", "same", "near")})
-    return nodes.groupBy("scope").cogroup(inner.groupBy("scope")).applyInPandas(run, _DECIDED)
+    bucket = F.pmod(F.xxhash64("scope"), F.lit(buckets)).alias("bucket")
+    return nodes.withColumn("bucket", bucket).groupBy("bucket").cogroup(inner.withColumn("bucket", bucket).groupBy("bucket")).applyInPandas(run, _DECIDED)
 
 
 def walk_rounds(nodes: DataFrame, inner: DataFrame) -> DataFrame:
@@ -573,8 +583,8 @@ def walk_rounds(nodes: DataFrame, inner: DataFrame) -> DataFrame:
     stored = lost.where("equal IS NULL AND near IS NOT NULL").select("id", F.col("near_c").alias("c"), F.col("near_pat").alias("pat"), (-F.col("near")).alias("r"))
     best = of_batch.unionByName(stored).groupBy("id").agg(F.max(F.struct("c", "pat", "r")).alias("best"))
     exact = F.col("equal").isNotNull()
-    dropped = lost.join(best, "id", "left").select("id", F.when(exact, "exact").otherwise("cosine").alias("screen"), F.coalesce("equal", -F.col("best.r")).alias("neighbour"), F.when(~exact, F.col("best.c")).alias("cosine"), F.when(~exact, F.col("best.pat")).alias("pat"))
-    return accepted.select("id", F.lit(None).cast("string").alias("screen"), F.lit(None).cast("bigint").alias("neighbour"), F.lit(None).cast("double").alias("cosine"), F.lit(None).cast("int").alias("pat")).unionByName(dropped)
+    dropped = lost.join(best, "id", "left").select("id", F.when(exact, "exact").otherwise("cosine").alias("screen"), F.coalesce("equal", -F.col("best.r")).alias("neighbour"), F.when(~exact, F.col("best.c")).alias("cosine"), F.when(~exact, F.col("best.pat")).alias("pat"), "g")
+    return accepted.select("id", F.lit(None).cast("string").alias("screen"), F.lit(None).cast("bigint").alias("neighbour"), F.lit(None).cast("double").alias("cosine"), F.lit(None).cast("int").alias("pat"), "g").unionByName(dropped)
 
 
 def link_batches(memories: DataFrame, arrivals: DataFrame, threshold: float = 0.95, dim: int = 64) -> DataFrame:

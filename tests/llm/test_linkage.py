@@ -145,7 +145,7 @@ def test_only_probed_lists_are_read(spark, monkeypatch):
         plain = linkage.unpack
         monkeypatch.setattr(linkage, "unpack", lambda col, dim: seen.add(len(col)) or plain(col, dim))
         rows = linkage.materialize(state._lists(linkage._records(a, "arrival_id", linkage.ARRIVALS, DIM), *linkage.PROBE), "rows")
-        state._links(rows).count()
+        state._links(rows, 2, len(arrivals)).count()
         own = len({x[0] for x in memories if x[1] == "u0"})
         assert 0 < seen.value <= own + 12 * 5
 
@@ -153,13 +153,14 @@ def test_only_probed_lists_are_read(spark, monkeypatch):
 def test_rounds_of_a_hot_cluster(spark, monkeypatch):
     nodes = spark.createDataFrame([(i, linkage.ARRIVALS + i, "s", None, i, None, None, None, None) for i in range(18)], "id bigint, rec bigint, scope string, kh binary, g bigint, same bigint, near bigint, near_c double, near_pat int")
     near = spark.createDataFrame([(i, j, 0.96, 10, "s") for i in range(18) for j in range(i) if i < 15 or i - j == 1], "g bigint, h bigint, c double, pat int, scope string")
-    want = sorted(map(tuple, linkage.walk_scopes(nodes, near).collect()))
+    cols = ["id", "screen", "neighbour", "cosine", "pat", "g"]
+    want = sorted(map(tuple, linkage.walk_scopes(nodes, near).select(*cols).collect()))
     made, plain = [], linkage.materialize
     monkeypatch.setattr(linkage, "materialize", lambda df, name: made.append(name) or plain(df, name))
     for most, states in ((0, 7), (4, 4)):  # rounds to the end of the chain; rounds, then a task
         monkeypatch.setattr(linkage, "WALK_ROWS", most)
         made.clear()
-        assert sorted(map(tuple, linkage.walk_rounds(nodes, near).collect())) == want
+        assert sorted(map(tuple, linkage.walk_rounds(nodes, near).select(*cols).collect())) == want
         assert made.count("state") <= states
 
 
