@@ -223,7 +223,7 @@ class IncrementalLinkage:
         equal = rows.join(bounded(texts), "kh").select(F.col("rec").alias("x"), "y")
         twins = distinct.where("many").select("scope", F.md5("vec").alias("vd"), F.col("rec").alias("y"))
         near = rows.where(F.octet_length("vec") > 0).withColumn("vd", F.md5("vec")).join(bounded(twins), ["scope", "vd"]).select(F.col("rec").alias("x"), "y")
-        self._unite(equal.unionByName(near).where("x <> y"))
+        self._unite(materialize(equal.unionByName(near).where("x <> y"), "copies"))
         drop_scratch(rows)
 
     def _append_keys(self, rows: DataFrame) -> None:
