@@ -1,6 +1,6 @@
 """Held-out passages inside training text.
 
-Words are compared as they look (see ``lookalike``), whatever their case and
+Words are compared by their shapes (``lookalike.shape_form``), whatever their case and
 punctuation. Runs of ``SEED`` words of the held-out items are the seeds; a
 seed that stands in many items says little and is used only where a stretch of
 ``min_run`` words has no rarer one. A document is read once: its seeds are
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.lookalike import consistent
+from palimpsest.llm.lookalike import shape_form
 
 SEED = 5
 _WORD = re.compile(r"[^\W_]+")
@@ -30,7 +30,7 @@ SCHEMA = "doc_id bigint, question_id string, field string, run_words int, score
 
 def words_of(text: str | None) -> list[str]:
     """Letters and digits in runs, folded; an apostrophe or hyphen parts words."""
-    return _WORD.findall(consistent(text).casefold()) if text else []
+    return _WORD.findall(shape_form(text).casefold()) if text else []
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, miss: int = -1, gap: int = -1) -> tuple[int, int, int, int]:

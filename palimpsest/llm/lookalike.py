@@ -179,6 +179,19 @@ def consistent(text: str | None) -> str | None:
     return unicodedata.normalize("NFC", t)
 
 
+_FIRST = str.maketrans({x: next(y for y in row if y) for row in _SHAPES for x in row if x})
+
+
+def shape_form(text: str | None) -> str | None:
+    """A text by its shapes alone: every letter in the first script that has it drawn alike.
+
+    For comparing passages across texts: the consistent spelling of an
+    ambiguous word depends on the other words of its text, this form does not.
+    """
+    t = consistent(text)
+    return t if t is None or t.isascii() else unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).translate(_FIRST))
+
+
 def _consistent_batch(s: pd.Series) -> pd.Series:
     return s.map(consistent, na_action="ignore")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.llm import defects, leakage, linkage, lookalike, mixing, neighbours, personal
+from palimpsest.llm.oracles import ORACLES  # noqa: F401
 from palimpsest.session import read_table
 
 
@@ -90,4 +91,3 @@ QUERIES = {
     "p8_normalized": p8_normalized,
     "p8_classes": p8_classes,
 }
-ORACLES = {}

@@ -78,3 +78,12 @@ def test_against_brute_force():
 def test_empty(spark):
     none, items = _docs(spark, []), _items(spark, [("q", PASSAGE, "x", 1)])
     assert leaked_documents(none, items).count() == 0 and leaked_documents(_docs(spark, [(1, PASSAGE)]), _items(spark, [])).count() == 0
+
+
+def test_ambiguous_words_in_a_text_of_another_script(spark):
+    """Words that could be Cyrillic by their look count as what they look like, whatever script their text is in."""
+    said = "gift budget did my neighbour bring to the old house on a friday after September"
+    odd = said.replace("did", "\u0501\u0456\u0501").replace(" a ", " \u0430 ")
+    docs = spark.createDataFrame([(1, "\u0420\u0430\u0437\u0433\u043e\u0432\u043e\u0440 \u043f\u0440\u043e \u0435\u0449\u0451 \u043d\u0435 \u0433\u043e\u0442\u043e\u0432\u0430. " + odd)], "doc_id bigint, text string")
+    items = spark.createDataFrame([("q", said, None)], "question_id string, passage string, question string")
+    assert [tuple(r) for r in leaked_documents(docs, items).collect()] == [(1, "q")]
