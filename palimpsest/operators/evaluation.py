@@ -44,7 +44,7 @@ def agreement(grades: DataFrame) -> DataFrame:
 def retest(grades: DataFrame) -> DataFrame:
     """``run_id, regraded, unstable, to_wrong, to_right``: answers whose gradings disagree."""
     flat = F.transform("verdicts", lambda v: v.correct)
-    later = F.slice(flat, 2, 1000)
+    later = F.slice(flat, F.lit(2), F.greatest(F.size(flat) - 1, F.lit(0)))
     g = grades.where("size(verdicts) > 1").select("run_id", (F.size(F.array_distinct(flat)) > 1).alias("u"), F.when(F.col("correct"), F.size(F.filter(later, lambda x: ~x))).otherwise(0).alias("w"), F.when(~F.col("correct"), F.size(F.filter(later, lambda x: x))).otherwise(0).alias("r"))
     return g.groupBy("run_id").agg(F.count(F.lit(1)).alias("regraded"), F.count_if("u").alias("unstable"), F.sum("w").alias("to_wrong"), F.sum("r").alias("to_right"))
 

@@ -262,3 +262,10 @@ ORACLES = {
               SELECT o.run_id, o.question_id, o.n, CASE WHEN c.load + o.cost > 90000 THEN o.cost ELSE c.load + o.cost END, CASE WHEN c.load + o.cost > 90000 THEN c.chunk + 1 ELSE c.chunk END FROM c JOIN o ON o.run_id = c.run_id AND o.n = c.n + 1)
         SELECT run_id, question_id, chunk FROM c""",
 }
+ORACLES["power_table"] = """WITH g AS (SELECT n, d / 100.0::DOUBLE AS discordance, p / 100.0::DOUBLE AS gap FROM (VALUES (100), (200), (500)) a(n), (VALUES (10), (20)) b(d), (VALUES (2), (5), (10)) c(p)),
+    f AS (SELECT m, k, exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) - m * ln(2)) AS half, lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) AS c FROM (SELECT unnest(range(0, 501)) AS m), LATERAL (SELECT unnest(range(0, m + 1)) AS k)),
+    t AS (SELECT m, k, c, least(1.0, 2 * sum(half) OVER (PARTITION BY m ORDER BY k)) <= 0.05 AND 2 * k <= m AS low FROM f),
+    e AS (SELECT m, max(k) AS edge FROM t WHERE low GROUP BY m),
+    o AS (SELECT t.m, t.k, t.c, CAST(t.k <= edge AS INTEGER) + CAST(t.m - t.k <= edge AS INTEGER) AS times FROM t JOIN e USING (m) WHERE t.k <= edge OR t.m - t.k <= edge),
+    q AS (SELECT g.n, discordance, gap, exp(lgamma(n + 1) - lgamma(m + 1) - lgamma(n - m + 1) + m * ln(discordance) + (n - m) * ln(1 - discordance)) AS w, c, m, k, times, (1 + gap / discordance) / 2 AS psi FROM g JOIN o ON o.m <= g.n)
+    SELECT CAST(n AS INTEGER) AS n, discordance, gap, round(coalesce(sum(w * times * CASE WHEN psi >= 1 THEN CASE WHEN k = m THEN 1.0 ELSE 0.0 END ELSE exp(c + k * ln(psi) + (m - k) * ln(1 - psi)) END), 0.0), 6) AS power FROM q GROUP BY ALL"""

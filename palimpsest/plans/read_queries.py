@@ -219,3 +219,4 @@ ORACLES = {
     "judge_prompts": f"WITH p AS (SELECT DISTINCT run_id, question_id, category, is_abstention, question, answer, predicted FROM predictions WHERE category IS NOT NULL) SELECT run_id, question_id, md5({_prompt_sql()}) AS prompt_md5, CAST(length({_prompt_sql()}) AS INTEGER) AS chars FROM p",
     "trimmed_contexts": "SELECT doc_id, md5(k) AS kept_md5, CAST(greatest(0, length(t) - 400) // 4 AS BIGINT) AS tokens_dropped, CAST(ceil(length(k) / 4.0) AS BIGINT) AS tokens FROM (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN length(coalesce(text, '')) <= 400 THEN coalesce(text, '') ELSE substr(text, length(text) - 399) END AS k FROM documents)",
 }
+ORACLES["json_contexts"] = ROUNDS_SQL + """SELECT session_id, '[{"session_date":' || CASE WHEN any_value(ts) = '' THEN 'null' ELSE to_json(any_value(ts)) END || ',"turns":[' || string_agg('{"role":' || to_json(coalesce(role, '')) || ',"content":' || to_json(coalesce(content, '')) || '}', ',' ORDER BY i) || ']}]' AS context FROM said GROUP BY session_id"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.operators import evaluation as ev
+from palimpsest.operators.ingest import sessions_once
+from palimpsest.plans.evaluation_queries import ORACLES as EVALUATION
 from palimpsest.plans.ingest_queries import ONE_MEMORY
 from palimpsest.session import once, read_table, scratch_path
 from palimpsest.sources import artifacts, store
@@ -58,7 +60,7 @@ def run_summaries(spark, sf_dir):
 
 def benchmark_sessions(spark, sf_dir):
     """Sessions of each question, parsed from the nested form of a benchmark file."""
-    s = read_table(spark, sf_dir, "sessions").dropDuplicates(["session_id"]).select("session_id", "session_date", "turns")
+    s = sessions_once(read_table(spark, sf_dir, "sessions")).select("session_id", "session_date", "turns")
     q = read_table(spark, sf_dir, "predictions").select("question_id", F.explode("retrieved_ids").alias("session_id")).distinct().join(s, "session_id")
     each = F.array_sort(F.collect_list(F.struct("session_id", "session_date", "turns")))
     nested = q.groupBy("question_id").agg(each.alias("x")).select(
@@ -95,3 +97,5 @@ ORACLES = {
         SELECT question_id, CAST(k AS INTEGER) AS session_no, session_id, coalesce(session_date, '') AS session_date, CAST(turns AS INTEGER) AS turns, k = 0 AS is_evidence FROM j""",
     "superseded_update": f"WITH m AS {ONE_MEMORY}, w AS (SELECT id, max(supersedes) AS s FROM m WHERE supersedes IS NOT NULL GROUP BY id) SELECT m.id, round(CASE WHEN m.id IN (SELECT supersedes FROM m WHERE supersedes IS NOT NULL) THEN 0.0 ELSE salience END, 6) AS salience, coalesce(w.s, m.supersedes, -1) AS supersedes FROM m LEFT JOIN w USING (id)",
 }
+_J = """'{"group":' || to_json("group") || ',"correct":' || correct || ',"total":' || total || ',"accuracy":' || accuracy || ',"low":' || low || ',"high":' || high || '}'"""
+ORACLES["run_summaries"] = f"SELECT run_id, '[' || string_agg({_J}, ',' ORDER BY \"group\", correct, total) || ']' AS summary FROM ({EVALUATION['accuracy_wilson']}) GROUP BY run_id"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palimpsest.plans.fact_sql import GREEDY_SQL
 from palimpsest.plans.ingest_queries import ROUNDS_SQL
 from palimpsest.session import once, read_table, scratch_path
 from palimpsest.streaming import ingest as stream
@@ -29,4 +30,4 @@ def stream_dedup(spark, sf_dir):
 
 
 QUERIES = {"stream_rounds": stream_rounds, "stream_dedup": stream_dedup}
-ORACLES = {"stream_rounds": ROUNDS_SQL + "SELECT session_id, round_no, n_turns, roles, text, has_evidence FROM rnd"}
+ORACLES = {"stream_rounds": ROUNDS_SQL + "SELECT session_id, round_no, n_turns, roles, text, has_evidence FROM rnd", "stream_dedup": GREEDY_SQL}

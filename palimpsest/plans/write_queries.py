@@ -8,6 +8,7 @@ from palimpsest.functions import dates, triples
 from palimpsest.functions.text import token_entropy
 from palimpsest.operators import conflict, dedup
 from palimpsest.operators.history import pair_key_of, squeeze
+from palimpsest.plans.fact_sql import GREEDY_SQL, SCREENED_SQL, TRIPLES_SQL, losers_sql
 from palimpsest.plans.ingest_queries import ONE_MEMORY, key_sql
 from palimpsest.session import once, read_table
 
@@ -39,7 +40,7 @@ def duplicate_counts(spark, sf_dir):
 
 def normalized_triples(spark, sf_dir):
     m = _memories(spark, sf_dir, "subject", "predicate", "object").where("subject IS NOT NULL")
-    return m.select("id", triples.triple_column(F.col("subject"), F.col("predicate"), F.col("object")).alias("t")).select("id", "t.*")
+    return m.select("id", triples.triple_column(F.col("subject"), F.col("predicate"), F.col("object")).alias("t")).select("id", "t.subject", "t.predicate", "t.object", F.coalesce("t.polarity", F.lit(0)).alias("polarity"), "t.functional")
 
 
 def screened_pairs(spark, sf_dir):
@@ -81,7 +82,7 @@ def decay(spark, sf_dir):
 
 def consolidate(spark, sf_dir):
     m = _memories(spark, sf_dir, "user_id", "kind", "pair_key", "subject", "predicate", "object", "valid_time", "created_at", "raw", "salience", "initial_salience", "last_accessed", "supersedes")
-    return conflict.consolidate(m).select("id", F.round("salience", 6).alias("salience"), "supersedes")
+    return conflict.consolidate(m).select("id", F.round("salience", 6).alias("salience"), F.coalesce("supersedes", F.lit(-1)).alias("supersedes"))
 
 
 def logical_days(spark, sf_dir):
@@ -176,3 +177,15 @@ ORACLES = {
         SELECT id, CASE WHEN regexp_full_match(eff, '\\d+-\\d+-\\d+') AND try_cast(eff AS DATE) BETWEEN DATE '2022-06-15' AND DATE '2024-06-15' THEN 1.0::DOUBLE
                         WHEN regexp_full_match(eff, '\\d+-\\d+') AND try_cast(eff || '-01' AS DATE) <= DATE '2024-06-15' AND last_day(try_cast(eff || '-01' AS DATE)) >= DATE '2022-06-15' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS time_match FROM e""",
 }
+ORACLES |= {
+    "greedy_dedup": GREEDY_SQL,
+    "normalized_triples": TRIPLES_SQL,
+    "screened_pairs": SCREENED_SQL,
+    "conflict_losers": f"WITH RECURSIVE {losers_sql(day_sql, _time_key('valid_time', 'created_at'), 'true')} SELECT loser, winner, rule FROM lost",
+    "consolidate": f"""WITH RECURSIVE {losers_sql(day_sql, _time_key('valid_time', 'created_at'), 'salience > 0')},
+        won AS (SELECT winner, max(loser) AS beaten FROM lost GROUP BY winner),
+        now AS {_NOW},
+        r AS (SELECT x.id, x.user_id, x.last_accessed, x.initial_salience, CASE WHEN lost.loser IS NOT NULL THEN 0.0 ELSE x.salience END AS was, coalesce(won.beaten, x.supersedes) AS supersedes FROM {_M} x LEFT JOIN lost ON lost.loser = x.id LEFT JOIN won ON won.winner = x.id),
+        d AS (SELECT r.*, coalesce(initial_salience, was) AS init, {_DAYS} AS days FROM r LEFT JOIN now USING (user_id))
+        SELECT id, round(CASE WHEN was > 0 THEN greatest(least(0.15, init), init * pow(0.5, days / 30.0)) ELSE was END, 6) AS salience, coalesce(supersedes, -1) AS supersedes FROM d""",
+}
