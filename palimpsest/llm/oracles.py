@@ -21,9 +21,10 @@ def _key(c: str) -> str:
 _WALK = f"""WITH RECURSIVE
     fine AS (SELECT 'm' AS t, id, coalesce(user_id, '') AS u, coalesce(kind, '') AS kind, {_key('content')} AS key, embedding AS e, 0 AS b FROM (SELECT id, any_value(user_id) AS user_id, any_value(kind) AS kind, any_value(content) AS content, any_value(embedding) AS embedding FROM memories GROUP BY id)
       UNION ALL SELECT 'a', arrival_id, coalesce(user_id, ''), coalesce(kind, ''), {_key('content')}, embedding, batch_no FROM (SELECT arrival_id, any_value(user_id) AS user_id, any_value(kind) AS kind, any_value(content) AS content, any_value(embedding) AS embedding, min(batch_no) AS batch_no FROM arrivals GROUP BY arrival_id)),
-    r AS (SELECT t, id, u, kind, key, b, CASE WHEN len(e) = 64 AND list_max(list_transform(e, lambda x: abs(x))) > 0 AND list_sum(list_transform(e, lambda x: CAST(x IS NULL OR NOT isfinite(x) AS INTEGER))) = 0 THEN list_transform(e, lambda x: coalesce(CAST(x AS DOUBLE), 0.0)) END AS e FROM fine),
-    pairs AS (SELECT a.id, CASE WHEN p.t = 'a' THEN p.id END AS other, coalesce(a.key = p.key, false) AS same, CASE WHEN a.e IS NULL OR p.e IS NULL THEN false ELSE round(list_cosine_similarity(a.e, p.e), 6) >= 0.95 END AS near
-      FROM r a JOIN r p ON a.u = p.u AND a.kind = p.kind AND a.t = 'a' AND (p.t = 'm' OR p.b < a.b OR (p.b = a.b AND p.id < a.id))),
+    r AS (SELECT t, id, u, kind, key, b FROM fine),
+    w AS (SELECT t, id, u, kind, b, CAST(e AS DOUBLE[]) AS e FROM fine WHERE len(e) = 64 AND list_max(list_transform(e, lambda x: abs(x))) > 0 AND list_sum(list_transform(e, lambda x: CAST(x IS NULL OR NOT isfinite(x) AS INTEGER))) = 0),
+    pairs AS (SELECT a.id, CASE WHEN p.t = 'a' THEN p.id END AS other, true AS same, false AS near FROM r a JOIN r p ON a.u = p.u AND a.kind = p.kind AND a.key = p.key AND a.t = 'a' AND (p.t = 'm' OR p.b < a.b OR (p.b = a.b AND p.id < a.id))
+      UNION ALL SELECT a.id, CASE WHEN p.t = 'a' THEN p.id END, false, round(list_cosine_similarity(a.e, p.e), 6) >= 0.95 FROM w a JOIN w p ON a.u = p.u AND a.kind = p.kind AND a.t = 'a' AND (p.t = 'm' OR p.b < a.b OR (p.b = a.b AND p.id < a.id))),
     l AS (SELECT r.u, r.kind, r.id, coalesce(bool_or(same AND other IS NULL), false) AS same, coalesce(bool_or(near AND other IS NULL), false) AS near, coalesce(list(other) FILTER (pairs.same AND other IS NOT NULL), []) AS sames, coalesce(list(other) FILTER (pairs.near AND other IS NOT NULL), []) AS nears,
         row_number() OVER (PARTITION BY r.u, r.kind ORDER BY r.b, r.id) AS k FROM r LEFT JOIN pairs USING (id) WHERE r.t = 'a' GROUP BY r.u, r.kind, r.id, r.b),
     walk AS (SELECT DISTINCT u, kind, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS screen FROM l
