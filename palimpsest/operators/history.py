@@ -4,21 +4,21 @@ A snapshot is a frame of records. Every record has a hash; the hashes of the
 records of one key bucket (leaf) are summed, the sums of sixteen leaves make
 their parent's hash, and so on up to the root. Two snapshots are compared from
 the root down: only children of differing nodes are looked at, and only keys
-of differing leaves are diffed and get their versions computed anew. Keys of
-equal leaves keep the versions they have.
+of differing leaves are diffed. Their versions are computed anew, and what is
+new against the versions they had is appended to a log of additions and
+withdrawals; nothing that was written is written again. The history is what
+the log adds and does not withdraw.
 
-Sums of 128 bits (as two DECIMALs of 64-bit hashes) commute, so that a node's
+Hashes of 64 bits are summed as DECIMALs, which commutes, so that a node's
 hash needs no order, combines map-side and stands a hot key.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.session import materialize, once
+from palimpsest.session import materialize, once, scratch_path
 
 FANOUT_BITS = 4
 
@@ -143,38 +143,77 @@ def versions(records: DataFrame) -> DataFrame:
     )
 
 
+_VERSION = ["user_id", "key", "id", "value", "valid_from", "valid_to"]
+#: Keys that a leaf holds at most, about, when the tree is laid out.
+LEAF_KEYS = 16
+
+
 class MerkleHistory:
-    """A version history kept up to date from one snapshot to the next."""
+    """A version history kept up to date from one snapshot to the next.
+
+    ``leaf_bits`` is the depth of the tree; by default it follows the number of
+    keys of the first snapshot, so that leaves stay small.
+    """
 
     KEYS = ["user_id", "key"]
 
-    def __init__(self, leaf_bits: int = 16):
-        if leaf_bits % FANOUT_BITS or not FANOUT_BITS <= leaf_bits <= 32:
+    def __init__(self, leaf_bits: int | None = None):
+        if leaf_bits is not None and (leaf_bits % FANOUT_BITS or not FANOUT_BITS <= leaf_bits <= 32):
             raise ValueError("leaf_bits must be a multiple of 4 from 4 to 32")
         self.leaf_bits = leaf_bits
         self.leaves: DataFrame | None = None
-        self.table: DataFrame | None = None
+        self.log: list[str] = []
+
+    def _lay_out(self, snapshot: DataFrame) -> int:
+        keys = snapshot.agg(F.approx_count_distinct(F.xxhash64(*self.KEYS))).first()[0]
+        wanted = max(1, keys // LEAF_KEYS).bit_length()
+        return min(32, max(FANOUT_BITS, -(-wanted // FANOUT_BITS) * FANOUT_BITS))
 
-    def apply(self, snapshot: DataFrame) -> DataFrame:
+    def _logged(self) -> DataFrame:
+        """All parts of the log by one reading, however many there are."""
+        return self.spark.read.schema("user_id string, key string, id bigint, value string, valid_from string, valid_to string, leaf bigint, change int").parquet(*self.log)
+
+    @staticmethod
+    def _standing(log: DataFrame) -> DataFrame:
+        """What a log adds and does not withdraw."""
+        return log.groupBy(*_VERSION, "leaf").agg(F.sum("change").alias("change")).where("change > 0").select(*_VERSION, "leaf")
+
+    def table(self) -> DataFrame:
+        """The history: ``user_id, key, id, value, valid_from, valid_to``."""
+        return self._standing(self._logged()).select(*_VERSION)
+
+    def apply(self, snapshot: DataFrame, as_of: str | None = None) -> DataFrame:
         """Bring the history up to a whole snapshot of :func:`fact_records`.
 
-        Returns the history. A key that left the snapshot loses its versions;
-        nothing is computed for keys in equal leaves.
+        Returns the history. The last version of a key that left the snapshot
+        ends at ``as_of``, by default the latest start in the snapshot; a key
+        that comes back has the versions of its records. Nothing is computed
+        or written for keys in equal leaves.
         """
+        self.spark = snapshot.sparkSession
+        self.leaf_bits = self.leaf_bits or self._lay_out(snapshot)
+        mark = lambda d: d.withColumn("leaf", _leaf(self.KEYS, self.leaf_bits))
         leaves = materialize(merkle_leaves(snapshot, self.KEYS, self.leaf_bits), "leaves")
-        if self.table is None:
-            changed, kept = snapshot, None
+        if self.leaves is None:
+            changes = mark(versions(snapshot)).select(*_VERSION, "leaf", F.lit(1).alias("change"))
         else:
             diff = materialize(differing_leaves(self.leaves, leaves, self.leaf_bits), "diff")
-            mark = lambda d: d.withColumn("leaf", _leaf(self.KEYS, self.leaf_bits))
-            changed = mark(snapshot).join(diff, "leaf", "left_semi").drop("leaf")
-            kept = mark(self.table).join(diff, "leaf", "left_anti").drop("leaf")
-        fresh = versions(changed)
-        self.leaves, self.table = leaves, materialize(fresh if kept is None else kept.unionByName(fresh), "history")
-        return self.table
-
-
-def attribute_history(memories: DataFrame, snapshots: int = 2, leaf_bits: int = 16) -> DataFrame:
+            changed = mark(snapshot).join(diff, "leaf", "left_semi")
+            fresh = mark(versions(changed.drop("leaf")))
+            old = self._standing(self._logged().join(diff, "leaf", "left_semi"))
+            here = changed.select(F.xxhash64(*self.KEYS).alias("here")).distinct()
+            day = F.lit(as_of) if as_of else F.lit(snapshot.agg(F.date_format(F.max("start"), "yyyy-MM-dd")).first()[0])
+            gone = old.join(here, F.xxhash64(*self.KEYS) == F.col("here"), "left_anti")
+            closed = gone.withColumn("valid_to", F.when(F.col("valid_to") == "", F.coalesce(day, F.lit(""))).otherwise(F.col("valid_to")))
+            now = fresh.unionByName(closed).withColumn("change", F.lit(1))
+            changes = now.unionByName(old.withColumn("change", F.lit(-1))).groupBy(*_VERSION, "leaf").agg(F.sum("change").cast("int").alias("change")).where("change <> 0")
+        self.log.append(scratch_path(self.spark, "changes"))
+        changes.write.parquet(self.log[-1])
+        self.leaves = leaves
+        return self.table()
+
+
+def attribute_history(memories: DataFrame, snapshots: int = 3, leaf_bits: int | None = None) -> DataFrame:
     """The history after loading ``memories`` as successive snapshots.
 
     Snapshot *k* holds the records whose id lies in the first *k* of
@@ -185,5 +224,6 @@ def attribute_history(memories: DataFrame, snapshots: int = 2, leaf_bits: int =
     history = MerkleHistory(leaf_bits)
     if low is None:
         return history.apply(records)
-    cuts = [low + (high - low) * k // snapshots for k in range(1, snapshots + 1)]
-    return reduce(lambda _, cut: history.apply(records.where(F.col("id") <= cut)), cuts, None)
+    for k in range(1, snapshots + 1):
+        history.apply(records.where(F.col("id") <= low + (high - low) * k // snapshots))
+    return history.table()

@@ -73,11 +73,26 @@ def test_only_differing_leaves_are_found(spark):
     assert got == want and h.differing_leaves(x, x).count() == 0
 
 
-def test_keys_that_leave_lose_their_versions(spark):
-    rows = spark.createDataFrame([(1, "u", "a|b", "x", "2022", "2022-01-01", None, 1.0, "", ""), (2, "u", "a|c", "y", "2022", "2022-01-01", None, 1.0, "", "")], SCHEMA)
+def test_keys_that_leave_are_closed(spark):
+    rows = spark.createDataFrame([(1, "u", "a|b", "x", "2022", "2022-01-01", None, 1.0, "", ""), (2, "u", "a|c", "y", "2022", "2022-01-01", None, 1.0, "", ""), (3, None, "a|d", "z", "2022", "2022-01-01", None, 1.0, "", "")], SCHEMA)
     hist = h.MerkleHistory()
     facts = h.fact_records(rows)
-    assert hist.apply(facts).count() == 2 and hist.apply(facts.where("key = 'a|b'")).count() == 1
+    ends = lambda df: {r["id"]: r["valid_to"] for r in df.collect()}
+    assert ends(hist.apply(facts)) == {1: "", 2: "", 3: ""}
+    assert ends(hist.apply(facts.where("key = 'a|b'"), "2023-05-01")) == {1: "", 2: "2023-05-01", 3: "2023-05-01"}
+    assert ends(hist.apply(facts)) == {1: "", 2: "", 3: ""}
+    assert ends(hist.apply(facts.where("key = 'none'"))) == {1: "", 2: "", 3: ""}  # an empty snapshot has no day
+
+
+def test_only_changes_are_appended(spark):
+    rows = [(i, "u", f"a|k{i % 50}", f"v{i}", f"2022-{1 + i // 50:02d}", "2022-01-01", None, 1.0, "", "") for i in range(200)]
+    facts = h.fact_records(spark.createDataFrame(rows, SCHEMA))
+    hist = h.MerkleHistory(16)
+    hist.apply(facts.where("id < 199"))
+    hist.apply(facts)
+    assert [spark.read.parquet(d).count() for d in hist.log] == [199, 3]  # the version before ends: one withdrawn and two added
+    hist.apply(facts)
+    assert spark.read.parquet(hist.log[-1]).count() == 0 and hist.table().count() == 200
 
 
 def test_empty_and_bad_bits(spark):
