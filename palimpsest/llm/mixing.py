@@ -19,7 +19,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.session import materialize, small_enough
@@ -115,38 +115,42 @@ def _scales(docs: DataFrame, rest: dict[str, float]) -> dict[str, float]:
 
 
 def _cuts(ranked: DataFrame, rest: dict[str, float]) -> dict[str, tuple[int, float]]:
-    """``source: (rank of the document at which the quota fills, tokens before it)``, by descent over histograms."""
+    """``source: (rank of the document at which the quota fills, tokens before it)``, by descent over histograms.
+
+    Each pass cuts the open range of every source into 1,024 bins; Spark sums
+    the bins and picks the one in which the quota fills, so that one row a
+    source comes to the driver.
+    """
     spark = ranked.sparkSession
-    low = {s: -1 for s in rest}  # certain documents come first
     before = {s: 0.0 for s in rest}
-    first = ranked.where("k < 0").groupBy("source").agg(F.sum("tokens").alias("t"))
-    for r in first.collect():
+    for r in ranked.where("k < 0").groupBy("source").agg(F.sum("tokens").alias("t")).collect():  # certain documents come first
         before[r["source"]] = float(r["t"])
     low = {s: 0 for s in rest}
     live = {s for s in rest if before[s] < rest[s]}
+    upto = Window.partitionBy("source").orderBy("bin")
     for shift in range(BITS - STEP, -1, -STEP):
         if not live:
             break
-        table = F.broadcast(spark.createDataFrame([(s, low[s]) for s in live], "source string, low bigint"))
+        table = F.broadcast(spark.createDataFrame([(s, low[s], rest[s] - before[s]) for s in live], "source string, low bigint, need double"))
         width = 1 << (shift + STEP)
-        bins = ranked.join(table, "source").where((F.col("k") >= F.col("low")) & (F.col("k") < F.col("low") + width))
-        counted = bins.groupBy("source", F.shiftright(F.col("k") - F.col("low"), shift).alias("bin")).agg(F.sum("tokens").alias("t")).collect()
-        by: dict[str, list[tuple[int, int]]] = {}
-        for r in counted:
-            by.setdefault(r["source"], []).append((r["bin"], r["t"]))
+        inside = ranked.join(table, "source").where((F.col("k") >= F.col("low")) & (F.col("k") < F.col("low") + width))
+        bins = inside.groupBy("source", "need", F.shiftright(F.col("k") - F.col("low"), shift).alias("bin")).agg(F.sum("tokens").alias("t"))
+        summed = bins.withColumn("sum", F.sum("t").over(upto))
+        full = F.min(F.when(F.col("sum") >= F.col("need"), F.struct("bin", (F.col("sum") - F.col("t")).alias("passed"))))
+        found = {r["source"]: r for r in summed.groupBy("source").agg(full.alias("full"), F.max("sum").alias("all")).collect()}
         for s in list(live):
-            for b, t in sorted(by.get(s, [])):
-                if before[s] + t >= rest[s]:
-                    low[s] += b << shift
-                    break
-                before[s] += t
+            r = found.get(s)
+            if r and r["full"]:
+                low[s] += r["full"]["bin"] << shift
+                before[s] += r["full"]["passed"]
             else:
                 low[s] = 1 << BITS  # the source ends before its quota is full
+                before[s] += r["all"] if r else 0
                 live.discard(s)
     return {s: (low[s] if before[s] < rest[s] else -1, before[s]) for s in rest}
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 11, tokenizer: str = TOKENIZER, weight_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 11, tokenizer: str = TOKENIZER, weight_col: str | None = None, by_size: bool = False) -> DataFrame:
     """``doc_id, source, tokens, repeats`` of the chosen documents.
 
     docs: ``doc_id, source, text``. targets: ``source, weight, max_repeats``.
@@ -154,13 +158,14 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     without text, and targets of no weight give nothing; of several targets of
     one source the weights add up and the largest cap holds. A weight column
     (null or negative counts as 0) makes documents more likely to get the
-    extra copy. The same seed gives the same mix.
+    extra copy; by size, a document's tokens are its weight. The same seed
+    gives the same mix.
     """
     weight = F.greatest(F.lit(0.0), F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0))) if weight_col else F.lit(1.0)
     rows = docs.where("text IS NOT NULL AND text <> '' AND doc_id IS NOT NULL").select("doc_id", source_name(F.col("source")).alias("source"), weight.alias("weight"), "text")
     goals = _targets(targets)
     known = docs.sparkSession.createDataFrame([(g[0],) for g in goals], "source string")
-    sized = materialize(with_tokens(rows.join(F.broadcast(known), "source", "left_semi"), tokenizer).where("tokens > 0"), "tokens")
+    sized = materialize(with_tokens(rows.join(F.broadcast(known), "source", "left_semi"), tokenizer).where("tokens > 0").withColumn("weight", F.col("tokens").cast("double") if by_size else F.col("weight")), "tokens")
     sizes = {r["source"]: float(r["t"]) for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     quotas = plan(sizes, goals, total_tokens)
     empty = docs.sparkSession.createDataFrame([], "doc_id bigint, source string, tokens bigint, repeats int")

@@ -54,11 +54,11 @@ def p6_report(spark, sf_dir):
 
 
 def p7_mix(spark, sf_dir):
-    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"), by_size=True)
 
 
 def p7_shares(spark, sf_dir):
-    return mixing.shares(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+    return mixing.shares(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"), by_size=True)
 
 
 def p8_found(spark, sf_dir):

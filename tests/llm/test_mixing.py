@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import random
 
 import pytest
@@ -66,3 +67,16 @@ def test_tokens_of_whole_texts(spark, name):
     df = spark.createDataFrame([(1, "hello " * 20000), (2, ""), (3, None), (4, "<|endoftext|>")], "doc_id bigint, text string")
     got = {r["doc_id"]: r["tokens"] for r in mixing.with_tokens(df, f"/opt/tokenizers/{name}").collect()}
     assert got[1] >= 20000 and got[2] == 0 and got[3] == 0 and got[4] > 1
+
+
+def test_inclusion_follows_size(spark):
+    """Over many sources of the same documents, a document comes in about as often as its share of the probability says."""
+    sizes = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10] * 3
+    docs = spark.createDataFrame([(1000 * s + k, f"s{s}", " ".join(["dog"] * n)) for s in range(300) for k, n in enumerate(sizes)], "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([(f"s{s}", 1.0, 1) for s in range(300)], "source string, weight double, max_repeats int")
+    unit = mixing.with_tokens(docs.limit(1).select("doc_id", F.lit("dog dog").alias("text"))).first()["tokens"] / 2
+    total = 300 * unit * sum(sizes) * 0.3
+    got = mixing.mix(docs, targets, total, by_size=True).groupBy((F.col("doc_id") % 10 + 1).alias("n")).count().collect()
+    seen = {r["n"]: r["count"] / 900 for r in got}
+    scale = sum(sizes) * 0.3 / sum(n * n for n in sizes)
+    assert all(abs(seen[n] - scale * n) < 0.06 for n in range(1, 11))
