@@ -1,22 +1,23 @@
 """Contradicting facts: which pairs conflict, which side stands, what is updated.
 
-Facts of one user and pair key are compared in order of id. The general pass
-walks each key; keys in which every pair conflicts are resolved by a window
-instead (the champion of the rows before meets each row once), after rows that
-cannot win are folded away by one aggregate with map-side combine.
+Facts of one user and pair key are compared in order of id. The pass reads the
+sorted facts of a partition as a stream and keeps, of the key at hand, only the
+facts that still stand, in indexes by what they conflict with; every pair that
+it looks at ends with a fact that has lost, so that a key of any size takes one
+reading. Keys in which every pair conflicts can also be resolved by a window
+(``champions``), which spreads a hot key's rows over aggregates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, text, triples
 
-#: Facts of one key that one task walks; keys with more are refused by :func:`resolve_all`.
-MOST_FACTS = 100_000
-
 
 def trust(raw: Column) -> Column:
     """1 where the user said it."""
@@ -35,36 +36,89 @@ def keyed_facts(memories: DataFrame) -> DataFrame:
     return f.withColumn("ok", order_key(F.col("valid_time"), F.col("created_at"), F.col("raw"), F.col("id")))
 
 
+class _Standing:
+    """The facts of one key that stand, by what a later fact may conflict with."""
+
+    def __init__(self):
+        self.by_object: dict[tuple, dict] = {}
+        self.functional: dict[str, dict] = {}
+        self.numeric: dict[str, dict[str, dict]] = {}
+
+    def _places(self, f) -> list[dict]:
+        """The indexes that hold a fact. Facts of the assistant and without a triple conflict with nothing."""
+        if f.object is None or f.subject == "assistant":
+            return []
+        places = [self.by_object.setdefault((f.object, f.polarity), {})]
+        if _valued(f):
+            if f.functional:
+                places.append(self.functional.setdefault(f.object, {}))
+            elif f.numbers:
+                places.append(self.numeric.setdefault(f.residue, {}).setdefault(f.numbers, {}))
+        return places
+
+    def add(self, f) -> None:
+        for place in self._places(f):
+            place[f.id] = f
+
+    def remove(self, f) -> None:
+        for place in self._places(f):
+            place.pop(f.id, None)
+        same_residue = self.numeric.get(f.residue, {})
+        for index, key in ((self.by_object, (f.object, f.polarity)), (self.functional, f.object), (same_residue, f.numbers), (self.numeric, f.residue)):
+            if key in index and not index[key]:
+                del index[key]
+
+    def against(self, f) -> list[tuple]:
+        """``fact, rule`` of the standing facts that conflict with a later one, in order of id."""
+        if f.object is None:
+            return []
+        found = [(x, "negation") for x in self.by_object.get((f.object, -f.polarity), {}).values()]
+        if _valued(f):
+            found += [(x, "functional") for value, facts in self.functional.items() if value != f.object for x in facts.values()]
+            if f.numbers:
+                found += [(x, "numeric") for numbers, facts in self.numeric.get(f.residue, {}).items() if numbers != f.numbers for x in facts.values() if x.object != f.object]
+        return sorted(found, key=lambda x: x[0].id)
+
+
+def _valued(f) -> bool:
+    """An affirmed value, not a clause."""
+    return f.polarity > 0 and len(f.object.split()) <= triples.MAX_VALUE_WORDS
+
+
 def resolve_all(facts: DataFrame) -> DataFrame:
     """``loser, winner, rule`` of the pass over all pairs of each key in order of id.
 
     A fact that lost takes no further part. facts: ``id, user_id, pair_key,
-    triple, ok`` with ``ok`` as from :func:`order_key`.
+    triple, ok`` with ``ok`` as from :func:`order_key`. Facts without a user
+    take no part. A key's facts are one task's stream, of which it holds those
+    that stand.
     """
-    ranked = facts.select("id", "user_id", "pair_key", "triple.object", "triple.polarity", "triple.functional", F.col("triple.subject").alias("subject"), F.to_json("ok").alias("ok"), *_numbers())
-    sizes = ranked.groupBy("user_id", "pair_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    if sizes.where(F.col("n") > MOST_FACTS).limit(1).count():
-        raise ValueError(f"a pair key has more than {MOST_FACTS} facts; fold it with champions first")
-
-    def walk(bucket: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in bucket.sort_values(["user_id", "pair_key", "id"]).groupby(["user_id", "pair_key"], dropna=False, sort=False):
-            rows = list(g.itertuples(index=False))
-            keys, dead = [_order(r.ok) for r in rows], set()
-            for j in range(1, len(rows)):
-                for i in range(j):
-                    if j in dead:
+    cols = ["id", "user_id", "pair_key", "triple.object", "triple.polarity", "triple.functional", F.col("triple.subject").alias("subject"), F.to_json("ok").alias("ok"), *_numbers()]
+    ranked = facts.where("user_id IS NOT NULL AND pair_key IS NOT NULL").select(*cols).withColumn("polarity", F.coalesce("polarity", F.lit(0)))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, standing = None, _Standing()
+        for b in batches:
+            out = []
+            for f in b.itertuples(index=False):
+                if (f.user_id, f.pair_key) != key:
+                    key, standing = (f.user_id, f.pair_key), _Standing()
+                mine, lost = None, False
+                for other, rule in standing.against(f):
+                    mine = mine or _order(f.ok)
+                    if mine > _order(other.ok):
+                        standing.remove(other)
+                        out.append((other.id, f.id, rule))
+                    else:
+                        out.append((f.id, other.id, rule))
+                        lost = True
                         break
-                    if i not in dead and (rule := _rule(rows[i], rows[j])):
-                        lose, win = (i, j) if keys[j] > keys[i] else (j, i)
-                        dead.add(lose)
-                        out.append((rows[lose].id, rows[win].id, rule))
-        return pd.DataFrame(out, columns=["loser", "winner", "rule"])
+                if not lost:
+                    standing.add(f)
+            yield pd.DataFrame(out, columns=["loser", "winner", "rule"])
 
-    # Keys share a task's call in buckets of a few, as a call for each key would cost more than its walk.
-    many = ranked.join(sizes.select("user_id", "pair_key"), ["user_id", "pair_key"], "left_semi")
-    buckets = 16 * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return many.withColumn("b", F.pmod(F.xxhash64("user_id", "pair_key"), F.lit(buckets))).groupBy("b").applyInPandas(walk, "loser bigint, winner bigint, rule string")
+    ordered = ranked.repartition("user_id", "pair_key").sortWithinPartitions("user_id", "pair_key", "id")
+    return ordered.mapInPandas(walk, "loser bigint, winner bigint, rule string")
 
 
 def _numbers() -> list[Column]:
@@ -79,18 +133,6 @@ def _order(s: str) -> tuple:
     return (tuple(o["t"].values()), tuple(o["s"].values()), o["c"], o["u"], o["i"])
 
 
-def _rule(a, b) -> str | None:
-    if a.object is None or b.object is None or a.subject == "assistant":
-        return None
-    if a.object == b.object:
-        return "negation" if a.polarity != b.polarity else None
-    if a.polarity < 0 or b.polarity < 0 or max(len(a.object.split()), len(b.object.split())) > triples.MAX_VALUE_WORDS:
-        return None
-    if a.functional:
-        return "functional"
-    return "numeric" if a.numbers and b.numbers and a.numbers != b.numbers and a.residue == b.residue else None
-
-
 def champions(facts: DataFrame, key: list[str], value: str, order: Column, id_col: str = "id") -> DataFrame:
     """Fast path where every pair of a key conflicts: ``id, winner, is_active, supersedes``.
 

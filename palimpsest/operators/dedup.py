@@ -8,6 +8,8 @@ with a link are walked in order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -88,25 +90,24 @@ def greedy_drops(links: DataFrame, session_scope: bool = True) -> DataFrame:
 
     Only stored records are neighbours. If the nearest one is in another
     session and the scope is the session, the record is stored, whatever else
-    is near. Only linked records are walked, a scope by a task.
+    is near. The links of a scope are one task's stream, in order; it holds the
+    ids dropped so far.
     """
 
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        dropped: set[int] = set()
-        out = []
-        for i, e in g.sort_values(["id", "cosine", "earlier"], ascending=[True, False, True]).groupby("id", sort=True):
-            for o, c, same in zip(e["earlier"], e["cosine"], e["same_session"]):
-                if o not in dropped:
-                    if same or not session_scope:
-                        dropped.add(i)
-                        out.append((i, o, c))
-                    break
-        return pd.DataFrame(out, columns=["id", "neighbour", "cosine"])
-
-    return links.groupBy("scope").applyInPandas(walk, "id bigint, neighbour bigint, cosine double")
-
-
-def first_of_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row of each key, first in order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scope, last, dropped = None, None, set()
+        for b in batches:
+            out = []
+            for s, i, o, c, same in zip(b["scope"].tolist(), b["id"].tolist(), b["earlier"].tolist(), b["cosine"], b["same_session"]):
+                if s != scope:
+                    scope, last, dropped = s, None, set()
+                if i == last or o in dropped:  # decided already, or its neighbour is not stored
+                    continue
+                last = i
+                if same or not session_scope:
+                    dropped.add(i)
+                    out.append((i, o, c))
+            yield pd.DataFrame(out, columns=["id", "neighbour", "cosine"])
+
+    ordered = links.repartition("scope").sortWithinPartitions("scope", "id", F.desc("cosine"), "earlier")
+    return ordered.mapInPandas(walk, "id bigint, neighbour bigint, cosine double")

@@ -193,3 +193,29 @@ def test_stages(spark):
     assert {r["question_id"]: r["correct"] for r in verdicts.collect()} == {"q1": True, "q2": False}
     again, more = evaluation.judge(p, lambda prompt: 1 / 0, verdicts)
     assert more.count() == 0 and again.count() == 2
+
+
+def test_conflict_stream_equals_all_pairs(spark):
+    """The stream finds what comparing every pair in order finds, over keys with many facts and few batches."""
+    import random
+
+    from palimpsest.functions import triples
+    from palimpsest.operators import conflict
+
+    r = random.Random(3)
+    said = {"lives in": ["Boston", "Seattle", "the Boston", "a b c d e f g h"], "have": ["2 cats", "three cats", "about 2 cats", "a dog", "no dog", "no 2 cats"], "like": ["jazz", "tea", "not jazz"]}
+    rows = []
+    for i in range(400):
+        p = r.choice(list(said))
+        rows.append((i, r.choice(["u", "v", "v", None]), r.choice(["user", "user", "assistant"]) if p == "like" else "user", r.choice([p, p, f"no longer {p}"]), r.choice(said[p] + [None] * (r.random() < 0.05)), r.choice([None, "2022", "2023-01"]), f"2023-0{r.randint(1, 9)}-01", r.choice(["user: x", "assistant: x"]), p, "fact"))
+    df = spark.createDataFrame(rows, "id bigint, user_id string, subject string, predicate string, object string, valid_time string, created_at string, raw string, pair_key string, kind string")
+    facts = conflict.keyed_facts(df)
+    a, b = facts.select("id", "user_id", "pair_key", "triple", "ok"), facts.select(F.col("id").alias("j"), F.col("user_id").alias("u"), F.col("pair_key").alias("k"), F.col("triple").alias("t2"), F.col("ok").alias("ok2"))
+    pairs = a.join(b, (F.col("user_id") == F.col("u")) & (F.col("pair_key") == F.col("k")) & (F.col("id") < F.col("j"))).select("id", "j", (F.col("ok2") > F.col("ok")).alias("later"), triples.conflict_rule(F.col("triple"), F.col("t2")).alias("rule"))
+    dead, want = set(), set()
+    for x in sorted(pairs.where("rule IS NOT NULL").collect(), key=lambda x: (x["j"], x["id"])):
+        if x["id"] not in dead and x["j"] not in dead:
+            lose, win = (x["id"], x["j"]) if x["later"] else (x["j"], x["id"])
+            dead.add(lose)
+            want.add((lose, win, x["rule"]))
+    assert {tuple(x) for x in conflict.resolve_all(facts).collect()} == want and len(want) > 50
