@@ -52,11 +52,12 @@ class Memory:
         )
         return r.unionByName(f.withColumn("pair_key", F.nullif(F.col("k"), F.lit(""))).drop("k"))
 
-    def add(self, sessions: DataFrame) -> dict[str, int]:
+    def add(self, sessions: DataFrame, screens: bool = True) -> dict[str, int]:
         """Store what sessions say: duplicates of earlier records are dropped, contradicted facts superseded.
 
         sessions: ``session_id, user_id, session_date, turns``. Sessions of a
-        user are taken in order of id. Returns counts by outcome.
+        user are taken in order of id. Without ``screens`` every piece is stored,
+        which is what a plain retrieval store does. Returns counts by outcome.
         """
         old = self.store.read()
         last = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
@@ -77,31 +78,41 @@ class Memory:
             F.col("ts").alias("last_accessed"), F.col("salience").alias("initial_salience"), self.embed(F.col("content")).alias("embedding"),
         )
         new = materialize(new, "new")
+        if not screens:
+            self.store.insert(new)
+            return {"pieces": new.count(), "exact": 0, "cosine": 0, "superseded": 0}
         both = old.unionByName(new)
         exact = dedup.exact_duplicates(both).where("id <> first_id").select("id")
         links = dedup.near_links(both.join(exact, "id", "left_anti"), self.config.dedup_cosine_threshold)
         near = dedup.greedy_drops(links, self.config.dedup_scope == "session").select("id", "neighbour")
-        near = materialize(self._screened(near, both), "near")
+        screened = materialize(self._screened(near, both), "near")
+        near = screened.where("verdict = 'merge duplicate'").select("id")
         kept = new.join(exact, "id", "left_anti").join(near, "id", "left_anti")
         self.store.insert(kept)
-        gone = self.resolve() if self.config.conflict_resolution else 0
+        gone = 0
+        if self.config.conflict_resolution:
+            standing = conflict.ordered_facts(self.store.read().where("salience > 0"))
+            gone = self._supersede(conflict.resolve_new(standing, kept.where("kind = 'fact'").select("id"), screened.where("verdict = 'keep negation'").select("id", "neighbour")))
         fresh = F.col("id") > last
         return {"pieces": new.count(), "exact": exact.where(fresh).count(), "cosine": near.where(fresh).count(), "superseded": gone}
 
     def _screened(self, near: DataFrame, records: DataFrame) -> DataFrame:
-        """Near duplicates that the screens do not keep apart."""
+        """``id, neighbour, verdict`` of near duplicates; rounds, and all records where contradictions are left alone, are merged."""
         if not self.config.conflict_resolution:
-            return near.select("id")
+            return near.select("id", "neighbour", F.lit("merge duplicate").alias("verdict"))
         from palimpsest.functions.text import token_entropy
 
         t = records.select("id", "kind", "fact", triples.triple_column(F.col("subject"), F.col("predicate"), F.col("object")).alias("t"), token_entropy(F.coalesce("fact", F.lit(""))).alias("e"))
         j = near.join(t, "id").join(t.select(F.col("id").alias("neighbour"), F.col("fact").alias("fact_b"), F.col("t").alias("t_b"), F.col("e").alias("e_b")), "neighbour")
         verdict = triples.screen(F.coalesce("fact", F.lit("")), F.col("t"), F.coalesce("fact_b", F.lit("")), F.col("t_b"), self.config.dedup_entropy_gate, F.col("e"), F.col("e_b"))
-        return j.withColumn("verdict", verdict).where("kind = 'round' OR verdict = 'merge duplicate'").select("id")
+        return j.select("id", "neighbour", F.when(F.col("kind") == "round", "merge duplicate").otherwise(verdict).alias("verdict"))
 
     def resolve(self) -> int:
         """Supersede contradicted facts; the number of losers."""
-        losers = materialize(conflict.resolve_all(conflict.keyed_facts(self.store.read().where("salience > 0"))), "losers")
+        return self._supersede(conflict.resolve_all(conflict.keyed_facts(self.store.read().where("salience > 0"))))
+
+    def _supersede(self, losers: DataFrame) -> int:
+        losers = materialize(losers, "losers")
         n = losers.count()
         if n:
             self.store.update(conflict.supersede_updates(losers), ["salience", "supersedes"])

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, text, triples
+from palimpsest.session import materialize
 
 
 def trust(raw: Column) -> Column:
@@ -31,8 +32,12 @@ def order_key(valid_time: Column, created_at: Column, raw: Column, id_: Column)
 
 def keyed_facts(memories: DataFrame) -> DataFrame:
     """Facts with a pair key and a usable triple, with ``triple`` and ``ok`` (order key)."""
-    f = memories.where("kind = 'fact' AND pair_key IS NOT NULL AND pair_key <> ''")
-    f = f.withColumn("triple", triples.triple_column(F.col("subject"), F.col("predicate"), F.col("object")))
+    return ordered_facts(memories).where("pair_key IS NOT NULL AND pair_key <> ''")
+
+
+def ordered_facts(memories: DataFrame) -> DataFrame:
+    """Facts with ``triple``, null where there is none, and ``ok``."""
+    f = memories.where("kind = 'fact'").withColumn("triple", triples.triple_column(F.col("subject"), F.col("predicate"), F.col("object")))
     return f.withColumn("ok", order_key(F.col("valid_time"), F.col("created_at"), F.col("raw"), F.col("id")))
 
 
@@ -121,6 +126,33 @@ def resolve_all(facts: DataFrame) -> DataFrame:
     return ordered.mapInPandas(walk, "loser bigint, winner bigint, rule string")
 
 
+def of_assistant(triple: Column, fact: Column) -> Column:
+    """Whether a fact speaks of the assistant, by its triple, or without one by how its text begins."""
+    return F.coalesce(triple["subject"] == "assistant", F.startswith(text.exact_key(F.coalesce(fact, F.lit(""))), F.lit("the assistant")))
+
+
+def resolve_new(facts: DataFrame, new: DataFrame, negated: DataFrame | None = None) -> DataFrame:
+    """``loser, winner, rule`` of what new facts contradict, without a pass over the other keys.
+
+    facts: the standing facts, ``id, user_id, pair_key, fact, triple, ok``;
+    new: ``id`` of those that are new. Only keys of new facts are read. negated:
+    ``id, neighbour`` pairs that the negation screen kept apart; they conflict
+    where the two have no keys to meet by, neither speaks of the assistant and
+    both still stand.
+    """
+    keyed = facts.where("pair_key IS NOT NULL AND pair_key <> ''")
+    touched = keyed.join(new, "id", "left_semi").select("user_id", "pair_key").distinct()
+    lost = resolve_all(keyed.join(touched, ["user_id", "pair_key"], "left_semi"))
+    if negated is None:
+        return lost
+    lost = materialize(lost, "lost")
+    side = facts.join(lost.select(F.col("loser").alias("id")), "id", "left_anti").where(~of_assistant(F.col("triple"), F.col("fact")))
+    a, b = side.select("id", F.col("pair_key").alias("k"), "ok"), side.select(F.col("id").alias("neighbour"), F.col("pair_key").alias("k2"), F.col("ok").alias("ok2"))
+    met = negated.join(new, "id", "left_semi").join(a, "id").join(b, "neighbour").where("k IS NULL OR k = '' OR k2 IS NULL OR k2 = ''")
+    later = F.col("ok") > F.col("ok2")
+    return lost.unionByName(met.select(F.when(later, F.col("neighbour")).otherwise(F.col("id")).alias("loser"), F.when(later, F.col("id")).otherwise(F.col("neighbour")).alias("winner"), F.lit("negation").alias("rule")))
+
+
 def _numbers() -> list[Column]:
     value = F.col("triple.object")
     return [F.array_join(text.numbers_of(value), " ").alias("numbers"), text.number_residue(value).alias("residue")]

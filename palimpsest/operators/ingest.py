@@ -6,8 +6,12 @@ row: no shuffle, whatever the number of sessions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from palimpsest.functions import dates, extraction, text
 
@@ -75,8 +79,26 @@ def round_key(ts: Column, body: Column) -> Column:
     return F.concat(F.coalesce(ts, F.lit("None")), F.lit("|"), F.substring(F.sha2(body, 256), 1, 16))
 
 
-def window_pieces(rounds_df: DataFrame, size: int = 64, overlap: int = 16) -> DataFrame:
-    """``session_id, round_no, piece, text``: windows of each round's words; rounds of up to ``size`` words are one piece."""
+def window_pieces(rounds_df: DataFrame, size: int = 64, overlap: int = 16, places: Callable[[str], list[tuple[int, int]]] | None = None) -> DataFrame:
+    """``session_id, round_no, piece, text``: windows of each round's tokens; rounds of up to ``size`` tokens are one piece.
+
+    Tokens are words, or what a tokenizer finds: ``places`` gives the start and
+    end of each token of a text, and a window is the text from its first to its
+    last token.
+    """
+    if places is not None:
+
+        def run(s: pd.Series) -> pd.Series:
+            def cut(t: str) -> list[str]:
+                at = places(t)
+                if len(at) <= size:
+                    return [t]
+                firsts = range(0, len(at) - overlap, size - overlap)
+                return [t[at[k][0] : at[min(k + size, len(at)) - 1][1]] for k in firsts]
+
+            return s.map(lambda t: cut(t) if isinstance(t, str) else [])
+
+        return rounds_df.select("session_id", "round_no", F.posexplode(F.pandas_udf(run, ArrayType(StringType()))("text")).alias("piece", "text"))
     words = text.tokens(text.collapse(F.col("text")))
     cut = rounds_df.select("session_id", "round_no", F.posexplode_outer(text.windows(words, size, overlap)).alias("piece", "w"))
     return cut.select("session_id", "round_no", "piece", F.array_join("w", " ").alias("text"))

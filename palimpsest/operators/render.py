@@ -54,16 +54,39 @@ Does the model correctly identify the question as unanswerable? Answer yes or no
 PROMPTS = {"single-session-user": STANDARD, "single-session-assistant": STANDARD, "multi-session": STANDARD, "temporal-reasoning": TEMPORAL, "knowledge-update": UPDATE, "single-session-preference": PREFERENCE}
 
 
+#: Fixed value: the prompt by which a reader answers.
+READER = """{b}
+
+I will give you several history chats between you and a user. Please answer the question based on the relevant chat history. Answer the question step by step: first extract all the relevant information, and then reason over the information to get the answer. If the chat history does not contain enough information to answer the question, say that you do not know rather than guessing.
+
+
+History Chats:
+
+{c}
+
+Current Date: {d}
+Question: {q}
+Answer (step by step):"""
+
+
+def reader_prompt(context: Column, question: Column, question_date: Column, first: Column) -> Column:
+    """The prompt that a reader answers. ``first`` leads it and differs from question to question, so that no cached beginning is shared; nulls count as empty."""
+    return _filled(READER, {"{b}": first, "{c}": context, "{d}": question_date, "{q}": question})
+
+
+def _filled(template: str, marks: dict[str, Column]) -> Column:
+    """A template with columns in place of its marks, which stand in this order."""
+    parts, rest = [], template
+    for mark, column in marks.items():
+        before, rest = rest.split(mark, 1)
+        parts += [F.lit(before), F.coalesce(column, F.lit(""))]
+    return F.concat(*parts, F.lit(rest))
+
+
 def judge_prompt(category: Column, question: Column, answer: Column, response: Column, abstention: Column) -> Column:
     """The prompt that judges a response. An unknown category is an error, unless the question cannot be answered."""
 
-    def filled(template: str) -> Column:
-        parts, rest = [], template
-        for mark, col in (("{q}", question), ("{a}", answer), ("{r}", response)):
-            before, rest = rest.split(mark, 1)
-            parts += [F.lit(before), F.coalesce(col, F.lit(""))]
-        return F.concat(*parts, F.lit(rest))
-
+    filled = lambda template: _filled(template, {"{q}": question, "{a}": answer, "{r}": response})
     by_kind = None
     for name, template in PROMPTS.items():
         by_kind = F.when(category == name, filled(template)) if by_kind is None else by_kind.when(category == name, filled(template))

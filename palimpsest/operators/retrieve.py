@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, FloatType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType
 
 from palimpsest.functions import dates, text
 from palimpsest.operators.conflict import now_logical
@@ -129,15 +130,29 @@ def record_text(fact: Column, turns: Column, content: Column) -> Column:
     return F.coalesce(fact, F.when(F.size(turns) > 0, lines), content)
 
 
-def rerank_rounds(candidates: DataFrame, questions: DataFrame, records: DataFrame, k: int = 10) -> DataFrame:
-    """``qid, rank, round, pair_score``: candidate rounds ordered by the best overlap of any of their records.
+def pair_scorer(score: Callable[[list[tuple[str, str]]], list[float]]) -> Callable[[Column, Column], Column]:
+    """A model that scores lists of (question, passage), as a function of two columns; it is called with batches."""
+
+    def run(q: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series(list(score(list(zip(q.fillna(""), p.fillna(""))))), dtype=float)
+
+    return F.pandas_udf(run, DoubleType())
+
+
+def rerank_rounds(candidates: DataFrame, questions: DataFrame, records: DataFrame, k: int = 10, scorer: Callable[[Column, Column], Column] = text.overlap_share, active_only: bool = True) -> DataFrame:
+    """``qid, rank, round, pair_score``: candidate rounds ordered by the best score of any of their members.
 
     candidates: from :func:`rank_rounds` over a pool. questions: ``qid,
-    user_id, question``. Ties keep the candidates' order.
+    user_id, question``. Members of a round are the record that ranked it and
+    its facts, of which inactive ones count only if they are asked for. scorer:
+    of question and passage, word overlap by default or a model
+    (:func:`pair_scorer`). Ties keep the candidates' order.
     """
-    member = records.where("salience > 0").select("user_id", round_identity(F.col("round_key"), F.col("id")).alias("round"), record_text(F.col("fact"), F.col("turns"), F.col("content")).alias("passage"))
-    paired = candidates.select("qid", "round", F.col("rank").alias("seed")).join(questions, "qid").join(member, ["user_id", "round"])
-    scored = paired.groupBy("qid", "round", "seed").agg(F.max(text.overlap_share(F.col("question"), F.col("passage"))).alias("pair_score"))
+    passage = record_text(F.col("fact"), F.col("turns"), F.col("content"))
+    wanted = candidates.select("qid", "round", F.col("rank").alias("seed"), F.col("id").alias("own")).join(questions, "qid")
+    members = records.select("user_id", "id", round_identity(F.col("round_key"), F.col("id")).alias("round"), (F.col("kind") == "fact").alias("is_fact"), (F.col("salience") > 0).alias("active"), passage.alias("passage"))
+    paired = wanted.join(members, ["user_id", "round"]).where((F.col("id") == F.col("own")) | (F.col("is_fact") & (F.col("active") | F.lit(not active_only))))
+    scored = paired.withColumn("pair_score", scorer(F.col("question"), F.col("passage"))).groupBy("qid", "round", "seed").agg(F.max("pair_score").alias("pair_score"))
     w = Window.partitionBy("qid").orderBy(F.desc("pair_score"), "seed")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "round", "pair_score")
 

@@ -57,7 +57,7 @@ def rerank_overlap(spark, sf_dir):
     r = _records(spark, sf_dir)
     q = _queries(r)
     pool = retrieve.rank_rounds(q, r, 50, _W)
-    t = _records(spark, sf_dir, "user_id", "salience", "round_key", "fact", "turns", "content")
+    t = _records(spark, sf_dir, "user_id", "kind", "salience", "round_key", "fact", "turns", "content")
     asked = t.where("id % 20 = 0").select(F.col("id").alias("qid"), "user_id", F.col("content").alias("question"))
     return retrieve.rerank_rounds(pool, asked, t, 10).select("qid", F.col("rank").cast("bigint").alias("rank"), "round", F.round("pair_score", 6).alias("pair_score"))
 
@@ -137,6 +137,13 @@ def hit_carriers(spark, sf_dir):
     return evaluation.carriers(hits, r)
 
 
+def reader_prompts(spark, sf_dir):
+    """Digest of what a reader is asked for each prediction, with the question's sessions as its context."""
+    p = once(read_table(spark, sf_dir, "predictions").select("run_id", "question_id", "question", "answer"), "run_id", "question_id")
+    prompt = render.reader_prompt(F.col("answer"), F.col("question"), F.col("question_id"), F.col("run_id"))
+    return p.select("run_id", "question_id", F.md5(prompt).alias("prompt_md5"), F.length(prompt).alias("chars"))
+
+
 def json_contexts(spark, sf_dir):
     s = ingest.with_defaults(ingest.sessions_once(read_table(spark, sf_dir, "sessions")))
     items = s.select("session_id", F.col("session_date").alias("ts"), F.lit(0).alias("id"), "turns")
@@ -147,7 +154,7 @@ def conflict_demo(spark, sf_dir):
     return evaluation.demo_result(spark)
 
 
-QUERIES = {f.__name__: f for f in (probe_ranks, hit_carriers, json_contexts, conflict_demo, similarity_topk, round_topk, recall_score, recall_updates, rerank_overlap, budget_prefix, context_text, context_with_facts, session_texts, export_text, export_markdown, judge_prompts, trimmed_contexts, hashed_embeddings)}
+QUERIES = {f.__name__: f for f in (probe_ranks, hit_carriers, reader_prompts, json_contexts, conflict_demo, similarity_topk, round_topk, recall_score, recall_updates, rerank_overlap, budget_prefix, context_text, context_with_facts, session_texts, export_text, export_markdown, judge_prompts, trimmed_contexts, hashed_embeddings)}
 
 _R = """(SELECT id, any_value(user_id) AS user_id, any_value(kind) AS kind, any_value(content) AS content, any_value(created_at) AS created_at, any_value(salience) AS salience, any_value(source) AS source,
     any_value(turns) AS turns, any_value(round_key) AS round_key, any_value(fact) AS fact, any_value(valid_time) AS valid_time, any_value(raw) AS raw, any_value(embedding) AS embedding,
@@ -193,10 +200,10 @@ ORACLES = {
         SELECT qid, rank, id, round(similarity, 4) AS similarity, round(similarity, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, kind DESC, id) AS rank FROM best) WHERE rank <= 10""",
     "recall_score": _BASE + _TOP + " SELECT qid, rank, id, round(similarity, 4) AS similarity, round(score, 4) AS score FROM top",
     "recall_updates": _BASE + _TOP + " SELECT id, max(now) AS last_accessed FROM top WHERE similarity >= 0.5 GROUP BY id",
-    "rerank_overlap": _BASE + _TOP + f""", pool AS (SELECT qid, user_id, round, rank AS seed FROM ranked WHERE rank <= 50),
+    "rerank_overlap": _BASE + _TOP + f""", pool AS (SELECT qid, user_id, round, id AS own, rank AS seed FROM ranked WHERE rank <= 50),
         qw AS (SELECT id AS qid, list_distinct(list_filter(string_split({words_sql('content')}, ' '), lambda w: length(w) > 2)) AS q FROM r WHERE id % 20 = 0),
-        pw AS (SELECT user_id, coalesce(round_key, 'id:' || id) AS round, string_split({words_sql("coalesce(fact, CASE WHEN len(turns) > 0 THEN " + _TURNS + " END, content)")}, ' ') AS p FROM r WHERE salience > 0),
-        s AS (SELECT pool.qid, pool.round, seed, max(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, p)) / len(q) END) AS pair_score FROM pool JOIN qw USING (qid) JOIN pw ON pw.user_id = pool.user_id AND pw.round = pool.round GROUP BY ALL)
+        pw AS (SELECT user_id, id, kind, salience, coalesce(round_key, 'id:' || id) AS round, string_split({words_sql("coalesce(fact, CASE WHEN len(turns) > 0 THEN " + _TURNS + " END, content)")}, ' ') AS p FROM r),
+        s AS (SELECT pool.qid, pool.round, seed, max(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, p)) / len(q) END) AS pair_score FROM pool JOIN qw USING (qid) JOIN pw ON pw.user_id = pool.user_id AND pw.round = pool.round AND (pw.id = own OR (pw.kind = 'fact' AND pw.salience > 0)) GROUP BY ALL)
         SELECT qid, rank, round, round(pair_score, 6) AS pair_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pair_score DESC, seed) AS rank FROM s) WHERE rank <= 10""",
     "budget_prefix": _BASE + _TOP + ", b AS (SELECT qid, rank, id, CAST(sum(CAST(ceil(length(content) / 4.0) AS BIGINT)) OVER (PARTITION BY qid ORDER BY rank) AS BIGINT) AS spent FROM top) SELECT * FROM b WHERE spent <= 300 OR rank = 1",
     "context_text": _BASE + _TOP + f""", o AS (SELECT qid, created_at, id, {_TURNS} AS body, row_number() OVER (PARTITION BY qid ORDER BY coalesce(created_at, ''), id) AS n FROM top),
@@ -220,3 +227,5 @@ ORACLES = {
     "trimmed_contexts": "SELECT doc_id, md5(k) AS kept_md5, CAST(greatest(0, length(t) - 400) // 4 AS BIGINT) AS tokens_dropped, CAST(ceil(length(k) / 4.0) AS BIGINT) AS tokens FROM (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN length(coalesce(text, '')) <= 400 THEN coalesce(text, '') ELSE substr(text, length(text) - 399) END AS k FROM documents)",
 }
 ORACLES["json_contexts"] = ROUNDS_SQL + """SELECT session_id, '[{"session_date":' || CASE WHEN any_value(ts) = '' THEN 'null' ELSE to_json(any_value(ts)) END || ',"turns":[' || string_agg('{"role":' || to_json(coalesce(role, '')) || ',"content":' || to_json(coalesce(content, '')) || '}', ',' ORDER BY i) || ']}]' AS context FROM said GROUP BY session_id"""
+_PROMPT = "run_id || chr(10) || chr(10) || 'I will give you several history chats between you and a user. Please answer the question based on the relevant chat history. Answer the question step by step: first extract all the relevant information, and then reason over the information to get the answer. If the chat history does not contain enough information to answer the question, say that you do not know rather than guessing.' || chr(10) || chr(10) || chr(10) || 'History Chats:' || chr(10) || chr(10) || coalesce(answer, '') || chr(10) || chr(10) || 'Current Date: ' || question_id || chr(10) || 'Question: ' || coalesce(question, '') || chr(10) || 'Answer (step by step):'"
+ORACLES["reader_prompts"] = f"SELECT run_id, question_id, md5(p) AS prompt_md5, CAST(length(p) AS INTEGER) AS chars FROM (SELECT run_id, question_id, {_PROMPT} AS p FROM (SELECT run_id, question_id, any_value(question) AS question, any_value(answer) AS answer FROM predictions GROUP BY run_id, question_id))"

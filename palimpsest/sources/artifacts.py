@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,28 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("custom_id string, body struct<model:string,messages:array<struct<role:string,content:string>>,max_tokens:int>").json(path)
 
 
+#: What a probe of one question found: ranks of its evidence, what was dropped on the way, and counts by stage.
+PROBE = (
+    "question_id string, category string, is_abstention boolean, n_rounds int, n_evidence_rounds int, stored int, evidence_ranks array<int>, top_sessions array<string>, "
+    "drops array<struct<session_id:string,round_index:int,screen:string,cosine:double,neighbour_session_id:string,is_evidence:boolean,piece:int,kind:string>>, "
+    "facts_stored int, rounds_sent_to_model int, empty_extractions int, truncated_outputs int, truncated_inputs int, prefilter_skips int, "
+    "screen_keeps map<string,int>, conflicts map<string,int>, superseded int, stale_facts_top10 int, decayed int, time_matches_top10 int"
+)
+
+
+def write_probes(rows: DataFrame, path: str) -> None:
+    """Probe rows as JSON lines; columns that a probe does not have are left out, existing rows refused."""
+    names = [c.split(" ")[0] for c in re.split(r", (?=\w+ )", PROBE)]
+    rows.select(*[c for c in names if c in rows.columns]).write.mode("errorifexists").json(path)
+
+
+def read_probes(spark: SparkSession, path: str) -> DataFrame:
+    """Probe rows; what an older file lacks reads as an empty list, an empty map or 0."""
+    rows = spark.read.schema(PROBE).option("mode", "FAILFAST").json(path)
+    blank = {"array": lambda t: F.array().cast(t), "map": lambda t: F.create_map().cast(t), "int": lambda t: F.lit(0)}
+    return rows.select(*[F.coalesce(c, blank[k](t)).alias(c) if (k := t.split("<")[0]) in blank else F.col(c) for c, t in rows.dtypes])
+
+
 def write_sheet(rows: DataFrame, path: str) -> None:
     """A label sheet as CSV with a header; an existing one is refused."""
     rows.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
