@@ -179,6 +179,39 @@ def consistent(text: str | None) -> str | None:
     return unicodedata.normalize("NFC", t)
 
 
+def script_report(text: str) -> tuple[str | None, int, int]:
+    """``script, mixed, whole`` of a text: the script that most tokens fix, tokens that mix scripts, and whole-script confusables.
+
+    A token mixes scripts if its letters are of more than one; it is a
+    whole-script confusable if all are of one script, another one could spell
+    it as well, and the text's script is the other.
+    """
+    if text.isascii():
+        return ("Latin" if any(map(str.isalpha, text)) else None), 0, 0
+    t = unicodedata.normalize("NFD", _INVISIBLE.sub(_invisible, text))
+    votes, seen = [0] * len(SCRIPTS), []
+    for m in _TOKEN.finditer(t):
+        token = m.group()
+        mask = _token_mask(token)
+        own = {k for c in token for k, low, high in _RANGES if low <= ord(c) <= high}
+        if mask > 0 and not mask & (mask - 1):
+            votes[mask.bit_length() - 1] += 1
+        seen.append((mask, own))
+    best = max(range(len(SCRIPTS)), key=lambda k: (votes[k], -k)) if seen else None
+    whole = sum(len(own) == 1 and mask > 0 and best not in own and mask >> best & 1 for mask, own in seen)
+    return (SCRIPTS[best] if seen else None), sum(len(own) > 1 for _, own in seen), whole
+
+
+def scripts_column(c: Column) -> Column:
+    """:func:`script_report` as ``struct(script, mixed, whole)``; null for a null text."""
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = [script_report(t) if isinstance(t, str) else (None, None, None) for t in s]
+        return pd.DataFrame(rows, columns=["script", "mixed", "whole"]).astype({"mixed": "Int32", "whole": "Int32"})
+
+    return F.pandas_udf(run, "script string, mixed int, whole int")(c)
+
+
 _FIRST = str.maketrans({x: next(y for y in row if y) for row in _SHAPES for x in row if x})
 
 

@@ -25,6 +25,8 @@ from palimpsest.session import materialize, small_enough
 REPLICAS, RATIO, LIST_ROWS = 4, 1.12, 800
 #: Lists that a vector asks where there is no floor, each vector standing in its nearest list only.
 PROBE = 12
+#: Rows of the lists that go to Python in one group, about.
+GROUP_ROWS = 50_000
 #: Rows of a list compared by one task at a time.
 BLOCK = 4096
 
@@ -113,7 +115,8 @@ def nearest(rows: DataFrame, k: int = 5, least: float = 0.9, scope: str = "user_
     large = sizes.where(F.col("rows") > LIST_ROWS)
     large = F.broadcast(large) if small_enough(large, 100_000) else large
     sized = groups.join(large, "scope", "left").select("scope", "rep", "vec", F.coalesce("rows", F.lit(1)).alias("rows"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # Groups of lists that go to Python at once follow the rows, not only the cluster.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-(total or 0) * (probe or REPLICAS) // GROUP_ROWS // 8))
     listed = materialize(_assign(sized, book_b, probe), "lists")
     pairs = materialize(_compare(listed, parts, k, least, dim), "pairs")
     if probe:

@@ -68,7 +68,8 @@ def p8_found(spark, sf_dir):
 
 def p8_normalized(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    return docs.select("doc_id", lookalike.consistent_text(F.col("text")).alias("text"))
+    found = docs.select("doc_id", lookalike.consistent_text(F.col("text")).alias("text"), lookalike.scripts_column(F.col("text")).alias("s"))
+    return found.select("doc_id", "text", "s.script", F.col("s.mixed").alias("mixed_tokens"), F.col("s.whole").alias("confusable_tokens"))
 
 
 def p8_classes(spark, sf_dir):

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import random
 
 import pytest
@@ -65,3 +66,13 @@ def test_large_group_of_copies_is_not_expanded(spark):
 
 def test_empty(spark):
     assert lookalike_pairs(_docs(spark, [])).count() == 0 and membership(_docs(spark, [])).count() == 0
+
+
+def test_script_report(spark):
+    from palimpsest.llm.lookalike import script_report, scripts_column
+
+    assert script_report("plain words") == ("Latin", 0, 0) and script_report("12 !") == (None, 0, 0)
+    assert script_report("the p\u0430yment of \u0430\u0441\u0435 players") == ("Latin", 1, 1)
+    assert script_report("\u0440\u0430\u0437\u0433\u043e\u0432\u043e\u0440 \u043f\u0440\u043e ace") == ("Cyrillic", 0, 1)
+    df = spark.createDataFrame([("p\u0430y",), (None,), ("",)], "t string").select(scripts_column(F.col("t")).alias("s")).select("s.*")
+    assert [tuple(r) for r in df.collect()] == [("Latin", 1, 0), (None, None, None), (None, 0, 0)]
