@@ -23,8 +23,8 @@ from palimpsest.llm.vectors import Codebook, fit_codebook, pack, unpack
 from palimpsest.session import materialize, small_enough
 
 REPLICAS, RATIO, LIST_ROWS = 4, 1.12, 800
-#: Lists that a vector asks where there is no floor, each vector standing in its nearest list only.
-PROBE = 12
+#: Lists that a vector asks where there is no floor, each vector standing in its nearest list only, and their share of all lists at least.
+PROBE, SHARE = 12, 0.05
 #: Rows of the lists that go to Python in one group, about.
 GROUP_ROWS = 50_000
 #: Rows of a list compared by one task at a time.
@@ -51,7 +51,7 @@ def _assign(rows: DataFrame, book_b, probe: int) -> DataFrame:
     With ``probe`` a row is held by its nearest list and asks that many; else it
     is held by all lists that it asks.
     """
-    width, ratio = (probe, float("inf")) if probe else (REPLICAS, RATIO)
+    width, ratio, share = (probe, float("inf"), SHARE) if probe else (REPLICAS, RATIO, 0.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         book: Codebook = book_b.value
@@ -59,7 +59,7 @@ def _assign(rows: DataFrame, book_b, probe: int) -> DataFrame:
             if not len(b):
                 continue
             level = book.level_of(b["rows"].to_numpy())
-            r, lists, ranks = book.lists(unpack(b["vec"], book.dim), level, width, ratio)
+            r, lists, ranks = book.lists(unpack(b["vec"], book.dim), level, width, ratio, share)
             out = b.iloc[r][["scope", "rep", "vec"]].reset_index(drop=True)
             out["list"], out["held"] = lists, ranks == 0 if probe else True
             yield out

@@ -19,7 +19,9 @@ from pyspark.sql.types import BinaryType
 
 #: Rows that the codebook is fitted on, at most.
 FIT_ROWS = 20_000
-LEVEL_GROWTH = 8
+LEVEL_GROWTH = 4
+#: Centroids that a walk keeps in view, at least.
+BEAM = 64
 #: Centroids of the largest level, at most; larger lists than planned are searched in blocks.
 MAX_CENTROIDS = 4096
 
@@ -78,20 +80,24 @@ class Level:
 
         A walk over the graph: it starts at the best hubs and replaces its
         beam by the best of the beam and its neighbours until none improves.
+        The beam is wider than what is asked for, as a narrow one ends beside
+        the nearest centroid. Where the beam's neighbours are as many as the
+        centroids, all of them are looked at.
         """
         n = len(self.centroids)
         c = self.centroids.astype(np.float32)
         width = min(width, n)
+        beam = min(n, max(BEAM, 2 * width))
         out_i, out_s = np.empty((len(x), width), np.int32), np.empty((len(x), width), np.float32)
-        for at in range(0, len(x), 2048):
-            q = x[at : at + 2048].astype(np.float32)
-            if n <= 64:  # the graph would touch every centroid anyway
-                s = q @ c.T
-                ids = np.argsort(-s, axis=1, kind="stable")[:, :width].astype(np.int32)
-                best = np.take_along_axis(s, ids, 1)
+        step = 2048 if n <= beam * 17 else 256
+        for at in range(0, len(x), step):
+            q = x[at : at + step].astype(np.float32)
+            if n <= beam * 17:
+                best = q @ c.T
+                ids = np.broadcast_to(np.arange(n, dtype=np.int32), best.shape)
             else:
                 s = q @ c[self.hubs].T
-                k = min(width, len(self.hubs))
+                k = min(beam, len(self.hubs))
                 pos = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 ids, best = self.hubs[pos].astype(np.int32), np.take_along_axis(s, pos, 1)
                 for _ in range(12):
@@ -99,16 +105,18 @@ class Level:
                     both = np.sort(np.concatenate([ids, more], axis=1), axis=1)
                     score = np.einsum("nd,nkd->nk", q, c[both], optimize=False)
                     score[:, 1:][both[:, 1:] == both[:, :-1]] = -3
-                    w = min(width, both.shape[1])
+                    w = min(beam, both.shape[1])
                     pos = np.argpartition(-score, w - 1, axis=1)[:, :w]
                     new, got = np.take_along_axis(both, pos, 1), np.take_along_axis(score, pos, 1)
                     done = new.shape == ids.shape and np.allclose(np.sort(got, axis=1), np.sort(best, axis=1))
                     ids, best = new, got
                     if done:
                         break
-                order = np.argsort(-best, axis=1, kind="stable")
-                ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
-            out_i[at : at + 2048], out_s[at : at + 2048] = ids, best
+            top = np.argpartition(-best, width - 1, axis=1)[:, :width]
+            ids, best = np.take_along_axis(ids, top, 1), np.take_along_axis(best, top, 1)
+            order = np.argsort(-best, axis=1, kind="stable")
+            ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+            out_i[at : at + step], out_s[at : at + step] = ids, best
         return out_i, out_s
 
 
@@ -124,12 +132,12 @@ class Codebook:
         want = np.ceil(np.asarray(rows) / self.list_rows)
         return np.minimum(np.searchsorted(sizes, want), len(sizes) - 1)
 
-    def lists(self, x: np.ndarray, level: np.ndarray, replicas: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def lists(self, x: np.ndarray, level: np.ndarray, replicas: int, ratio: float, share: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``row, list, rank`` of every row's lists, nearest first.
 
         A row near a boundary stands in several lists: in each whose centroid
         is at most ``ratio`` times as far as the nearest one, up to
-        ``replicas``.
+        ``replicas``, or up to a ``share`` of all lists where that is more.
         """
         rows, lists, ranks = [], [], []
         for k, lev in enumerate(self.levels):
@@ -139,11 +147,12 @@ class Codebook:
             if len(lev.centroids) == 1:
                 rows.append(at), lists.append(np.zeros(len(at), np.int32)), ranks.append(np.zeros(len(at), np.int32))
                 continue
-            ids, cos = lev.nearest(x[at], max(replicas, 4))
+            most = max(replicas, int(share * len(lev.centroids)))
+            ids, cos = lev.nearest(x[at], max(most, 4))
             dist = np.sqrt(np.maximum(2 - 2 * cos, 0))
             keep = dist <= ratio * np.maximum(dist[:, :1], 1e-6)
             keep[:, 0] = True
-            keep[:, replicas:] = False
+            keep[:, most:] = False
             r, j = np.nonzero(keep)
             rows.append(at[r]), lists.append(ids[r, j]), ranks.append(j.astype(np.int32))
         if not rows:

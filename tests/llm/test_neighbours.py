@@ -85,10 +85,10 @@ def test_few_in_a_list_ask_all(spark, monkeypatch):
 
 def test_graph_walk_finds_the_nearest_centroids():
     rng = np.random.default_rng(4)
-    c = rng.normal(size=(512, 16)).astype("f4")
+    c = rng.normal(size=(3000, 16)).astype("f4")
     c /= np.linalg.norm(c, axis=1, keepdims=True)
     level = vectors.Level(c)
-    q = c[rng.integers(512, size=400)] + rng.normal(size=(400, 16)).astype("f4") * 0.15
+    q = c[rng.integers(3000, size=400)] + rng.normal(size=(400, 16)).astype("f4") * 0.15
     ids, _ = level.nearest(q, 8)
     assert (ids[:, 0] == (q @ c.T).argmax(axis=1)).mean() >= 0.95
 
