@@ -118,8 +118,9 @@ def trimmed_contexts(spark, sf_dir):
 
 
 def hashed_embeddings(spark, sf_dir):
-    d = read_table(spark, sf_dir, "heldout_items")
-    return d.select("question_id", retrieve.hash_embedding_column(F.col("question")).alias("embedding"))
+    """Vectors of all stored texts."""
+    m = once(read_table(spark, sf_dir, "memories").select("id", "content"), "id")
+    return m.select("id", retrieve.hash_embedding_column(F.col("content")).alias("embedding"))
 
 
 def probe_ranks(spark, sf_dir):
