@@ -58,7 +58,7 @@ _UNIT = rf"(?:(?:,\s?|\s)(?:{_FLAT}|#\s?\d+\w?))?"
 _WORD = r"(?:[NSEW]\.|St\.|[^\W\d_][\w'’-]*)"
 _STREET = re.compile(rf"(?<![\w.,:-])(?P<flat>{_FLAT},?\s)?(?P<no>\d{{1,5}}[a-z]?) (?P<name>(?:{_WORD} ){{1,3}})(?P<type>{_TYPE})\b{_UNIT}", re.I)
 _GERMAN = re.compile(rf"(?<!\w)(?P<name>[^\W\d_]{{3,}})(?P<type>weg|straße|strasse|str\.|gasse|allee|platz|ufer|laan|straat)\s(?P<no>\d{{1,4}}[a-z]?)\b{_UNIT}", re.I)
-_ROMANCE = re.compile(rf"(?<![\w.,:-])(?P<no>\d{{1,4}}(?:\s?(?:bis|ter)\b|[a-z]\b)?),?\s(?P<type>rue|avenue|boulevard|chemin|place|impasse|via|calle)\s(?P<name>(?:(?:de|du|des|la|le|les|del|della)\s|d['’]|l['’])*[^\W\d_][\w'’-]*){_UNIT}", re.I)
+_ROMANCE = re.compile(rf"(?<![\w.,:-])(?P<no>\d{{1,4}}(?:\s?(?:bis|ter)\b|[a-z]\b)?),?\s(?P<type>rue|avenue|boulevard|chemin|place|impasse|via|calle)\s(?P<name>(?:(?:de|du|des|la|le|les|del|della)\s|d['’]|l['’])*[^\W\d_](?:[\w'’-]*\w)?){_UNIT}", re.I)
 _STREET_STOP = set("the of a an in on at to for from and or is it was are with by as my your this that then than into minutes hours days weeks months years grams litres pages euros kilometres metres entries labels letters visitors boxes stops per each every long late".split())
 _TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|['’](?=[^\W\d_])|-(?=[^\W\d_]))*\.?")
 _BREAK = re.compile(r"[.!?]\s+|\n+|^\s*(?:user|assistant|system):\s*")
@@ -461,7 +461,7 @@ def find(texts: DataFrame, lex: Lexicon, keys: list[str]) -> DataFrame:
             for k, (t, got) in enumerate(zip(b["text"], read(b))):
                 for kind, s in dict.fromkeys((kind, t[x:y]) for x, y, kind in got):
                     at.append(k), kinds.append(kind), said.append(s)
-            yield b.iloc[at][keys].reset_index(drop=True).assign(pii_type=kinds, found_text=said)
+            yield b.iloc[at][keys].reset_index(drop=True).assign(pii_type=pd.Series(kinds, dtype=object), found_text=pd.Series(said, dtype=object))  # typed, as a batch may have no item
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name in keys)
     return ordered.mapInPandas(run, f"{schema}, pii_type string, found_text string").distinct()

@@ -61,6 +61,23 @@ def test_other_spellings(learned):
     assert found("I pinned numkit@1.59.8 there; tag @zemozas") == []
 
 
+@pytest.mark.parametrize("text,want", [
+    ("The note says '12 rue Lepic'.", ["12 rue Lepic"]), ("It said ‘4 via Roma’, no more.", ["4 via Roma"]), ("He read '3 rue de l'Orme', then left.", ["3 rue de l'Orme"]),
+    ("I live at 12 rue Foo-", ["12 rue Foo"]), ("at 5 rue d' once", []), ("at 5 rue l'", []),
+])
+def test_quoted_addresses(learned, spark, text, want):
+    assert [text[a:b] for a, b, k in personal.spans(text, personal.Lexicon()) if k == "address"] == want
+    rows = spark.createDataFrame([(1, text)], "k int, text string")
+    assert [r["found_text"] for r in personal.find(rows, learned[2], ["k"]).collect() if r["pii_type"] == "address"] == want
+    assert personal.learn(rows, spark.createDataFrame([], "given_name string")).given == set()
+
+
+def test_batches_without_an_item(learned, spark):
+    rows = spark.createDataFrame([("a", "nothing here"), ("b", "Version 1.41.2926 passed."), ("c", "Call me on +44 7700 900 123 after six.")], "k string, text string").repartition(3)
+    assert [tuple(r) for r in personal.find(rows, learned[2], ["k"]).collect()] == [("c", "phone", "+44 7700 900 123")]
+    assert personal.find(rows.where("k <> 'c'"), learned[2], ["k"]).count() == 0
+
+
 def test_redaction_keeps_the_rest(learned, spark):
     texts = spark.createDataFrame([(1, "Call me on +44 7700 900 123 after six.", 5), (2, "nothing here", 6), (3, "word " * 30000, 7)], "k int, text string, pii_type int")
     got = {r["k"]: r["text"] for r in personal.redact(texts, learned[2]).collect()}
