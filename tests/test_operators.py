@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +65,39 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path):
     assert got == {(r["id"], r["neighbour"]) for r in dedup.greedy_drops(dedup.near_links(df)).collect()}
 
 
+def test_stream_walk_of_a_busy_key():
+    """6,000 records of one key, in two batches of which the second has smaller ids too: whole, in seconds, with few calls to the state."""
+
+    class State:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def get(self):
+            return iter(self.rows)
+
+        def appendList(self, rows):
+            self.rows, self.calls = self.rows + rows, self.calls + 1
+
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(1500, 64))[rng.integers(1500, size=6000)] + rng.normal(size=(6000, 64)) * 0.17).astype("f4")
+    ids, ts = rng.permutation(6000), rng.choice(["2023-01-01", "2023-01-02"], 6000)
+    df = pd.DataFrame({"id": ids, "ts": ts, "vec": [v.tobytes() for v in x]})
+    walk = stream.GreedyDedup()
+    walk.stored, began = State(), time.perf_counter()
+    got = pd.concat([g for b in (df[:4000], df[4000:]) for g in walk.handleInputRows(None, iter([b[:1000], b[1000:]]), None)])
+    assert time.perf_counter() - began < 10 and walk.stored.calls <= 12
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    cosine, stored, want = np.round(u @ u.T, 6), set(), []
+    for k in [*sorted(range(4000), key=lambda k: ids[k]), *sorted(range(4000, 6000), key=lambda k: ids[k])]:
+        near = [(-cosine[k, j], ids[j], j) for j in np.flatnonzero(cosine[k] >= 0.95) if j in stored]
+        if near and ts[min(near)[2]] == ts[k]:
+            want.append((ids[k], min(near)[1], -min(near)[0]))
+        else:
+            stored.add(k)
+    assert [tuple(r) for r in got.itertuples(index=False)] == want and len(want) > 500
+    assert sorted(r[0] for r in walk.stored.rows) == sorted(ids[list(stored)])
+
+
 def test_exact_duplicates(spark):
     df = _memories(spark, [{"id": 1, "content": "Hello!"}, {"id": 2, "content": " hello"}, {"id": 3, "content": "hello", "kind": "fact"}, {"id": 4, "content": "Hello", "kind": "fact", "created_at": "2024-01-01"}, {"id": 5, "content": None}])
     assert {tuple(r) for r in dedup.exact_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)}
