@@ -4,8 +4,7 @@ Copies are found by aligning response with prompt: containment of three-word
 shingles first, then the longest common subsequence of words. Refusals are
 found by aligning the response with templates of refusals in the same way.
 Whether a response is in another language than prompt and expected answer is
-told by a character model fitted on labelled documents (a bounded sample, see
-``FIT_DOCS``). What breaks off is told by brackets, dangling words and the end
+told by a character model fitted on all labelled documents. What breaks off is told by brackets, dangling words and the end
 of its last line; endings of list items that many responses share are learned
 from all responses.
 """
@@ -13,19 +12,17 @@ from all responses.
 from __future__ import annotations
 
 import bisect
+import copy
 import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import once
-
-#: Documents of each language that the language model is fitted on, at most.
-FIT_DOCS = 300
+from palimpsest.session import bounded, materialize, once
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
@@ -202,7 +199,7 @@ def refuses(p: list[str]) -> bool:
 
 
 class LanguageModel:
-    """Character trigrams of each language, and the words of the sample."""
+    """Character trigrams of each language, and the words of the documents."""
 
     def __init__(self, rows: list[tuple[str, str]]):
         """rows: (language, text)."""
@@ -215,13 +212,37 @@ class LanguageModel:
                     counts[lang][g] += 1
         self.known = {w for w, n in seen.items() if n > 1}
         self.sorted = sorted(self.known)
+        #: ``word``: the known words of a model that Spark counted, where ``known`` is empty; and, of these, what :meth:`cut` is true of.
+        self.table: DataFrame | None = None
+        self.fragments: set[str] = set()
+        self._weigh(counts)
+
+    @classmethod
+    def counted(cls, grams: list[tuple[str, str, int]], known: DataFrame) -> LanguageModel:
+        """grams: (language, trigram, count); known: ``word``."""
+        model, counts = cls([]), defaultdict(Counter)
+        for lang, g, n in grams:
+            counts[lang][g] = n
+        model._weigh(counts)
+        model.table = known
+        return model
+
+    def _weigh(self, counts: dict[str, Counter]) -> None:
         size = len({g for c in counts.values() for g in c}) or 1
         self.logp, self.rest = {}, {}
-        for lang, c in counts.items():
+        for lang, c in sorted(counts.items()):
             total = sum(c.values()) + 0.1 * size
             self.logp[lang] = {g: math.log((n + 0.1) / total) for g, n in c.items()}
             self.rest[lang] = math.log(0.1 / total)
 
+    def over(self, predictions: DataFrame) -> LanguageModel:
+        """The model as it is sent: of known words only what tells whether the last words of these responses are cut."""
+        if self.table is None:
+            return self
+        out = copy.copy(self)
+        out.table, out.fragments = None, _fragments(self.table, predictions)
+        return out
+
     def scores(self, text: str, skip: set[str] = frozenset()) -> tuple[dict[str, float], int]:
         """Mean log-likelihood a trigram by language, and the number of trigrams."""
         grams = [g for w in _lower_words(text) if w not in skip for g in _grams(w)]
@@ -237,6 +258,8 @@ class LanguageModel:
         """No known word, but the beginning of one."""
         if not word or word in self.known or word.isdigit():
             return False
+        if word in self.fragments:
+            return True
         at = bisect.bisect_left(self.sorted, word)
         return at < len(self.sorted) and self.sorted[at].startswith(word)
 
@@ -257,18 +280,46 @@ def _grams(w: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
-def fit_language_model(documents: DataFrame, docs_per_language: int = FIT_DOCS) -> LanguageModel:
-    """Fit on up to ``docs_per_language`` documents of each labelled language.
+def _counted_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        seen: dict[str, Counter] = defaultdict(Counter)
+        for lang, text in zip(b["lang"], b["text"]):
+            seen[lang].update(_lower_words(text))
+        rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
+        yield pd.DataFrame(rows, columns=["lang", "word", "n"]).astype({"n": "int64"})
+
+
+def fit_language_model(documents: DataFrame) -> LanguageModel:
+    """Fit on all documents of each labelled language.
 
     Labels count by their first two letters; null, ``und`` and rare labels
-    (under 3 documents) teach nothing.
+    (under 3 documents) teach nothing. Words are counted by Spark and stay a
+    table; trigrams are counted from them and sent.
     """
     lang = F.lower(F.substring(F.trim("lang"), 1, 2))
     rows = documents.where("lang IS NOT NULL AND text IS NOT NULL AND lower(trim(lang)) <> 'und'").select(lang.alias("lang"), "text")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    picked = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= docs_per_language).select("lang", "text").collect()
-    often = Counter(r[0] for r in picked)
-    return LanguageModel([tuple(r) for r in picked if often[r[0]] >= 3])
+    often = [r["lang"] for r in rows.groupBy("lang").count().where("count >= 3").collect()]
+    counted = rows.where(F.col("lang").isin(often)).mapInPandas(_counted_words, "lang string, word string, n bigint")
+    counted = materialize(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+    each = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(padded, i, F.lit(3)))
+    grams = counted.select("lang", "n", F.explode(each).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    known = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").select("word")
+    return LanguageModel.counted([tuple(r) for r in grams.collect()], known)
+
+
+def _fragments(known: DataFrame, predictions: DataFrame) -> set[str]:
+    """Last words of responses that are no known word, but the beginning of one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            last = {w[-1] for w in (words(_INVISIBLE.sub("", t).strip()) for t in b["predicted"]) if w}
+            yield pd.DataFrame({"word": pd.Series(sorted(w for w in last if not w.isdigit()), dtype=object)})
+
+    last = materialize(predictions.where("predicted IS NOT NULL").select("predicted").mapInPandas(run, "word string").distinct(), "last-words")
+    unknown = last.join(known, "word", "left_anti")
+    begins = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", F.lit(1), i))).alias("word"))
+    return {r["word"] for r in begins.join(bounded(unknown), "word").distinct().collect()}
 
 
 #: Common small words of each language.
@@ -415,7 +466,7 @@ def flag_defects(predictions: DataFrame, model: LanguageModel) -> DataFrame:
     cols = ["run_id", "question_id", "is_abstention", "question", "answer", "predicted"]
     rows = once(predictions.select(*cols), "run_id", "question_id")
     endings = common_endings(predictions)
-    shared = predictions.sparkSession.sparkContext.broadcast((model, endings))
+    shared = predictions.sparkSession.sparkContext.broadcast((model.over(predictions), endings))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, e = shared.value

@@ -46,3 +46,16 @@ def test_frame(spark):
     got = [tuple(r) for r in d.flag_defects(df, d.fit_language_model(docs)).collect()]
     assert len(got) == len(set(got)) and ("r", "0", "empty") in got and ("r", "n2", "empty") in got
     assert d.flag_defects(df.limit(0), d.fit_language_model(docs.limit(0))).count() == 0
+
+
+def test_language_model_counts_all_documents(spark):
+    rows = [(lang, f"{text} {'abcdefghij'[i % 10] * 3}{'klmnopqrst'[i // 10 % 10]}{'uvwxy'[i // 100 % 5]} zz") for i in range(700) for lang, text in (("en", EN), ("de", "wir haben die liste geprüft"), ("ja", "四十分くらい 𐐨𐐩𐐪"))]
+    docs = spark.createDataFrame([*rows, ("xx", "rare label"), ("und", EN), (None, EN), ("en", None)], "lang string, text string")
+    whole, model = d.LanguageModel(rows), d.fit_language_model(docs)
+    assert model.logp == whole.logp and model.rest == whole.rest
+    assert {r["word"] for r in model.table.collect()} == whole.known
+    last = ["balc", "Aaaku.", "aaakv", "jjj", "jjjt", "zz", "z", "geprüf", "四十分く", "𐐨𐐩", "nowhere", "12", "ＧＥＰ", "it's"]
+    predictions = spark.createDataFrame([(f"In the {w}",) for w in last] + [(None,), ("",)], "predicted string")
+    sent = model.over(predictions)
+    ends = [d.words(f"In the {w}")[-1] for w in last]
+    assert sent.table is None and [sent.cut(w) for w in ends] == [whole.cut(w) for w in ends] and sum(map(sent.cut, ends)) >= 5
