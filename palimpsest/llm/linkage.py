@@ -40,6 +40,8 @@ STORE, PROBE = (1, 1.0), (6, 1.25)
 WALK_ROWS = 200_000
 #: Links of one batch whose components one task finds; more are found in rounds over frames.
 UNION_ROWS = 200_000
+#: Rows of a frame that is broadcast, at most.
+SMALL_ROWS = 500_000
 #: Steps from a node to its root at which the forest is written anew.
 DEEPEST = 4
 #: Rows of a bucket of the stored vectors, groups within it, and parts of the digests at least.
@@ -78,7 +80,7 @@ def _records(rows: DataFrame, id_col: str, first: int, dim: int) -> DataFrame:
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
     """A frame of a known number of rows, to be broadcast while that is small."""
-    return F.broadcast(df) if rows <= 500_000 else df
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
 # --- weights of agreement ----------------------------------------------------
@@ -173,6 +175,26 @@ def components(edges: DataFrame, few: bool) -> DataFrame:
         was = now
 
 
+def fallen_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``root, up``: the roots that ``edges`` join to smaller ones; roots: ``node, root`` of all nodes of the edges.
+
+    One task's union-find over both frames, so that neither is joined to the
+    other. A root is the smallest node of its cluster.
+    """
+
+    def run(e: pd.DataFrame) -> pd.DataFrame:
+        forest = _Forest()
+        for x, y in zip(e["x"].tolist(), e["y"].tolist()):
+            forest.join(x, y)
+        tops = e.loc[e["top"], "y"].unique().tolist()
+        up = [forest.find(t) for t in tops]
+        fell = [k for k, t in enumerate(tops) if up[k] != t]
+        return pd.DataFrame({"root": [tops[k] for k in fell], "up": [up[k] for k in fell]})
+
+    both = edges.select("x", "y", F.lit(False).alias("top")).unionByName(roots.select(F.col("node").alias("x"), F.col("root").alias("y"), F.lit(True).alias("top")))
+    return both.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "root bigint, up bigint")
+
+
 class IncrementalLinkage:
     """The state of one linkage; a context that drops it at its end."""
 
@@ -289,25 +311,18 @@ class IncrementalLinkage:
         parts, scopes, count = rows.agg(F.collect_set("part"), F.approx_count_distinct("scope"), F.count(F.lit(1))).first()
         links = self._links(rows, scopes, count)
         self._count(links)
-        groups = rows.where(F.octet_length("vec") > 0).groupBy("scope", F.md5("vec").alias("vd")).agg(F.min("id").alias("g"))
-        near = links.where("src = 'H'").groupBy(F.col("a").alias("g")).agg(F.max(F.struct("c", "pat", (-F.col("b")).alias("first"))).alias("n"))
-        near = near.select("g", (-F.col("n.first")).alias("near"), F.col("n.c").alias("near_c"), F.col("n.pat").alias("near_pat"))
-        # None of these has more rows than the batch.
-        nodes = rows.withColumn("vd", F.when(F.octet_length("vec") > 0, F.md5("vec")))
-        for side, on in ((groups, ["scope", "vd"]), (self._same(rows, parts, count), ["kh"]), (near, ["g"])):
-            nodes = nodes.join(_small(side, count), on, "left")
-        nodes = nodes.select("id", "rec", "scope", "kh", "g", "same", "near", "near_c", "near_pat")
-        inner = links.where("src = 'B'").select(F.col("a").alias("g"), (F.col("b") - F.lit(ARRIVALS)).alias("h"), "c", "pat", "scope")
         weight = F.element_at(F.array(*[F.lit(float(w)) for w in self.weights]), F.col("pat") + 1)
         at = f"{self.at}/decisions/{self.batch}"
-        walked = self._walk(nodes, inner, count).withColumn("weight", F.when(F.col("screen") == "cosine", F.round(weight, 6)))
+        walked = self._walk(rows, self._same(rows, parts, count), links, count).withColumn("weight", F.when(F.col("screen") == "cosine", F.round(weight, 6)))
         walked.drop("pat").write.parquet(at)
         decided = self.spark.read.schema(walked.drop("pat").schema).parquet(at)
         accepted = rows.join(_small(decided.where("screen IS NULL").select("id"), count), "id", "left_semi")
         edges = self._edges(links, decided)
 
         def join():
-            self._unite(edges)
+            written = materialize(edges, "edges")
+            self._unite(written)
+            drop_scratch(written)
             drop_scratch(links)
 
         self.joins.append(self.joiner.submit(join))
@@ -319,9 +334,9 @@ class IncrementalLinkage:
         return decided
 
     def _same(self, rows: DataFrame, parts: list[int], count: int) -> DataFrame:
-        """``kh, same``: stored records of equal content; only the parts of the batch's scopes are read."""
+        """``id, scope, same``: the stored record of equal content, of rows that have one; only the parts of the batch's scopes are read."""
         stored = self.spark.read.schema("kh binary, rec bigint, part int").parquet(f"{self.at}/keys").where(F.col("part").isin(parts))
-        return stored.join(_small(rows.where("kh IS NOT NULL").select("kh"), count), "kh", "left_semi").select("kh", F.col("rec").alias("same"))
+        return stored.select("kh", F.col("rec").alias("same")).join(_small(rows.where("kh IS NOT NULL").select("kh", "id", "scope"), count), "kh").select("id", "scope", "same")
 
     def _links(self, rows: DataFrame, scopes: int, count: int) -> DataFrame:
         """``src, a, b, c, pat, scope`` of the distinct vectors of the batch.
@@ -376,7 +391,8 @@ class IncrementalLinkage:
             return pd.DataFrame(out, columns=cols)
 
         stored = self.spark.table(self.table)
-        probed = new.select("bucket", "lk")
+        # Copies of a vector hurt nothing in what is broadcast, so that needs no grouping.
+        probed = (self._blocked(rows.select("scope", "vec", "lists"), as_query=True) if count * PROBE[0] <= SMALL_ROWS else new).select("bucket", "lk")
         if scopes * PROBE[0] < self.buckets * GROUPS:  # a narrow batch leaves buckets untouched
             stored = stored.where(F.col("bucket").isin(probed.agg(F.collect_set("bucket")).first()[0]))
         stored = stored.join(_small(probed.select("lk"), count * PROBE[0]), "lk", "left_semi").select("bucket", "lk", "rec", "day", "chars", "vec")
@@ -390,16 +406,25 @@ class IncrementalLinkage:
             self.counts[r["a"]] += r["n"]
         self.weights = learn_weights(self.counts)
 
-    def _walk(self, nodes: DataFrame, inner: DataFrame, rows: int) -> DataFrame:
+    def _walk(self, rows: DataFrame, same: DataFrame, links: DataFrame, count: int) -> DataFrame:
         """``id, screen, neighbour, cosine, pat, g`` by the walk in order of id, scope by scope.
 
         In a batch of more than ``WALK_ROWS`` only rows that are related to
         another row of the batch are walked, and scopes with as many of them
         are resolved in rounds.
         """
-        if rows <= WALK_ROWS:
-            return walk_scopes(nodes, inner)
-        nodes = materialize(nodes, "nodes")
+        rows = rows.select("id", "rec", "scope", "kh", F.when(F.octet_length("vec") > 0, F.md5("vec")).alias("vd"))
+        if count <= WALK_ROWS:
+            return walk_batch(rows, same, links)
+        groups = rows.where("vd IS NOT NULL").groupBy("scope", "vd").agg(F.min("id").alias("g"))
+        near = links.where("src = 'H'").groupBy(F.col("a").alias("g")).agg(F.max(F.struct("c", "pat", (-F.col("b")).alias("first"))).alias("n"))
+        near = near.select("g", (-F.col("n.first")).alias("near"), F.col("n.c").alias("near_c"), F.col("n.pat").alias("near_pat"))
+        # None of these has more rows than the batch.
+        nodes = rows
+        for side, on in ((groups, ["scope", "vd"]), (same.drop("scope"), ["id"]), (near, ["g"])):
+            nodes = nodes.join(_small(side, count), on, "left")
+        nodes = materialize(nodes.select("id", "rec", "scope", "kh", "g", "same", "near", "near_c", "near_pat"), "nodes")
+        inner = links.where("src = 'B'").select(F.col("a").alias("g"), (F.col("b") - F.lit(ARRIVALS)).alias("h"), "c", "pat", "scope")
         shared = nodes.where("kh IS NOT NULL").groupBy("kh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kh", F.lit(True).alias("k_shared"))
         twin = nodes.where("g IS NOT NULL").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.lit(True).alias("g_shared"))
         linked = inner.select("g").unionByName(inner.select(F.col("h").alias("g"))).distinct().withColumn("linked", F.lit(True))
@@ -415,12 +440,12 @@ class IncrementalLinkage:
             "g",
         )
         related = marked.where("related").drop("related")
-        count = related.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
-        most = count.agg(F.max("n")).first()[0] or 0
+        sizes = related.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+        most = sizes.agg(F.max("n")).first()[0] or 0
         if most <= WALK_ROWS:
-            return alone.unionByName(walk_scopes(related, inner, max(32, rows // 10_000)))
-        huge = bounded(materialize(count.where(F.col("n") > WALK_ROWS).select("scope"), "huge"))
-        small = walk_scopes(related.join(huge, "scope", "left_anti"), inner.join(huge, "scope", "left_anti"), max(32, rows // 10_000))
+            return alone.unionByName(walk_scopes(related, inner, max(32, count // 10_000)))
+        huge = bounded(materialize(sizes.where(F.col("n") > WALK_ROWS).select("scope"), "huge"))
+        small = walk_scopes(related.join(huge, "scope", "left_anti"), inner.join(huge, "scope", "left_anti"), max(32, count // 10_000))
         return alone.unionByName(small).unionByName(walk_rounds(related.join(huge, "scope", "left_semi"), inner.join(huge, "scope", "left_semi")))
 
     # --- clusters ------------------------------------------------------------
@@ -445,7 +470,7 @@ class IncrementalLinkage:
         return out
 
     def _unite(self, edges: DataFrame) -> None:
-        """Join the clusters that edges connect.
+        """Join the clusters that edges, a written frame, connect.
 
         Only roots of touched clusters take part in the union-find. A root that
         falls to another, and a node that is new, get one row in the forest;
@@ -457,9 +482,12 @@ class IncrementalLinkage:
             return
         nodes = edges.select(F.explode(F.array("x", "y")).alias("node")).distinct()
         roots = self._roots(_small(nodes, 2 * count))
-        a, b = (_small(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), 2 * count) for c in "xy")
-        found = edges.join(a, "x").join(b, "y").select(F.col("rx").alias("x"), F.col("ry").alias("y")) if self.depth else edges
-        joined = components(found, count <= UNION_ROWS).select(F.col("node").alias("root"), F.col("root").alias("up"))
+        if self.depth and count <= UNION_ROWS:
+            joined = fallen_roots(edges, roots)
+        else:
+            a, b = (_small(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), 2 * count) for c in "xy")
+            found = edges.join(a, "x").join(b, "y").select(F.col("rx").alias("x"), F.col("ry").alias("y")) if self.depth else edges
+            joined = components(found, count <= UNION_ROWS).select(F.col("node").alias("root"), F.col("root").alias("up"))
         # Every root that was joined gets its new root; so does a new node, which was its own root until now.
         joined.where("root <> up").select(F.col("root").alias("node"), "up").write.mode("append").parquet(self.forest)
         self.depth += 1
@@ -489,48 +517,80 @@ class IncrementalLinkage:
 _DECIDED = "id bigint, screen string, neighbour bigint, cosine double, pat int, g bigint"
 
 
+def _walked(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+    """The walk over rows in order of id; e: the links between them."""
+    near: dict[int, list[tuple[int, float, int]]] = {}
+    for g, h, c, p in zip(e["g"].tolist(), e["h"].tolist(), e["c"], e["pat"]):
+        near.setdefault(g, []).append((h, c, p))
+        near.setdefault(h, []).append((g, c, p))
+    contents: dict[bytes, int] = {}
+    taken: dict[int, int] = {}
+    out = []
+    for i, rec, kh, g, same, stored, c, p in zip(*(n[x].tolist() for x in ("id", "rec", "kh", "g", "same", "near", "near_c", "near_pat"))):
+        kh = None if kh is None else bytes(kh)
+        if same != NONE:
+            out.append((i, "exact", same, None, None, g))
+        elif kh is not None and kh in contents:
+            out.append((i, "exact", contents[kh], None, None, g))
+        else:
+            options = [] if stored == NONE else [(c, int(p), -stored)]
+            if g != NONE:
+                options += [(1.0, FULL, -taken[g])] if g in taken else []
+                options += [(x, y, -taken[h]) for h, x, y in near.get(g, ()) if h in taken]
+            if options:
+                c, p, rec = max(options)
+                out.append((i, "cosine", -rec, c, p, g))
+            else:
+                out.append((i, None, None, None, None, g))
+                if kh is not None:
+                    contents[kh] = rec
+                if g != NONE:
+                    taken[g] = rec
+    ids, screens, neighbours, cosines, pats, gs = zip(*out) if out else ((),) * 6
+    return pd.DataFrame({"id": ids, "screen": screens, "neighbour": pd.array(neighbours, "Int64"), "cosine": cosines, "pat": pd.array(pats, "Int32"), "g": pd.array([None if g == NONE else g for g in gs], "Int64")})
+
+
+def _scope_bucket(buckets: int) -> Column:
+    """Scopes share a task's call in buckets, as contents and vectors of different scopes have different keys anyway."""
+    return F.pmod(F.xxhash64("scope"), F.lit(buckets)).alias("bucket")
+
+
 def walk_scopes(nodes: DataFrame, inner: DataFrame, buckets: int = 32) -> DataFrame:
-    """The walk of each scope by one task, in order of id.
+    """The walk of each scope by one task, in order of id."""
+    nodes = nodes.withColumns({c: F.coalesce(c, F.lit(NONE)) for c in ("g", "same", "near")})
+    bucket = _scope_bucket(buckets)
+    run = lambda n, e: _walked(n.sort_values("id"), e)
+    return nodes.withColumn("bucket", bucket).groupBy("bucket").cogroup(inner.withColumn("bucket", bucket).groupBy("bucket")).applyInPandas(run, _DECIDED)
+
 
-    Scopes share a task's call in buckets, as contents and vectors of different
-    scopes have different keys anyway.
+def walk_batch(rows: DataFrame, same: DataFrame, links: DataFrame, buckets: int = 32) -> DataFrame:
+    """``walk_scopes`` of a batch as it is: the walking task gathers what else is known of a row.
+
+    Rows: ``id, rec, scope, kh, vd``; same: ``id, scope, same``. The first row of
+    a vector, its nearest stored record and the stored record of equal content
+    are lookups within a scope, for which no frames need be joined or sent:
+    plans, broadcasts and their threads add up in the driver, batch by batch.
     """
 
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         n = n.sort_values("id")
-        near: dict[int, list[tuple[int, float, int]]] = {}
-        for g, h, c, p in zip(e["g"].tolist(), e["h"].tolist(), e["c"], e["pat"]):
-            near.setdefault(g, []).append((h, c, p))
-            near.setdefault(h, []).append((g, c, p))
-        contents: dict[bytes, int] = {}
-        taken: dict[int, int] = {}
-        out = []
-        for i, rec, kh, g, same, stored, c, p in zip(*(n[x].tolist() for x in ("id", "rec", "kh", "g", "same", "near", "near_c", "near_pat"))):
-            kh = None if kh is None else bytes(kh)
-            if same != NONE:
-                out.append((i, "exact", same, None, None, g))
-            elif kh is not None and kh in contents:
-                out.append((i, "exact", contents[kh], None, None, g))
-            else:
-                options = [] if stored == NONE else [(c, int(p), -stored)]
-                if g != NONE:
-                    options += [(1.0, FULL, -taken[g])] if g in taken else []
-                    options += [(x, y, -taken[h]) for h, x, y in near.get(g, ()) if h in taken]
-                if options:
-                    c, p, rec = max(options)
-                    out.append((i, "cosine", -rec, c, p, g))
-                else:
-                    out.append((i, None, None, None, None, g))
-                    if kh is not None:
-                        contents[kh] = rec
-                    if g != NONE:
-                        taken[g] = rec
-        ids, screens, neighbours, cosines, pats, gs = zip(*out) if out else ((),) * 6
-        return pd.DataFrame({"id": ids, "screen": screens, "neighbour": pd.array(neighbours, "Int64"), "cosine": cosines, "pat": pd.array(pats, "Int32"), "g": pd.array([None if g == NONE else g for g in gs], "Int64")})
-
-    nodes = nodes.withColumns({c: F.coalesce(c, F.lit(NONE)) for c in ("g", "same", "near")})
-    bucket = F.pmod(F.xxhash64("scope"), F.lit(buckets)).alias("bucket")
-    return nodes.withColumn("bucket", bucket).groupBy("bucket").cogroup(inner.withColumn("bucket", bucket).groupBy("bucket")).applyInPandas(run, _DECIDED)
+        src = e["src"].to_numpy()
+        h, b, s = e[src == "H"], e[src == "B"], e[src == "S"]
+        near: dict[int, tuple[float, int, int]] = {}
+        for g, *best in zip(h["a"].tolist(), h["c"].tolist(), h["pat"].tolist(), (-h["b"]).tolist()):
+            near[g] = max(near[g], tuple(best)) if g in near else tuple(best)
+        equal = dict(zip(s["a"].tolist(), s["b"].tolist()))
+        first: dict[tuple[str, str], int] = {}
+        ids = n["id"].tolist()
+        g = [first.setdefault((k, v), i) if usable else NONE for i, k, v, usable in zip(ids, n["scope"].tolist(), n["vd"].tolist(), n["vd"].notna())]
+        c, pat, stored = zip(*(near.get(x, (0.0, 0, -NONE)) for x in g)) if g else ((),) * 3
+        n = n.assign(g=g, same=[equal.get(i, NONE) for i in ids], near=[-x for x in stored], near_c=c, near_pat=pat)
+        return _walked(n, b.assign(g=b["a"], h=b["b"] - ARRIVALS))
+
+    of_content = same.select(F.lit("S").alias("src"), F.col("id").alias("a"), F.col("same").alias("b"), F.lit(1.0).alias("c"), F.lit(FULL).alias("pat"), "scope")
+    known = links.where("src IN ('H', 'B')").unionByName(of_content)
+    bucket = _scope_bucket(buckets)
+    return rows.withColumn("bucket", bucket).groupBy("bucket").cogroup(known.withColumn("bucket", bucket).groupBy("bucket")).applyInPandas(run, _DECIDED)
 
 
 def walk_rounds(nodes: DataFrame, inner: DataFrame) -> DataFrame:

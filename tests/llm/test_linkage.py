@@ -183,3 +183,25 @@ def test_empty(spark):
     assert linkage.link_batches(*_frames(spark, [], []), dim=DIM).count() == 0
     m, _ = _data(3)
     assert linkage.link_batches(*_frames(spark, m, []), dim=DIM).count() == 0
+
+
+def test_a_batch_broadcasts_little(spark):
+    """What a batch broadcasts and plans stays in the driver for a while, so it adds up over batches."""
+    store, (memories, arrivals) = spark._jsparkSession.sharedState().statusStore(), _data(12)
+    with linkage.IncrementalLinkage(spark, dim=DIM) as state:
+        m, a = _frames(spark, memories, arrivals)
+        state.bootstrap(m)
+        a = linkage.materialize(linkage.once(a.drop("g", "kh"), "arrival_id"), "arrivals")
+        begun = store.executionsCount()
+        for n in (1, 2, 3):
+            state.process(a.where(f"batch_no = {n}"))
+        for done in state.joins:
+            done.result()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        ids = [e.executionId() for e in _seq(store.executionsList(begun, 10_000))]
+        names = [x.name() for i in ids for x in _seq(store.planGraph(i).allNodes())]
+    assert 0 < names.count("BroadcastExchange") <= 3 * 7
+
+
+def _seq(s):
+    return [s.apply(k) for k in range(s.size())]
